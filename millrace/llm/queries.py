@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import cutoffs, entity_splits, mixing, oversized
+from millrace.llm import cutoffs, entity_splits, mixing, oversized, packing, reading_level, tokens
 from millrace.session import bounded_rows, read_table
 
 BETTER = {"ctc_mismatch": "low", "avg_word_score": "high"}
@@ -85,7 +85,50 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.cutoffs(records, sources, BETTER).drop("badness_cutoff")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_mixture, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_pieces, p5_found, p5_cutoffs)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, tokens and characters by language."""
+    documents = read_table(spark, sf_dir, "documents").select("lang", "text")
+    counted = documents.select("lang", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), tokens.count_column(spark, F.col("text")).alias("n"))
+    return counted.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("chars").alias("n_chars"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(documents.select("doc_id", tokens.count_column(spark, F.col("text")).alias("n_tokens")), "doc_id", "n_tokens", 1024)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be cut: those with a second piece."""
+    return _packed(spark, sf_dir).where("piece = 1").select("doc_id")
+
+
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of each document or piece."""
+    return _packed(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences, tokens, and the share left empty."""
+    filled = _packed(spark, sf_dir).groupBy("bin").agg(F.sum("n").alias("n"))
+    return filled.agg(F.count("*").alias("n_sequences"), F.sum("n").alias("n_tokens"), F.count_if(F.col("n") == 1024).alias("n_full"), (1 - F.sum("n") / (F.count("*") * 1024)).alias("empty_share"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading_level.reading_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of at least 40 words at level 4."""
+    return p8_levels(spark, sf_dir).where("english and n_words >= 40 and level = 4").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_mixture, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_pieces, p5_found, p5_cutoffs, p6_ids, p6_profile, p7_found, p7_sequences, p7_report, p8_found, p8_levels)}
 
 _KEY = r"lower(upper(regexp_replace({0}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')))"
 
