@@ -90,7 +90,7 @@ def sentence_ends(text: str | None) -> list[int]:
                     continue
                 if (low in EITHER or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word)) and not (after in OPENERS or _starter(text, at)):
                     continue
-            if not word and text[max(0, start - 2) : start].strip() == "":
+            if not word and re.search(r"(?:^|[.\s])\s*$", text[max(0, start - 3) : start]) and not re.search(r"[^.\s]\s*$", text[max(0, start - 3) : start]):
                 continue  # a full stop by itself
         elif mark[-1] in "!?" and closed > end and text[closed - 1] in "\"”’»" and SAID.match(text, at):
             continue

@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,6 +170,10 @@ class LevelModel:
         return np.interp(score, self.xs, self.ys)
 
 
+def _fold(key) -> int:
+    return zlib.crc32(str(key).encode()) % 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> LevelModel | None:
     """The model of the graded documents; null grades and documents without English words are left out, several grades of one document count by their mean. None if fewer than two grades are left."""
     graded = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("grade"))
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for k, t, g in batch[[key, text, "grade"]].itertuples(index=False):
                 words = {w for s in sentences(plain(t)) for w in s}
                 if is_english(list(words)):
-                    rows.append((g, int(k) % 2, list(words)))
+                    rows.append((g, _fold(k), list(words)))
             yield pd.DataFrame(rows, columns=["grade", "fold", "words"]).astype({"grade": "float64", "fold": "int32"})
 
     seen = sample.mapInPandas(read, "grade double, fold int, words array<string>").select("grade", "fold", F.explode("words").alias("word"))
@@ -198,12 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             rows = []
             for k, t, g in batch[[key, text, "grade"]].itertuples(index=False):
-                x, n, english = features(t, shared.value[int(k) % 2])
+                x, n, english = features(t, shared.value[_fold(k)])
                 if english and n >= 5:
-                    rows.append((int(k), g, x))
-            yield pd.DataFrame(rows, columns=["k", "grade", "x"]).astype({"k": "int64", "grade": "float64"})
+                    rows.append((str(k), g, x))
+            yield pd.DataFrame(rows, columns=["k", "grade", "x"]).astype({"grade": "float64"})
 
-    rows = sorted(bounded_rows(sample.mapInPandas(measure, "k long, grade double, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
+    rows = sorted(bounded_rows(sample.mapInPandas(measure, "k string, grade double, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
     y = np.array([r["grade"] for r in rows])
     if len(set(y)) < 2:
         return None
