@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per context; they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._millrace_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
