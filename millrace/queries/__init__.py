@@ -1 +1,29 @@
+"""Named queries over the test tables, with their SQL for DuckDB where SQL can express them."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+#: White space for DuckDB's regular expressions, as `functions.text` has it.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+class Registry:
+    """Collects the queries of a module; a query's name is its function's."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Callable] = {}
+        self.oracles: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None) -> Callable[[Callable], Callable]:
+        def add(f: Callable) -> Callable:
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.oracles[f.__name__] = sql
+            return f
+
+        return add
