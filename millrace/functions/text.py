@@ -61,7 +61,7 @@ def plain_letters(texts: pd.Series) -> pd.Series:
 
 def without_tags(c: Column) -> Column:
     """Markup between < and > taken out."""
-    return F.regexp_replace(c, "<[^>]+>", " ")
+    return F.regexp_replace(c, "<[^>]+>", "")
 
 
 def clean_text(c: Column) -> Column:
@@ -69,6 +69,16 @@ def clean_text(c: Column) -> Column:
     return F.nullif(collapse(without_tags(unescape(c))), F.lit(""))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def clean_texts(arrays: pd.Series) -> pd.Series:
+    """`clean_text` over arrays (Arrow batches): entries in order, those that come out empty left out; a null array is empty."""
+
+    def clean(t):
+        return " ".join(re.sub("<[^>]+>", "", html.unescape(t)).split())
+
+    return pd.Series([[c for c in (clean(t) for t in (a if a is not None else []) if t is not None) if c] for a in arrays], dtype=object)
+
+
 def matches_terms(texts: Sequence[Column], terms: Sequence[str]) -> Column:
     """Whether any of the texts holds any term as whole words, case folded; null texts are skipped, no terms match nothing.
 
