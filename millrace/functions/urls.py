@@ -36,7 +36,7 @@ def joined(base: str, path: Column) -> Column:
 
 def fits(width: Column, height: Column | None, largest: int) -> Column:
     """Whether known sizes are within a limit; by the width alone if there is no height column."""
-    sizes = width if height is None else F.when(height.isNotNull(), F.greatest(width, height))
+    sizes = width if height is None else F.when(width.isNotNull() & height.isNotNull(), F.greatest(width, height))
     return F.coalesce(sizes <= largest, F.lit(False))
 
 

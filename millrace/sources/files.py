@@ -121,6 +121,15 @@ def manifest_rows(pages: DataFrame, html: str, pattern: str, fields: Sequence[st
     return out.withColumn(date, F.to_date(date, "MM/dd/yy")) if date else out
 
 
+def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of Parquet files: those of a folder, or one file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
 def parse_ranges(text: str) -> list[int]:
     """`2010-2013`, `1,3,5` or `7` as numbers."""
     out: list[int] = []
