@@ -69,8 +69,9 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int
 
 def pieces(df: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
     """(key, piece, start, n) of the items: one of more than `capacity` is cut into full pieces and a rest, all others stay whole. Items of length 0 or null need no room and give no row."""
-    whole = df.where(F.col(length) > 0).select(F.col(key).alias("key"), F.col(length).cast("long").alias("len"))
-    at = F.sequence(F.lit(0), (F.ceil(F.col("len") / capacity) - 1).cast("int"))
+    whole = df.select(F.col(key).alias("key"), F.col(length).cast("long").alias("len"))
+    # no filter on the length: it would compute a length that is a UDF once more
+    at = F.when(F.col("len") > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.col("len") / capacity) - 1, F.lit(0)).cast("int")))
     cut_up = whole.select("key", "len", F.explode(at).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     return cut_up.select("key", "piece", start.alias("start"), F.least(F.col("len") - start, F.lit(capacity)).cast("int").alias("n"))
