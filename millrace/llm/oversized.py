@@ -156,7 +156,8 @@ def pieces_of(text: str | None, length: float, limit: float, overlap: float) ->
     places, strengths = [p for p, _ in bounds], [s for _, s in bounds]
     first = max(2, math.ceil((length - overlap) / (limit - overlap) - 1e-9))
     best = None
-    for n in range(first, first + 4):
+    # one piece more at a time, and for items of many pieces in shares of them
+    for n in sorted({first, first + 1, first + 2, first + 3, *(math.ceil(first * x) for x in (1.05, 1.1, 1.25, 1.5))}):
         cuts = _cuts(text or "", places, strengths, length, limit, overlap, n)
         if cuts is not None:
             rank = (sum(s < 3 for _, _, s in cuts), n)
@@ -187,7 +188,8 @@ def oversized_records(df: DataFrame, sources: DataFrame, key: str = "id", row: s
     bounded_rows(sources.select("source"), 100_000, "the list of sources")
     listed = F.broadcast(sources.where("source is not null and max_segment_seconds > 0 and not isnan(max_segment_seconds)").select("source", F.col("max_segment_seconds").alias("limit"), F.coalesce("overlap_seconds", F.lit(0.0)).alias("overlap")).dropDuplicates(["source"]))
     length = F.when(F.col("start_s").isNull() | F.col("end_s").isNull(), F.col("duration_s")).otherwise(F.col("end_s") - F.col("start_s"))
-    long = df.where(F.col(key).isNotNull()).join(listed, "source").withColumn("length", length).where(F.col("length").isNotNull() & ~F.isnan("length") & (F.col("length") > F.col("limit")))
+    own = df.select(*dict.fromkeys([key, row, "source", "text_original", "duration_s", "start_s", "end_s"]))
+    long = own.where(F.col(key).isNotNull()).join(listed, "source").withColumn("length", length).where(F.col("length").isNotNull() & ~F.isnan("length") & (F.col("length") > F.col("limit")))
     kept = F.struct(F.col("text_original").alias("text"), F.coalesce(F.when(F.col("end_s").isNotNull(), F.col("start_s")), F.lit(0.0)).alias("begins"), "length", "limit", "overlap")
     return long.groupBy(key).agg(F.min_by(kept, row).alias("k")).select(key, "k.*")
 
