@@ -49,9 +49,10 @@ def extract_nested(df: DataFrame, column: str, paths: Sequence[tuple[str, str]])
     for path, name in paths:
         value = F.get_json_object(source, path)
         if "*" in path:
-            # a wildcard over one value gives it as it is, over several a JSON array of them
+            # a wildcard over one value gives its JSON, over several a JSON array of them
             found = F.from_json(value, "array<string>")
-            value = F.when(value.startswith("[") & (F.size(found) > 1), F.raise_error(F.lit(f"{path} finds several values"))).when(value.startswith("["), F.get(found, 0)).otherwise(value)
+            one = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+            value = F.when(value.startswith("[") & (F.size(found) > 1), F.raise_error(F.lit(f"{path} finds several values"))).when(value.startswith("["), F.get(found, 0)).otherwise(one)
         out[name] = blank_to_null(value)
     if column in out:
         return df.withColumns(out)

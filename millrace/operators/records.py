@@ -174,7 +174,8 @@ def library_items(df: DataFrame, license: str, license_raw: str, site: str, size
     if excluded_terms:
         i = i.where(~matches_terms([F.col("d.title"), F.col("d.description"), F.col("d.photographer"), F.col("d.secondary_creator"), F.array_join("keywords", "\n")], excluded_terms))
     images = F.transform(F.filter("links", lambda x: (x["render"] == "image") & x["href"].rlike(r"(?i)~[^~.]*\.jpe?g$")), lambda x: F.regexp_replace(x["href"], "^http://", "https://"))
-    by_size = [F.get(F.filter(images, lambda u, s=s: u.rlike(rf"~\Q{s}\E\.[A-Za-z]+$")), 0) for s in sizes]
+    of_size = lambda s: F.get(F.filter(images, lambda u: u.rlike(rf"~\Q{s}\E\.[A-Za-z]+$")), 0)
+    by_size = [of_size(s) for s in sizes]
     canonical = F.get(F.filter("links", lambda x: x["rel"] == "canonical"), 0)
     named = lambda c: F.nullif(F.col(c), F.lit(""))
     return i.withColumn("image_url", F.coalesce(*by_size)).where("image_url is not null").select(
@@ -220,7 +221,8 @@ def gallery_works(df: DataFrame, rights: Mapping[str, str], languages: Mapping[s
     w = df.select(F.from_json(col(column), _WORK).alias("w")).select("w.*").withColumn("license", _mapped(F.col("rights"), rights)).where("license is not null and public_domain and image_thumbnail <> ''")
     code = lambda x: _mapped(F.lower(F.trim(F.coalesce(x, F.lit("")))), languages)
     titled = F.transform(F.filter("titles", lambda t: t["title"] != ""), lambda t: F.struct(t["title"].alias("title"), code(t["language"]).alias("language")))
-    by = [F.get(F.filter(titled, lambda t, x=x: t["language"] == x), 0) for x in preference]
+    of = lambda x: F.get(F.filter(titled, lambda t: t["language"] == x), 0)
+    by = [of(x) for x in preference]
     w = w.withColumn("t", F.coalesce(*by, F.get(titled, 0)))
     empty = F.array().cast(EMPTY)
     return w.select(

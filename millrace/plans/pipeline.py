@@ -14,6 +14,7 @@ from millrace.operators import filters as Fi
 from millrace.operators import sampling as S
 from millrace.operators import windows as Wn
 from millrace.plans.config import load, steps
+from millrace.session import cut
 from millrace.sources import sinks
 from millrace.sources.files import scan
 
@@ -76,10 +77,11 @@ class Pipeline:
         return df
 
     def run(self, spark: SparkSession, clean: bool = False, provenance_only: bool = False) -> None:
-        """Read, apply, split, write, and record the run beside the data. Fractions split an input of one split in row order of `order_by`."""
+        """Read, apply, split, write, and record the run beside the data, in a file that readers of the data skip. Fractions split an input of one split in row order of `order_by`."""
         out = self.config["output"]
         if not provenance_only:
-            df = self.apply(self.source(spark), observe=True)
+            # computed once: the split, the sampling of the ranges and the write each read the result
+            df = cut(self.apply(self.source(spark), observe=True))
             if out.get("fractions"):
                 df = Wn.split_fractions(df.drop("split"), out["fractions"], out["order_by"])
             sinks.write_splits(df, out["path"], rows_per_shard=out.get("rows_per_shard", 1_000_000), order_by=out.get("order_by", ()), clean=clean)
@@ -87,4 +89,4 @@ class Pipeline:
         record = sinks.provenance_record(self.config, ancestry.get("datasets", ()), ancestry.get("models", ()))
         if not provenance_only:
             record["rows_by_step"] = {name: o.get["n_out"] for name, o in self.observed.items()}
-        sinks.write_json(spark, record, f"{out['path'].rstrip('/')}/provenance.json")
+        sinks.write_json(spark, record, f"{out['path'].rstrip('/')}/_provenance.json")
