@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import spoken, visual
+from millrace.functions import multimodal, spoken, visual
 from millrace.functions import text as X
 from millrace.functions import urls
 from millrace.operators import lineage as L
@@ -22,6 +23,7 @@ from millrace.session import read_table, shared_folder
 from millrace.sources.files import file_stream
 from millrace.streaming import streams
 
+TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
@@ -160,6 +162,15 @@ def date_windows(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.last_day(F.col("o_orderdate").cast("date")).alias("month_end"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
 
 
+@query()
+def subword_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as ids of a public sentencepiece model, with the clip's slots."""
+    seg = read_table(spark, d, "segments").select("seg_row", "text_normalized", F.when(F.col("duration_s").between(0, 1e5), F.ceil(F.col("duration_s") * 2.5).cast("int")).alias("slots"), (F.col("seg_row") % 2 == 0).alias("made"))
+    ids = seg.withColumn("ids", multimodal.subword_ids(spark, F.col("text_normalized"), f"{TOKENIZERS}/piece_bpe_32k.model")).drop("text_normalized")
+    rows = multimodal.training_rows(ids, "ids", "slots", "made", multimodal.Marks(32000, 32001, 32002, 32003))
+    return rows.select("seg_row", "input_ids", "modality_ids", "loss_mask")
+
+
 @query()
 def spoken_forms(spark: SparkSession, d: str) -> DataFrame:
     """Texts in the words they are spoken with."""

@@ -300,3 +300,14 @@ def test_media_headers():
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (7).to_bytes(2, "big") + (9).to_bytes(2, "big") + b"\0\0"
     assert media.image_size(png) == (3, 4) and media.image_size(jpeg) == (9, 7)
     assert media.image_size(b"junk") == (None, None) == media.image_size(None)
+
+
+def test_training_rows(spark):
+    from millrace.functions.multimodal import Marks, training_rows
+
+    df = spark.createDataFrame([(1, [5, 6], 2, True), (2, [5], 1, False), (3, [5], None, None), (4, None, 0, True)], "k int, ids array<int>, n int, made boolean")
+    got = {r["k"]: (r["input_ids"], r["modality_ids"], r["loss_mask"]) for r in training_rows(df, "ids", "n", "made", Marks(90, 91, 92, 99)).collect()}
+    assert got[1] == ([5, 6, 90, 91, 91, 92, 99], [0, 0, 0, 1, 1, 1, 0], [False, False, True, True, True, True, True])
+    assert got[2] == ([90, 91, 92, 5, 99], [0, 1, 1, 0, 0], [False, False, False, True, True])
+    assert got[3] == ([5, 99], [0, 0], [True, True])
+    assert got[4] == ([90, 92, 99], [0, 1, 0], [True, True, True])
