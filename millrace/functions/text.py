@@ -130,19 +130,30 @@ def runs_collapsed(values: Column, blank: Column) -> Column:
     return F.array_remove(ends, blank)
 
 
-def _edits(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def edits(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, bit-parallel: a column of the table is one pair of integers with a bit per entry of `a`."""
+    if not a or not b:
+        return len(a) or len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        grows, shrinks = down | ~(diagonal | up), up & diagonal
+        score += bool(grows & top) - bool(shrinks & top)
+        grows, shrinks = grows << 1 | 1, shrinks << 1
+        up = (shrinks | ~(diagonal | grows)) & full
+        down = grows & diagonal & full
+    return score
 
 
 @F.pandas_udf(T.IntegerType())
 def word_edits(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """Levenshtein distance of words (Arrow batches); a null text counts as none."""
-    return pd.Series([_edits((h or "").split(), (r or "").split()) for h, r in zip(hypothesis, reference, strict=True)], dtype="int32")
+    return pd.Series([edits((h or "").split(), (r or "").split()) for h, r in zip(hypothesis, reference, strict=True)], dtype="int32")
 
 
 def char_edits(hypothesis: Column, reference: Column) -> Column:

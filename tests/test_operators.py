@@ -311,3 +311,27 @@ def test_training_rows(spark):
     assert got[2] == ([90, 91, 92, 5, 99], [0, 1, 1, 0, 0], [False, False, False, True, True])
     assert got[3] == ([5, 99], [0, 0], [True, True])
     assert got[4] == ([90, 92, 99], [0, 1, 0], [True, True, True])
+
+
+def test_bit_parallel_edits():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(90))] for _ in range(2))
+        assert X.edits(a, b) == plain(a, b)
+    assert X.edits([], list("ab")) == 2 and X.edits(list("ab"), []) == 2 and X.edits([], []) == 0
+
+
+def test_timed_tokens(spark):
+    df = spark.createDataFrame([(1, "ab cdef", 0.0, 6.0), (2, "x", 1.0, 1.0), (3, None, 0.0, 1.0), (4, "", 0.0, 1.0), (5, "x", None, 2.0)], "k int, t string, a double, b double")
+    assert rows(Sp.timed_tokens(df, ["k"], "t", "a", "b"), "token_no") == [(1, 0, "ab", 0.0, 2.0), (1, 1, "cdef", 2.0, 6.0)]
+    assert rows(Sp.segment_turns(Sp.timed_tokens(df, ["k"], "t", "a", "b"), ["k"], 5.0)) == [(1, 0, 0, 1, "ab", 0.0, 2.0), (1, 1, 1, 1, "cdef", 2.0, 6.0)]
