@@ -15,6 +15,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,17 +77,13 @@ def is_english(words: list[str]) -> bool:
     """Whether English function words are frequent among the words and more so than those of any other known language."""
     if not words:
         return False
-    share = {lang: sum(w in own for w in words) / len(words) for lang, own in _OWN.items()}
-    english = share.pop("en")
-    return english >= 0.04 and english > 1.5 * max(share.values())
+    found = Counter(lang for w in words if (lang := _LANGUAGE.get(w)))
+    english = found.pop("en", 0)
+    return english >= 0.04 * len(words) and english > 1.5 * max(found.values(), default=0)
 
 
-def _only(lang: str) -> frozenset[str]:
-    others = {w for x, own in FUNCTION_WORDS.items() if x != lang for w in own}
-    return frozenset(w for w in FUNCTION_WORDS[lang] if w not in others)
-
-
-_OWN = {lang: _only(lang) for lang in FUNCTION_WORDS}
+#: Function word -> the one language it belongs to.
+_LANGUAGE = {w: lang for lang, own in FUNCTION_WORDS.items() for w in own if sum(w in x for x in FUNCTION_WORDS.values()) == 1}
 FEATURES = 9
 
 
