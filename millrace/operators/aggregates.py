@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import char_edits, word_count, word_edits
 from millrace.operators.columns import col
+from millrace.session import broadcast_if_small
 
 
 def text_frequency(df: DataFrame, source: str, text: str) -> DataFrame:
@@ -32,9 +33,9 @@ def mixture_factors(sizes: DataFrame, source: str = "source", weight: str = "wei
 
 def weighted_frequency(frequency: DataFrame, factors: DataFrame) -> DataFrame:
     """(text, n): counts times their source's factor, scaled so that the least factor is 1, rounded half to even, summed, at least 1."""
-    least = factors.agg(F.min("factor").alias("least"))
-    scaled = factors.crossJoin(least).select("source", (F.col("factor") / F.col("least")).alias("times"))  # one row by one row per source
-    joined = frequency.join(F.broadcast(scaled), "source")
+    least = F.min("factor").over(W.partitionBy(F.lit(1)))  # one row per source
+    scaled = factors.select("source", (F.col("factor") / least).alias("times"))
+    joined = frequency.join(broadcast_if_small(scaled), "source")
     return joined.groupBy("text").agg(F.greatest(F.lit(1), F.sum(F.bround(F.col("n") * F.col("times")).cast("long"))).alias("n"))
 
 

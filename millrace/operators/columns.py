@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import blank_to_null, strip
+from millrace.session import cut
 
 
 def col(name: str) -> Column:
@@ -77,20 +78,21 @@ def rename_columns(df: DataFrame, names: Mapping[str, str | None]) -> DataFrame:
 def assign_row_index(df: DataFrame, order_by: Sequence[str | Column], split: str | None = None, out: str = "row") -> DataFrame:
     """Number the rows of each split from 0 in a given order.
 
-    The rows are range-partitioned by the order first, and counted per partition, so no task sees a whole split; the order
+    The rows are range-partitioned by the order and counted per partition, so no task sees a whole split. The partitioned
+    rows are written to the checkpoint folder once: ranges are sampled, and a second evaluation could draw others. The order
     should tell all rows apart, else equal rows are numbered in any order.
     """
     keys = [o if isinstance(o, Column) else col(o) for o in order_by]
     by = [col(split)] if split else []
-    part = df.repartitionByRange(*by, *keys).withColumn("__p", F.spark_partition_id())
+    part = cut(df.repartitionByRange(*by, *keys).withColumn("__p", F.spark_partition_id()))
     counts = part.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
     ahead = counts.withColumn("__ahead", F.sum("__n").over(W.partitionBy(*by).orderBy("__p")) - F.col("__n")).drop("__n")
     local = part.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__p").orderBy(*keys)))
-    on = ["__p"] if not split else [F.col("l.__p") == F.col("a.__p"), F.col(f"l.`{split}`").eqNullSafe(F.col(f"a.`{split}`"))]
-    if not split:
-        joined = local.join(ahead, "__p")
-    else:
+    if split:
+        on = (F.col("l.__p") == F.col("a.__p")) & F.col(f"l.`{split}`").eqNullSafe(F.col(f"a.`{split}`"))
         joined = local.alias("l").join(ahead.alias("a"), on).select("l.*", "a.__ahead")
+    else:
+        joined = local.join(ahead, "__p")
     return joined.withColumn(out, (F.col("__r") - 1 + F.col("__ahead")).cast("long")).drop("__p", "__r", "__ahead")
 
 

@@ -47,14 +47,17 @@ def matches(c: Column, values: Sequence[Any], containing: bool = False, case_sen
     return text.isin(wanted)
 
 
-def in_range(c: Column, low: float | None = None, high: float | None = None) -> Column:
-    """Whether low < value < high, both ends left out, either open. NaN lies in a range: no comparison puts it outside."""
+def in_range(c: Column, low: float | None = None, high: float | None = None, floating: bool = True) -> Column:
+    """Whether low < value < high, both ends left out, either open. NaN lies in a range: no comparison puts it outside.
+
+    Spark orders NaN above all numbers, so only the upper end needs a test for it, and only `floating` values; the rest is
+    plain comparisons that reach the scan.
+    """
     inside = F.lit(True)
-    nan = F.isnan(c.cast("double"))
     if low is not None:
-        inside = inside & ((c > low) | nan)
+        inside = inside & (c > low)
     if high is not None:
-        inside = inside & ((c < high) | nan)
+        inside = inside & ((c < high) | F.isnan(c) if floating else c < high)
     return inside
 
 
@@ -72,7 +75,8 @@ def prune_matching(df: DataFrame, columns: Sequence[str], values: Sequence[Any],
 
 def prune_range(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None, negate: bool = False, behavior: str = "any", prune_nulls: bool = True) -> DataFrame:
     """Keep rows with values strictly inside a range, or with `negate` outside it or at its ends."""
-    results = [in_range(col(c), low, high) for c in columns]
+    floating = [isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in columns]
+    results = [in_range(col(c), low, high, f) for c, f in zip(columns, floating, strict=True)]
     return prune(df, columns, _several([~r for r in results] if negate else results, behavior), prune_nulls)
 
 

@@ -13,7 +13,7 @@ from millrace.operators import joins as J
 from millrace.operators import sets as U
 from millrace.operators import windows as Wn
 from millrace.queries import Registry, sql_strip
-from millrace.session import read_table
+from millrace.session import read_table, spread
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -337,7 +337,7 @@ def char_error_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Word and character error rates, overall and by source."""
-    seg = read_table(spark, d, "segments").select("source", F.upper("text_original").alias("h"), F.col("text_normalized").alias("r"))
+    seg = spread(read_table(spark, d, "segments").select("source", "text_original", "text_normalized")).select("source", F.upper("text_original").alias("h"), F.col("text_normalized").alias("r"))
     return A.error_rates(A.error_counts(seg, "h", "r"), ["source"])
 
 
@@ -499,9 +499,8 @@ def prefix_sums(spark: SparkSession, d: str) -> DataFrame:
 def carry_back(spark: SparkSession, d: str) -> DataFrame:
     """The last type before that isn't a continuation."""
     events = read_table(spark, d, "events").select("user_id", "event_id", "event_type")
-    first = events.agg(F.min("event_type").alias("__t"))
-    marked = events.join(F.broadcast(first))  # one row
-    return Wn.carry_back(marked, ["user_id"], ["event_id"], "event_type", F.col("event_type") == F.col("__t")).select("event_id", "context")
+    first = events.agg(F.min("event_type")).first()[0]
+    return Wn.carry_back(events, ["user_id"], ["event_id"], "event_type", F.col("event_type").eqNullSafe(F.lit(first))).select("event_id", "context")
 
 
 @query()

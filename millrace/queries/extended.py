@@ -19,7 +19,7 @@ from millrace.operators import validate as V
 from millrace.operators import windows as Wn
 from millrace.plans.pipeline import Pipeline
 from millrace.queries import Registry, sql_strip
-from millrace.session import read_table, shared_folder
+from millrace.session import read_table, shared_folder, spread
 from millrace.sources.files import file_stream
 from millrace.streaming import streams
 
@@ -174,7 +174,7 @@ def subword_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def spoken_forms(spark: SparkSession, d: str) -> DataFrame:
     """Texts in the words they are spoken with."""
-    return read_table(spark, d, "segments").select("seg_row", spoken.normalise(F.col("text_original")).alias("spoken"))
+    return spread(read_table(spark, d, "segments").select("seg_row", "text_original")).select("seg_row", spoken.normalise(F.col("text_original")).alias("spoken"))
 
 
 @query()

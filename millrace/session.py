@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as the session has cores, for work that computes much on few bytes.
+
+    For plain scans of a table (with projections and filters), whose partitions are known without running anything. A scan
+    of enough files is left as it is, so large tables aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the optimizer's size estimate of `df` is within `limit`; otherwise `df` itself."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
