@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import cutoffs, entity_splits, mixing, oversized, packing, reading_level, tokens
-from millrace.session import bounded_rows, read_table
+from millrace.session import bounded_rows, read_table, spread
 
 BETTER = {"ctc_mismatch": "low", "avg_word_score": "high"}
 
@@ -85,20 +85,24 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.cutoffs(records, sources, BETTER).drop("badness_cutoff")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return tokens.encode_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokens.encode_corpus(_texts(spark, sf_dir)).select("doc_id", "ids")
 
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, tokens and characters by language."""
-    documents = read_table(spark, sf_dir, "documents").select("lang", "text")
+    documents = spread(read_table(spark, sf_dir, "documents").select("lang", "text"))
     counted = documents.select("lang", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), tokens.count_column(spark, F.col("text")).alias("n"))
     return counted.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("chars").alias("n_chars"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _texts(spark, sf_dir)
     return packing.pack(documents.select("doc_id", tokens.count_column(spark, F.col("text")).alias("n_tokens")), "doc_id", "n_tokens", 1024)
 
 
@@ -120,7 +124,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
-    return reading_level.reading_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_labels"))
+    return reading_level.reading_levels(_texts(spark, sf_dir), read_table(spark, sf_dir, "reading_labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
