@@ -328,8 +328,8 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select source, cast(sum(levenshtein(coalesce(lower(text_original), ''), coalesce(lower(text_normalized), ''))) as bigint) as char_edits, cast(sum(coalesce(length(text_normalized), 0)) as bigint) as chars from segments where regexp_full_match(coalesce(text_original, ''), '[ -~]*') and length(coalesce(text_original, '')) < 400 group by 1")
 def char_error_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Character edits between original and normalised texts (ASCII texts, as the oracle counts bytes)."""
-    seg = read_table(spark, d, "segments").where(F.coalesce("text_original", F.lit("")).rlike("^[ -~]*$") & (F.char_length(F.coalesce("text_original", F.lit(""))) < 400))
+    """Character edits between original and normalised texts, in code points, over all segments (the SQL has only those of short ASCII texts)."""
+    seg = spread(read_table(spark, d, "segments").select("source", "text_original", "text_normalized"))
     low = seg.select("source", F.lower("text_original").alias("h"), F.lower("text_normalized").alias("r"), F.coalesce(F.char_length("text_normalized"), F.lit(0)).alias("chars"))
     return low.groupBy("source").agg(F.sum(X.char_edits(F.col("h"), F.col("r"))).alias("char_edits"), F.sum("chars").alias("chars"))
 

@@ -335,3 +335,24 @@ def test_timed_tokens(spark):
     df = spark.createDataFrame([(1, "ab cdef", 0.0, 6.0), (2, "x", 1.0, 1.0), (3, None, 0.0, 1.0), (4, "", 0.0, 1.0), (5, "x", None, 2.0)], "k int, t string, a double, b double")
     assert rows(Sp.timed_tokens(df, ["k"], "t", "a", "b"), "token_no") == [(1, 0, "ab", 0.0, 2.0), (1, 1, "cdef", 2.0, 6.0)]
     assert rows(Sp.segment_turns(Sp.timed_tokens(df, ["k"], "t", "a", "b"), ["k"], 5.0)) == [(1, 0, 0, 1, "ab", 0.0, 2.0), (1, 1, 1, 1, "cdef", 2.0, 6.0)]
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_char_error_counts_take_every_segment(spark, tmp_path):
+    from millrace.queries import core
+
+    pairs = [("a", "Café naïve", "cafe naive"), ("a", "x" * 450 + "Y", "x" * 440 + "z"), ("b", "漢字😀", "漢😀字"), ("b", None, "abc"), (None, "Ab", None)]
+    spark.createDataFrame(pairs, "source string, text_original string, text_normalized string").write.parquet(f"{tmp_path}/segments.parquet")
+    want = {}
+    for s, h, r in pairs:
+        edits, chars = want.get(s, (0, 0))
+        want[s] = edits + _levenshtein((h or "").lower(), (r or "").lower()), chars + len(r or "")
+    assert {r["source"]: (r["char_edits"], r["chars"]) for r in core.char_error_counts(spark, str(tmp_path)).collect()} == want
