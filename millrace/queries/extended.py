@@ -106,7 +106,7 @@ def heldout_split_random(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of a batch padded to its longest."""
-    docs = read_table(spark, d, "documents").where("text <> ''").select(F.floor(F.col("doc_id") / 16).alias("batch"), "doc_id", F.transform(F.split(F.substring("text", 1, 200), " "), lambda w: F.char_length(w).cast("double")).alias("v"))
+    docs = read_table(spark, d, "documents").where("text <> ''").select(F.floor(F.col("doc_id") / 16).alias("batch"), "doc_id", F.transform(F.split("text", " "), lambda w: F.char_length(w).cast("double")).alias("v"))
     return S.padded_batches(docs, ["batch"], ["doc_id"], "v")
 
 

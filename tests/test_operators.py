@@ -356,3 +356,14 @@ def test_char_error_counts_take_every_segment(spark, tmp_path):
         edits, chars = want.get(s, (0, 0))
         want[s] = edits + _levenshtein((h or "").lower(), (r or "").lower()), chars + len(r or "")
     assert {r["source"]: (r["char_edits"], r["chars"]) for r in core.char_error_counts(spark, str(tmp_path)).collect()} == want
+
+
+def test_padded_batches_hold_whole_texts(spark, tmp_path):
+    from millrace.queries import extended
+
+    long = " ".join(["word"] * 3000)
+    spark.createDataFrame([(0, "a bb"), (1, long), (16, "ccc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["batch"]: r for r in extended.padded_batches(spark, str(tmp_path)).collect()}
+    assert got[0]["length"] == 3000 and got[0]["lengths"] == [2, 3000]
+    assert got[0]["values"] == [[1.0, 2.0] + [0.0] * 2998, [4.0] * 3000]
+    assert got[1]["values"] == [[3.0]]
