@@ -367,3 +367,11 @@ def test_padded_batches_hold_whole_texts(spark, tmp_path):
     assert got[0]["length"] == 3000 and got[0]["lengths"] == [2, 3000]
     assert got[0]["values"] == [[1.0, 2.0] + [0.0] * 2998, [4.0] * 3000]
     assert got[1]["values"] == [[3.0]]
+
+
+def test_clean_html_keeps_texts_with_entities(spark, tmp_path):
+    from millrace.queries import extended
+
+    texts = ["plain <b>text</b>", "Tom &amp; Ann&nbsp;&eacute;", "R&D", "&lt;i&gt;x&#33;", "&nbsp;", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(extended.clean_html(spark, str(tmp_path)), "doc_id") == [(0, "plain text"), (1, "Tom & Ann é"), (2, "R&D"), (3, "x!"), (4, None)]
