@@ -2,7 +2,8 @@
 
 The least number of pieces that can hold an item under the limit gives equal-length targets; each target moves to the
 strongest boundary that lies near (end of a sentence, then of a clause, then of a word, else any character), and pieces
-are added where a limit fails or a further piece lets more pieces end with a sentence. Consecutive pieces overlap.
+are added, as many as it takes, where a limit fails or further pieces let more pieces end with a sentence. Consecutive
+pieces overlap.
 """
 
 from __future__ import annotations
@@ -114,61 +115,85 @@ def _boundaries(text: str) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
-def _cuts(text: str, places: list[int], strengths: list[int], length: float, limit: float, overlap: float, n: int) -> list[tuple[int, float, int]] | None:
-    """(character, second, strength) of the n - 1 inner cuts, or None if n pieces can't hold the item."""
-    out: list[tuple[int, float, int]] = []
-    start, size = 0.0, len(text)
-    per = length / size if size else 0.0
-    for i in range(1, n):
-        left = n - i  # pieces after this one
-        hi = min(start + limit, length)
-        lo = max(start + overlap + 1e-6, length + overlap - left * (limit - overlap) - overlap)
-        if lo > hi:
-            return None
-        # equal targets for what is left
-        target = min(max(start + (length - start + left * overlap) / (left + 1), lo), hi)
-        best: tuple | None = None
-        if size:
-            a, b = bisect.bisect_left(places, lo / per), bisect.bisect_right(places, hi / per)
-            for j in range(a, b):
-                second = places[j] * per
-                if lo <= second <= hi and (best is None or (-strengths[j], abs(second - target)) < best[0]):
-                    best = ((-strengths[j], abs(second - target)), places[j], second, strengths[j])
-        if best:
-            out.append((best[1], best[2], best[3]))
+def _cuts(bounds: list[tuple[int, int]], size: int, length: float, limit: float, overlap: float) -> list[tuple[int, float]]:
+    """(character, second) of the inner cuts: the fewest that aren't ends of sentences, then the fewest in all.
+
+    A cut lies at most `limit - overlap` after the one before it (the first at most `limit` after the start), and a later
+    cut never leaves more to do. So the furthest cut of each kind that can be reached gives what is left at best, and any
+    cut as good as the furthest may be taken for it: the one nearest its equal target.
+    """
+    step, per = limit - overlap, length / size if size else 0.0
+    least = 1e-6  # seconds between two cuts
+    ends = [(p * per, p) for p, s in bounds if s == 3]
+    seconds = [x for x, _ in ends]
+    others = [(p * per, p, s) for p, s in bounds if s < 3]
+    other_seconds = [x for x, _, _ in others]
+    known: list[tuple[int, int]] = [(0, 0)] * len(ends)
+
+    def ahead(at: float) -> int:
+        """The furthest end of a sentence within a step, or -1."""
+        j = bisect.bisect_right(seconds, at + step + 1e-9) - 1
+        return j if j >= 0 and seconds[j] > at + least else -1
+
+    def cost(at: float) -> tuple[int, int]:
+        """(cuts that aren't ends of sentences, pieces) of what lies after a cut."""
+        best: tuple[int, int] | None = None
+        k = 0  # such cuts before the next end of a sentence, each a whole step on
+        while best is None or k <= best[0]:
+            here = at + k * step
+            if length - here <= step + 1e-9:
+                return min(best or (k, k + 1), (k, k + 1))
+            j = ahead(here)
+            if j >= 0:
+                best = min(best or (k + known[j][0], k + 1 + known[j][1]), (k + known[j][0], k + 1 + known[j][1]))
+                k += 1
+            else:
+                later = bisect.bisect_right(seconds, here + least)
+                goal = seconds[later] if later < len(seconds) else length
+                k = max(k + 1, math.ceil((goal - at) / step - 1e-9) - 1)
+        return best
+
+    for i in range(len(ends) - 1, -1, -1):
+        known[i] = cost(seconds[i])
+    out: list[tuple[int, float]] = []
+    at = overlap  # as if a cut had been here: the first piece has no overlap before it
+    while not out or length - at > step + 1e-9:
+        far = min(at + step, length * (1 - 1e-9))
+        j, rest = ahead(at), cost(far)
+        cut = (rest[0] + 1, rest[1])
+        whole = j >= 0 and known[j] <= cut
+        target = at + (length - at) / ((known[j][1] if whole else rest[1]) + 1)
+        if whole:
+            near = range(bisect.bisect_right(seconds, at + least), j + 1)
+            best = min((i for i in near if known[i] <= known[j]), key=lambda i: abs(seconds[i] - target))
+            out.append((ends[best][1], seconds[best]))
         else:
-            at = min(size, max(0, int(target / per))) if per else 0
-            out.append((at, target, 0))
-        start = out[-1][1] - overlap
-    return out if length - start <= limit + 1e-9 else None
+            a, b = bisect.bisect_right(other_seconds, at + least), bisect.bisect_right(other_seconds, far)
+            first = bisect.bisect_left(range(a, b), True, key=lambda i: cost(other_seconds[i]) <= rest)
+            if a + first < b:
+                second, place, _ = min(others[a + first : b], key=lambda o: (-o[2], abs(o[0] - target)))
+            else:
+                second = target if cost(target) <= rest else far
+                place = min(size, max(0, int(second / per))) if per else 0
+            out.append((place, second))
+        at = out[-1][1]
+    return out
 
 
 def pieces_of(text: str | None, length: float, limit: float, overlap: float) -> list[tuple[str | None, float, float]]:
     """(text, start, end) of the pieces, in seconds from the item's start; time runs evenly over the characters.
 
-    No piece is longer than the limit. An overlap that isn't below half the limit counts as half of it. An item within
+    No piece is longer than the limit. As few cuts as possible aren't ends of sentences, and of the ways to do that the one with
+    the fewest pieces is taken. An overlap that isn't below half the limit counts as half of it. An item within
     the limit is one piece. Text that is null or empty is cut by time alone and stays as it is.
     """
     if not length > limit:
         return [(text, 0.0, length)]
     overlap = min(max(overlap, 0.0), limit / 2)
-    bounds = _boundaries(text) if text else []
-    places, strengths = [p for p, _ in bounds], [s for _, s in bounds]
-    first = max(2, math.ceil((length - overlap) / (limit - overlap) - 1e-9))
-    best = None
-    # one piece more at a time, and for items of many pieces in shares of them
-    for n in sorted({first, first + 1, first + 2, first + 3, *(math.ceil(first * x) for x in (1.05, 1.1, 1.25, 1.5))}):
-        cuts = _cuts(text or "", places, strengths, length, limit, overlap, n)
-        if cuts is not None:
-            rank = (sum(s < 3 for _, _, s in cuts), n)
-            if best is None or rank < best[0]:
-                best = (rank, cuts)
-            if rank[0] == 0:
-                break
-    cuts = best[1]
+    cuts = _cuts(_boundaries(text) if text else [], len(text or ""), length, limit, overlap)
     out = []
     start, size = 0.0, len(text or "")
-    for at, second, _ in [*cuts, (size, length, 3)]:
+    for at, second in [*cuts, (size, length)]:
         begin = 0 if start == 0 or not text else round(start / length * size)
         if text and 0 < begin < size and not text[begin - 1].isspace():
             later = SPACE.search(text, begin, at)  # the overlap begins with a whole word

@@ -1,4 +1,5 @@
 import math
+import re
 import random
 
 import numpy as np
@@ -426,3 +427,34 @@ def test_layout_doesnt_count():
     assert reading_level.sentences(reading_level.plain(plain)) == reading_level.sentences(reading_level.plain(wrapped))
     assert reading_level.sentences("The dog ran\nThe cat sat") == [["the", "dog", "ran"], ["the", "cat", "sat"]]
     assert reading_level.sentences("") == []
+
+
+def _least(ends, length, limit, overlap):
+    """(cuts that aren't ends of sentences, pieces) at best, over all pairs of ends; whole tenths of seconds."""
+    step, points = limit - overlap, [overlap, *(e for e in ends if e > overlap), length]
+    best = [(0, 0)]
+    for j in range(1, len(points)):
+        spans = [-(-(points[j] - points[i]) // step) for i in range(j)]
+        best.append(min((best[i][0] + n - 1, best[i][1] + n) for i, n in enumerate(spans)))
+    return best[-1]
+
+
+def test_every_sentence_its_own_piece():
+    text = "".join("a" * 288 + ". " + "B" * 18 + ". " for _ in range(8))[:-1]
+    text = "".join(x[0].upper() + x[1:] for x in re.split(r"(?<=\. )", text))
+    got = oversized.pieces_of(text, len(text) / 10, 30.0, 0.0)
+    assert all(t.endswith(".") for t, _, _ in got) and len(got) > 12
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(4, 400), min_size=2, max_size=25), st.integers(20, 300), st.integers(0, 40))
+def test_cuts_are_as_good_as_can_be(sizes, limit, overlap):
+    text = " ".join("A" + "b" * (n - 3) + "." for n in sizes)
+    length, overlap = len(text), min(overlap, limit // 2)
+    if length <= limit:
+        return
+    ends = oversized.sentence_ends(text)
+    got = oversized.pieces_of(text, float(length), float(limit), float(overlap))
+    own = {float(e) for e in ends}
+    assert (sum(min((abs(b - e) for e in own), default=1) > 1e-6 for _, _, b in got[:-1]), len(got)) == _least(ends, length, limit, overlap)
+    assert all(b - a <= limit + 1e-6 for _, a, b in got)
