@@ -375,3 +375,17 @@ def test_clean_html_keeps_texts_with_entities(spark, tmp_path):
     texts = ["plain <b>text</b>", "Tom &amp; Ann&nbsp;&eacute;", "R&D", "&lt;i&gt;x&#33;", "&nbsp;", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(extended.clean_html(spark, str(tmp_path)), "doc_id") == [(0, "plain text"), (1, "Tom & Ann é"), (2, "R&D"), (3, "x!"), (4, None)]
+
+
+def test_turns_of_unknown_speakers_and_labels_inside_lines(spark):
+    import datetime
+
+    text = "unknown: First.\nMR. DOE: Hello. JUSTICE ROE: Why? CHIEF JUSTICE POE. Go on.\nunknown: An unknown: thing.\nMS. LEE: I told Mr. Doe: no. It's MR. DOE here."
+    turns = Sp.parse_turns(spark.createDataFrame([("d", datetime.date(2020, 1, 1), text)], "docket string, day date, transcript string"), ["docket", "day"], "transcript")
+    assert rows(turns.select("turn", "speaker", "text", "line_start"), "turn") == [
+        (0, "unknown", "First.", 1), (1, "MR. DOE", "Hello.", 2), (2, "JUSTICE ROE", "Why?", 2), (3, "CHIEF JUSTICE POE", "Go on.", 2),
+        (4, "unknown", "An unknown: thing.", 3), (5, "MS. LEE", "I told Mr. Doe: no. It's MR. DOE here.", 4),
+    ]
+    bench = spark.createDataFrame([("Justice Roe", datetime.date(2000, 1, 1), None)], "name string, start_date date, end_date date")
+    got = rows(Sp.resolve_speakers(turns, "speaker", "day", bench, "court").select("turn", "speaker_id", "role"), "turn")
+    assert [r[1:] for r in got] == [("court:unknown", "unknown"), ("court:adv:DOE", "advocate"), ("court:JUSTICE ROE", "justice"), ("court:unknown", "unknown"), ("court:unknown", "unknown"), ("court:adv:LEE", "advocate")]
