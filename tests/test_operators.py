@@ -389,3 +389,14 @@ def test_turns_of_unknown_speakers_and_labels_inside_lines(spark):
     bench = spark.createDataFrame([("Justice Roe", datetime.date(2000, 1, 1), None)], "name string, start_date date, end_date date")
     got = rows(Sp.resolve_speakers(turns, "speaker", "day", bench, "court").select("turn", "speaker_id", "role"), "turn")
     assert [r[1:] for r in got] == [("court:unknown", "unknown"), ("court:adv:DOE", "advocate"), ("court:JUSTICE ROE", "justice"), ("court:unknown", "unknown"), ("court:unknown", "unknown"), ("court:adv:LEE", "advocate")]
+
+
+def test_all_customers_are_roots_and_all_orders_indexed(spark, tmp_path):
+    from millrace.queries import core, extended
+
+    for name, data, kind in [("customer", [(1, 7), (50, 8), (51, 7)], "c_custkey long, c_nationkey int"), ("nation", [(7, 2), (8, 2)], "n_nationkey int, n_regionkey int"), ("orders", [(1, 5.0), (3, 6.0), (4, 7.0)], "o_orderkey long, o_totalprice double")]:
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {(f"c{c}", n, i) for c, k in [(1, 7), (50, 8), (51, 7)] for i, n in enumerate([f"c{c}", f"n{k}", "r2"])}
+    got = rows(extended.ancestry_closure(spark, str(tmp_path)))
+    assert set(got) == want and len(got) == 9
+    assert rows(core.index_source_join(spark, str(tmp_path)), "row") == [(0, 1, 5.0, 0), (1, 3, 6.0, 2), (2, 4, 7.0, 4)]
