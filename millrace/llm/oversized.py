@@ -1,9 +1,13 @@
 """Splitting oversized items at natural boundaries.
 
-The least number of pieces that can hold an item under the limit gives equal-length targets; each target moves to the
-strongest boundary that lies near (end of a sentence, then of a clause, then of a word, else any character), and pieces
-are added, as many as it takes, where a limit fails or further pieces let more pieces end with a sentence. Consecutive
-pieces overlap.
+The least number of pieces that can hold an item under the limit gives equal-length targets. Each target moves to the
+strongest boundary (end of a sentence, then of a clause, then of a word, else any character) within `NEAR` of a piece's
+length around it, the nearest among equals, and a piece is added where a limit fails. Consecutive pieces overlap.
+
+Pieces are to end where sentences end if that is possible. So only where a target had no end of a sentence near it, all ways
+to cut the item are weighed by dynamic programming: first the fewest cuts that aren't ends of sentences, then the fewest
+pieces, then the most equal ones. No piece in them is shorter than `SHORTEST` of the limit, so an end of a sentence
+beside the item's own end draws no cut there.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,12 @@ CLOSERS = "\"'”’»)]}』」›"
 OPENERS = "\"'“‘«([{„‚「『‹¿¡-–—*"
 CLAUSE = re.compile(r"[,;:—–](?=\s)")
 SPACE = re.compile(r"\s+")
+#: How far a cut may lie from its target, as a share of the way between two targets; the least piece of the second search as a share of the limit.
+NEAR, SHORTEST = 0.25, 0.05
+#: What a word is searched back to; applied to reversed text, so the cost is the word's length.
+_WORD_BACK = re.compile(r"[^\s(\[{\"“‘«'—–/]*")
+_LETTERS_BACK = re.compile(r"[^\W\d_]*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def sentence_ends(text: str | None) -> list[int]:
@@ -42,11 +53,19 @@ def sentence_ends(text: str | None) -> list[int]:
         return []
     out: list[int] = []
     size = len(text)
-    quotes, counted = 0, 0
+    quotes, done = 0, 0
+    token, initials = 0, True  # where the word before a mark begins; whether its earlier parts are single letters with full stops
     for m in MARKS.finditer(text):
         start, end = m.span()
-        quotes += text.count('"', counted, end)
-        counted = end
+        quotes += text.count('"', done, end)
+        back = text[done:start][::-1]
+        own = _WORD_BACK.match(back).end()
+        if own < len(back):
+            token, initials = start - own, True
+        part_from, letters = max(token, done), _LETTERS_BACK.match(back).end()
+        was_initials = initials
+        initials = initials and start - part_from == 1 and text[part_from].isalpha() and m.group() == "."
+        done = end
         closed, inside = end, quotes
         while closed < size and text[closed] in CLOSERS:
             if text[closed] == '"':
@@ -72,27 +91,33 @@ def sentence_ends(text: str | None) -> list[int]:
             continue
         if joined and closed == end:
             # no white space: only a word before and a capitalised word or an opening mark after make it an end
-            before = re.search(r"[^\W\d_]{2,}$", text[max(0, start - 40) : start])
+            before = back[:letters][::-1] if letters >= 2 else ""
             follows = text[at + 1 : at + 2]
-            capital = after.isupper() and bool(follows) and (follows.islower() or follows in " '’" or (follows == "." and before and before.group().islower() and len(before.group()) > 2))
-            if not before or not (capital or after in "\"“‘«([") or text[max(0, start - 12) : start].lower().endswith(("www", "http")):
+            capital = after.isupper() and bool(follows) and (follows.islower() or follows in " '’" or (follows == "." and before.islower() and len(before) > 2))
+            if not before or not (capital or after in "\"“‘«([") or before.lower().endswith(("www", "http")):
                 continue
         elif joined and not (after.isupper() or after in OPENERS):
             continue
         if mark == ".":
-            word = re.search(r"[^\s(\[{\"“‘«'—–/]*$", text[max(0, start - 60) : start]).group()
-            if not joined and "." in word and re.match(r"[^\W\d_]{2,}\.[A-Z][a-z]*$", word):
-                word = word.rpartition(".")[2]  # sentences run together: the abbreviation is what follows the joint
-            low = word.lower().rstrip(".")
+            part = text[part_from:start]
+            # sentences run together (shore.Mr. Bo): the abbreviation is what follows the joint
+            run_on = not joined and part_from > token and part_from - token > 2 and text[part_from - 1] == "." and text[part_from - 3 : part_from - 1].isalpha() and re.fullmatch(r"[A-Z][a-z]*", part)
+            dotted = part_from > token and not run_on
+            low = text[token:start].lower() if dotted and start - token <= 12 else "" if dotted else part.lower()
             if closed == end:
                 if low in TITLES or (after.isdigit() and low in NUMBERED):
                     continue
-                if len(word) == 1 and word.isalpha() and word.isupper() and after.isupper() and not _starter(text, at, pronoun=word == "I"):
+                if not dotted and len(part) == 1 and part.isalpha() and part.isupper() and after.isupper() and not _starter(text, at, pronoun=part == "I"):
                     continue
-                if (low in EITHER or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word)) and not (after in OPENERS or _starter(text, at)):
+                lettered = dotted and was_initials and len(part) == 1 and part.isalpha()
+                if (low in EITHER or lettered) and not (after in OPENERS or _starter(text, at)):
                     continue
-            if not word and re.search(r"(?:^|[.\s])\s*$", text[max(0, start - 3) : start]) and not re.search(r"[^.\s]\s*$", text[max(0, start - 3) : start]):
-                continue  # a full stop by itself
+            if start == token:
+                near = start
+                while near and text[near - 1].isspace():
+                    near -= 1
+                if not near or text[near - 1] == ".":
+                    continue  # a full stop by itself
         elif mark[-1] in "!?" and closed > end and text[closed - 1] in "\"”’»" and SAID.match(text, at):
             continue
         out.append(closed)
@@ -101,12 +126,14 @@ def sentence_ends(text: str | None) -> list[int]:
 
 def _starter(text: str, at: int, pronoun: bool = True) -> bool:
     """Whether a usual first word of a sentence stands here. After an initial it takes more than one: initials stand before names."""
-    m = re.match(r"[^\W\d_]+", text[at : at + 30])
+    m = _LETTERS.match(text, at)
     return bool(m and m.group().lower() in STARTERS and len(m.group()) > 1 and pronoun)
 
 
-def _boundaries(text: str) -> list[tuple[int, int]]:
+def boundaries(text: str | None) -> list[tuple[int, int]]:
     """(place, strength) in order: 3 end of a sentence, 2 of a clause, 1 of a word."""
+    if not text:
+        return []
     found = {m.start(): 1 for m in SPACE.finditer(text)}
     found |= {m.end(): 2 for m in CLAUSE.finditer(text)}
     found |= dict.fromkeys(sentence_ends(text), 3)
@@ -115,91 +142,104 @@ def _boundaries(text: str) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
-def _cuts(bounds: list[tuple[int, int]], size: int, length: float, limit: float, overlap: float) -> list[tuple[int, float]]:
-    """(character, second) of the inner cuts: the fewest that aren't ends of sentences, then the fewest in all.
-
-    A cut lies at most `limit - overlap` after the one before it (the first at most `limit` after the start), and a later
-    cut never leaves more to do. So the furthest cut of each kind that can be reached gives what is left at best, and any
-    cut as good as the furthest may be taken for it: the one nearest its equal target.
-    """
-    step, per = limit - overlap, length / size if size else 0.0
-    least = 1e-6  # seconds between two cuts
-    ends = [(p * per, p) for p, s in bounds if s == 3]
-    seconds = [x for x, _ in ends]
-    others = [(p * per, p, s) for p, s in bounds if s < 3]
-    other_seconds = [x for x, _, _ in others]
-    known: list[tuple[int, int]] = [(0, 0)] * len(ends)
-
-    def ahead(at: float) -> int:
-        """The furthest end of a sentence within a step, or -1."""
-        j = bisect.bisect_right(seconds, at + step + 1e-9) - 1
-        return j if j >= 0 and seconds[j] > at + least else -1
-
-    def cost(at: float) -> tuple[int, int]:
-        """(cuts that aren't ends of sentences, pieces) of what lies after a cut."""
-        best: tuple[int, int] | None = None
-        k = 0  # such cuts before the next end of a sentence, each a whole step on
-        while best is None or k <= best[0]:
-            here = at + k * step
-            if length - here <= step + 1e-9:
-                return min(best or (k, k + 1), (k, k + 1))
-            j = ahead(here)
-            if j >= 0:
-                best = min(best or (k + known[j][0], k + 1 + known[j][1]), (k + known[j][0], k + 1 + known[j][1]))
-                k += 1
-            else:
-                later = bisect.bisect_right(seconds, here + least)
-                goal = seconds[later] if later < len(seconds) else length
-                k = max(k + 1, math.ceil((goal - at) / step - 1e-9) - 1)
-        return best
-
-    for i in range(len(ends) - 1, -1, -1):
-        known[i] = cost(seconds[i])
-    out: list[tuple[int, float]] = []
-    at = overlap  # as if a cut had been here: the first piece has no overlap before it
-    while not out or length - at > step + 1e-9:
-        far = min(at + step, length * (1 - 1e-9))
-        j, rest = ahead(at), cost(far)
-        cut = (rest[0] + 1, rest[1])
-        whole = j >= 0 and known[j] <= cut
-        target = at + (length - at) / ((known[j][1] if whole else rest[1]) + 1)
-        if whole:
-            near = range(bisect.bisect_right(seconds, at + least), j + 1)
-            best = min((i for i in near if known[i] <= known[j]), key=lambda i: abs(seconds[i] - target))
-            out.append((ends[best][1], seconds[best]))
-        else:
-            a, b = bisect.bisect_right(other_seconds, at + least), bisect.bisect_right(other_seconds, far)
-            first = bisect.bisect_left(range(a, b), True, key=lambda i: cost(other_seconds[i]) <= rest)
-            if a + first < b:
-                second, place, _ = min(others[a + first : b], key=lambda o: (-o[2], abs(o[0] - target)))
+Cut = tuple[int, float, int]
+
+
+def _snapped(bounds: list[tuple[int, int]], size: int, length: float, limit: float, overlap: float) -> list[Cut]:
+    """(character, second, strength) of the inner cuts: equal targets for the least number of pieces, each moved to the strongest boundary near it; a piece more where a limit fails."""
+    per = length / size if size else 0.0
+    seconds = [p * per for p, _ in bounds]
+    n = max(2, math.ceil((length - overlap) / (limit - overlap) - 1e-9))
+    while True:
+        whole = (length + (n - 1) * overlap) / n  # of a piece
+        step = whole - overlap
+        near = NEAR * step
+        cuts: list[Cut] = []
+        start = 0.0
+        for k in range(1, n):
+            target = whole + (k - 1) * step
+            last = min(target + near, start + limit)
+            a, b = bisect.bisect_left(seconds, target - near), bisect.bisect_right(seconds, last)
+            if a < b:
+                at = min(range(a, b), key=lambda i: (-bounds[i][1], abs(seconds[i] - target)))
+                cuts.append((bounds[at][0], seconds[at], bounds[at][1]))
             else:
-                second = target if cost(target) <= rest else far
-                place = min(size, max(0, int(second / per))) if per else 0
-            out.append((place, second))
-        at = out[-1][1]
-    return out
-
-
-def pieces_of(text: str | None, length: float, limit: float, overlap: float) -> list[tuple[str | None, float, float]]:
-    """(text, start, end) of the pieces, in seconds from the item's start; time runs evenly over the characters.
-
-    No piece is longer than the limit. As few cuts as possible aren't ends of sentences, and of the ways to do that the one with
-    the fewest pieces is taken. An overlap that isn't below half the limit counts as half of it. An item within
-    the limit is one piece. Text that is null or empty is cut by time alone and stays as it is.
+                second = min(target, last)
+                cuts.append((min(size, max(0, int(second / per))) if per else 0, second, 0))
+            start = cuts[-1][1] - overlap
+        if length - start <= limit + 1e-9 and all(b[1] - a[1] > 1e-9 for a, b in zip([(0, overlap, 0), *cuts], cuts, strict=False)):
+            return cuts
+        n += 1
+
+
+def _weighed(bounds: list[tuple[int, int]], size: int, length: float, limit: float, overlap: float) -> list[Cut] | None:
+    """The cuts at boundaries with the fewest that aren't ends of sentences, then the fewest in all, then the least sum of squared lengths; None if no row of boundaries holds the limit."""
+    per = length / size
+    at = np.array([p * per for p, _ in bounds])
+    weak = np.array([s < 3 for _, s in bounds], dtype=np.int64)
+    m = len(at)
+    least = SHORTEST * limit
+    ends = np.append(at, length)
+    weak = np.append(weak, 0)
+    cost = np.full(m + 1, -1, dtype=np.int64)  # weak cuts x (m + 2) + pieces; -1 is out of reach
+    spread, back = np.zeros(m + 1), np.full(m + 1, -1)
+    for j in range(m + 1):
+        x = ends[j]
+        best: tuple[int, float, int] | None = (int(weak[j]) * (m + 2) + 1, x * x, -1) if least <= x <= limit + 1e-9 else None
+        lo, hi = np.searchsorted(at, x - (limit - overlap) - 1e-9), np.searchsorted(at, x - least, side="right")
+        hi = min(hi, j)
+        if lo < hi and (ok := cost[lo:hi] >= 0).any():
+            own = np.where(ok, cost[lo:hi], np.iinfo(np.int64).max)
+            low = own.min()
+            dev = np.where(own == low, spread[lo:hi] + (x - at[lo:hi]) ** 2, np.inf)
+            i = int(dev.argmin())
+            found = (int(low) + int(weak[j]) * (m + 2) + 1, float(dev[i]), lo + i)
+            best = found if best is None or found[:2] < best[:2] else best
+        if best is not None:
+            cost[j], spread[j], back[j] = best
+    if cost[m] < 0:
+        return None
+    out: list[Cut] = []
+    j = int(back[m])
+    while j >= 0:
+        out.append((bounds[j][0], float(at[j]), bounds[j][1]))
+        j = int(back[j])
+    return out[::-1]
+
+
+def cuts_of(bounds: list[tuple[int, int]], size: int, length: float, limit: float, overlap: float) -> list[Cut]:
+    """The inner cuts of an item of `size` characters and `length` seconds."""
+    cuts = _snapped(bounds, size, length, limit, overlap)
+    if all(s == 3 for *_, s in cuts) or not any(s == 3 for _, s in bounds):
+        return cuts
+    weighed = _weighed(bounds, size, length, limit, overlap)
+    weak = lambda c: sum(s < 3 for *_, s in c)
+    return weighed if weighed is not None and weak(weighed) < weak(cuts) else cuts
+
+
+def pieces_of(text: str | None, length: float, limit: float, overlap: float) -> list[tuple[str | None, float, float, list[int]]]:
+    """(text, start, end, ends of sentences) of the pieces, in seconds from the item's start; time runs evenly over the characters.
+
+    No piece is longer than the limit. The ends of sentences are places in the item's text, each given with the piece it
+    lies in, up to and including its last character. An overlap that isn't below half the limit counts as half of it. An
+    item within the limit is one piece. Text that is null or empty is cut by time alone and stays as it is.
     """
+    bounds = boundaries(text)
+    ends = [p for p, s in bounds if s == 3]
     if not length > limit:
-        return [(text, 0.0, length)]
+        return [(text, 0.0, length, ends)]
     overlap = min(max(overlap, 0.0), limit / 2)
-    cuts = _cuts(_boundaries(text) if text else [], len(text or ""), length, limit, overlap)
+    size = len(text or "")
     out = []
-    start, size = 0.0, len(text or "")
-    for at, second in [*cuts, (size, length)]:
+    start, last = 0.0, 0
+    for at, second, _ in [*cuts_of(bounds, size, length, limit, overlap), (size, length, 3)]:
         begin = 0 if start == 0 or not text else round(start / length * size)
         if text and 0 < begin < size and not text[begin - 1].isspace():
             later = SPACE.search(text, begin, at)  # the overlap begins with a whole word
             begin = later.end() if later and later.end() < at else begin
-        out.append((text[begin:at].strip() if text else text, start, second))
-        start = second - overlap
+        stop = bisect.bisect_right(ends, at)
+        out.append((text[begin:at].strip() if text else text, start, second, ends[last:stop]))
+        start, last = second - overlap, stop
     return out
 
 
@@ -219,21 +259,12 @@ def oversized_records(df: DataFrame, sources: DataFrame, key: str = "id", row: s
     return long.groupBy(key).agg(F.min_by(kept, row).alias("k")).select(key, "k.*")
 
 
-def record_boundaries(df: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
-    """(key, char_pos) of each end of a sentence, but the last, inside the oversized records: where the splitter cuts first."""
-
-    @F.pandas_udf("array<int>")
-    def ends(texts: pd.Series) -> pd.Series:
-        return texts.map(sentence_ends)
-
-    return oversized_records(df, sources, key).where("text is not null").select(key, F.explode(ends("text")).alias("char_pos"))
-
-
 def split_oversized(df: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
-    """(key, piece, n_pieces, text, start_s, end_s) of the oversized records.
+    """(key, piece, n_pieces, text, start_s, end_s, sentence_ends) of the oversized records.
 
-    start_s and end_s count from the record's start_s, or from 0 where its times are null. A record of infinite length comes
-    as one piece per sentence without times.
+    start_s and end_s count from the record's start_s, or from 0 where its times are null. `sentence_ends` are the places in
+    the record's text where one sentence ends and another begins, as the splitter weighed them, each with the one piece
+    it lies in. A record of infinite length comes as one piece per sentence without times.
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,12 +274,17 @@ def split_oversized(df: DataFrame, sources: DataFrame, key: str = "id") -> DataF
                 text = None if text is None or text != text else text
                 if math.isinf(length):
                     at = [0, *sentence_ends(text), len(text or "")]
-                    parts = [(text[a:b].strip() if text else text, None, None) for a, b in zip(at, at[1:], strict=False)]
+                    parts = [(text[a:b].strip() if text else text, None, None, [b] if b < at[-1] else []) for a, b in zip(at, at[1:], strict=False)]
                 else:
                     base = begins if math.isfinite(begins) else 0.0
-                    parts = [(t, base + a, base + b) for t, a, b in pieces_of(text, length, limit, overlap)]
+                    parts = [(t, base + a, base + b, e) for t, a, b, e in pieces_of(text, length, limit, overlap)]
                 rows += [(k, i, len(parts), *p) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["k", "piece", "n_pieces", "text", "start_s", "end_s"]).astype({"start_s": "float64", "end_s": "float64"}).rename(columns={"k": key})
+            yield pd.DataFrame(rows, columns=["k", "piece", "n_pieces", "text", "start_s", "end_s", "sentence_ends"]).astype({"start_s": "float64", "end_s": "float64"}).rename(columns={"k": key})
 
     kind = df.schema[key].dataType.simpleString()
-    return oversized_records(df, sources, key).mapInPandas(cut_up, f"{key} {kind}, piece int, n_pieces int, text string, start_s double, end_s double")
+    return oversized_records(df, sources, key).mapInPandas(cut_up, f"{key} {kind}, piece int, n_pieces int, text string, start_s double, end_s double, sentence_ends array<int>")
+
+
+def record_boundaries(df: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
+    """(key, char_pos) of each end of a sentence, but the last, inside the oversized records: those the splitter weighed for its cuts."""
+    return split_oversized(df, sources, key).select(key, F.explode("sentence_ends").alias("char_pos"))

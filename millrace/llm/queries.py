@@ -70,7 +70,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the oversized records."""
-    return oversized.split_oversized(read_table(spark, sf_dir, "segments"), read_table(spark, sf_dir, "mixture_sources"))
+    return oversized.split_oversized(read_table(spark, sf_dir, "segments"), read_table(spark, sf_dir, "mixture_sources")).drop("sentence_ends")
+
+
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each oversized record cover: from where to where, the seconds without what they share, and whether all hold the limit and share the overlap."""
+    sources = read_table(spark, sf_dir, "mixture_sources")
+    pieces = p4_pieces(spark, sf_dir).where("start_s is not null")
+    records = oversized.oversized_records(read_table(spark, sf_dir, "segments").drop("text_original").withColumn("text_original", F.lit("")), sources).select(F.col("id").alias("i"), "limit", F.least(F.greatest("overlap", F.lit(0.0)), F.col("limit") / 2).alias("overlap"))
+    ends = F.sort_array(F.collect_list(F.struct("piece", "start_s", "end_s")))
+    by = pieces.groupBy("id").agg(F.count("*").alias("n"), ends.alias("e")).join(records, F.col("id") == F.col("i"))
+    holds = F.forall("e", lambda x: x["end_s"] - x["start_s"] <= F.col("limit") + 1e-6)
+    shares = F.forall(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: (i == 1) | (F.abs(F.try_element_at("e", i - F.when(i > 1, 1).otherwise(0))["end_s"] - F.try_element_at("e", i)["start_s"] - F.col("overlap")) < 1e-6))
+    covered = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"]) - (F.col("n") - 1) * F.col("overlap")
+    return by.select("id", F.round(F.element_at("e", 1)["start_s"], 3).alias("begins"), F.round(F.element_at("e", -1)["end_s"], 3).alias("ends"), F.round(covered, 3).alias("covered"), (holds & shares & (F.col("n") > 1)).alias("holds"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +137,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
-    return reading_level.reading_levels(_texts(spark, sf_dir), read_table(spark, sf_dir, "reading_labels"))
+    return reading_level.reading_levels(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), read_table(spark, sf_dir, "reading_labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +145,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).where("english and n_words >= 40 and level = 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_mixture, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_pieces, p5_found, p5_cutoffs, p6_ids, p6_profile, p7_found, p7_sequences, p7_report, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_mixture, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_pieces, p4_cover, p5_found, p5_cutoffs, p6_ids, p6_profile, p7_found, p7_sequences, p7_report, p8_found, p8_levels)}
 
 _KEY = r"lower(upper(regexp_replace({0}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')))"
 
@@ -158,6 +171,12 @@ ORACLES = {
              seg as (select seg_row, {_key("speaker_id")} k, n.split from segments left join split_names n on segments.split = n.split_raw)
         select min(seg_row) as first_seg_row from seg left join comp on seg.k = comp.a where k is not null
         group by coalesce(c, k) having count(distinct seg.split) filter (seg.split in ('train', 'validation', 'test')) >= 2""",
+    "p4_cover": """
+        with m as (select source, max_segment_seconds as lim from mixture_sources where source is not null and max_segment_seconds > 0 and not isnan(max_segment_seconds)),
+             r as (select id, seg_row, case when end_s is null or start_s is null then 0 else start_s end as b,
+                          case when start_s is null or end_s is null then duration_s else end_s - start_s end as l, lim from segments join m using (source) where id is not null),
+             o as (select id, arg_min(b, seg_row) as b, arg_min(l, seg_row) as l from r where l is not null and not isnan(l) and l > lim group by id)
+        select id, round(b, 3) as begins, round(b + l, 3) as ends, round(l, 3) as covered, true as holds from o where not isinf(l)""",
     "p5_found": """
         with r as (select id, s.source, min(case score_field when 'ctc_mismatch' then ctc_mismatch when 'avg_word_score' then -avg_word_score end) b
                    from segments s join mixture_sources m using (source) where id is not null

@@ -2,11 +2,16 @@
 
 A linear ranker is learnt from pairs of graded documents, the harder against the easier, on features of syntax (length of
 sentences, clauses, subordination) and vocabulary (length of words, grades of words learnt from the graded documents).
-Isotonic regression turns its scores into levels. Layout, capitals, speaker names, markup and stray symbols are taken off
-first, so they can't change a level. English is told by its function words, not by the language field.
+Isotonic regression turns its scores into levels; it is fitted on held-out scores, each from a ranker and word grades that
+didn't see the document. Layout, capitals, speaker names, markup and stray symbols are taken off first, so they can't
+change a level.
 
-Fitting takes at most `GRADED` graded documents (those of least hash) and `PAIR_SAMPLE` pairs; word grades at most
-`WORDS` words. Everything else runs over all documents.
+Whether a text is English is told by models of its letters (trigrams), one for each language that the documents name,
+and one of letters without order for texts in none; the language of most graded documents is English. Documents
+whose letters speak against the language they name don't teach it. A text must also be as likely as graded ones are.
+
+Fitting takes at most `GRADED` graded documents (those of least hash), about `SPOKEN` documents with a language, and
+`PAIR_SAMPLE` pairs. One scan of the documents gathers these, one rates all documents.
 """
 
 from __future__ import annotations
@@ -15,7 +20,6 @@ import html
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +29,15 @@ from pyspark.sql import functions as F
 
 from millrace.session import bounded_rows, cut
 
-GRADED, PAIR_SAMPLE, WORDS = 20_000, 200_000, 50_000
-
-# Function words that tell languages apart (words that two of them share are left out).
-FUNCTION_WORDS = {
-    "en": "the and of to that with which by from it we are were this at after when while although because can you see had its their her his they not but into near after before then who what where would should could been have has there i she he him my your our is was for as be".split(),
-    "de": "der die das und ein eine einen einem einer den dem des im ist sind nicht mit von zu auf für sich auch als nach bei wird werden sowie neben bevor niemand oder aber wie wenn dass über".split(),
-    "fr": "le la les des du et est une un dans que qui au aux ce cette il elle pas pour sur par avec sont puis avant près se trouve nous vous ils elles ne leur mais ou où".split(),
-    "es": "el los las del y es una unos unas en que por con para su sus al lo como pero más este esta se fue entre cuando sobre".split(),
-    "it": "il lo gli di e è un una che per con del della dei delle nel nella sono si non come ma più questo questa anche".split(),
-    "nl": "de het een en van is dat op te met voor niet zijn aan er om ook als maar bij uit naar door werd worden".split(),
-    "pt": "o os as do da dos das e é um uma em que por com para no na nos nas ao se não como mas mais este esta".split(),
-    "sv": "och att det som en ett är av på för med den till inte har var om de sig så men ett från".split(),
-}
+GRADED, SPOKEN, PAIR_SAMPLE = 20_000, 20_000, 200_000
+#: Cells of the trigram tables; least share of the sample for a language to get one; nats a trigram below the least likely graded text.
+TRIGRAMS, LEAST_SHARE, SLACK = 1 << 15, 0.001, 0.5
+#: Trigrams of a text must be this many to be told by; fewer say nothing.
+LEAST_TRIGRAMS = 8
+
 SUBORDINATORS = set("although though because since unless whereas while when whenever after before if until that which who whom whose where consequently therefore however notwithstanding moreover nevertheless furthermore thereby whereby hence thus meant".split())
 
-_DROPPED = re.compile(r"<\|[^<>|]*\|>|<[^<>]{0,300}>|https?://\S+|www\.\S+|\[[^\[\]]{0,80}\]|[­​-‏ -‮⁠﻿]|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_DROPPED = re.compile(r"<\|[^<>|]*\|>|<[/!?]?[A-Za-z!-][^<>]*>|https?://\S+|www\.\S+|\[[^\[\]]*\]|[­​-‏ -‮⁠﻿]|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _SPEAKER = re.compile(r"(?m)^[^\S\n]*(?:[A-Z][A-Z'’.\-]*\s+){0,4}[A-Z][A-Z'’.\-]+\s*:(?=\s)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _END = re.compile(r"[.!?。！？]+(?=[\s\"'”’»)\]]|$)")
@@ -73,44 +70,64 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def is_english(words: list[str]) -> bool:
-    """Whether English function words are frequent among the words and more so than those of any other known language."""
-    if not words:
-        return False
-    found = Counter(lang for w in words if (lang := _LANGUAGE.get(w)))
-    english = found.pop("en", 0)
-    return english >= 0.04 * len(words) and english > 1.5 * max(found.values(), default=0)
+def trigrams(words: list[str]) -> np.ndarray:
+    """The table cell of each three successive letters of the words, with a space between words."""
+    c = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.zeros(0, dtype=np.int64)
+    mixed = c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) + c[2:] * np.uint64(0xC2B2AE3D)
+    return ((mixed >> np.uint64(7)) % np.uint64(TRIGRAMS)).astype(np.int64)
+
+
+class Languages:
+    """Log probabilities of trigrams by language (rows; the last is letters without order), the row of English, and the least mean it may have."""
+
+    def __init__(self, tables: np.ndarray, english: int, floor: float):
+        self.tables, self.english, self.floor = tables.astype(np.float32), english, floor
+
+    def means(self, cells: np.ndarray) -> np.ndarray:
+        """Mean log probability of the cells in each language."""
+        return self.tables[:, cells].mean(axis=1)
+
+    def is_english(self, words: list[str]) -> bool:
+        """Whether English is the likeliest language of the words, and likely enough."""
+        cells = trigrams(words)
+        if len(cells) < LEAST_TRIGRAMS:
+            return False
+        means = self.means(cells)
+        return int(means.argmax()) == self.english and float(means[self.english]) >= self.floor
 
 
-#: Function word -> the one language it belongs to.
-_LANGUAGE = {w: lang for lang, own in FUNCTION_WORDS.items() for w in own if sum(w in x for x in FUNCTION_WORDS.values()) == 1}
 FEATURES = 9
 
 
-def features(text: str, grades: dict[str, float]) -> tuple[list[float], int, bool]:
-    """(features, words, whether English). Texts without words have features 0."""
-    own = sentences(plain(text))
+def features(text: str, grades: dict[str, float]) -> tuple[list[float], list[str]]:
+    """(features, words). Texts without words have features 0."""
+    clean = plain(text)
+    own = sentences(clean)
     words = [w for s in own for w in s]
     n = len(words)
     if not n:
-        return [0.0] * FEATURES, 0, False
-    sizes = np.array([len(w) for w in words])
-    lengths = np.array([len(s) for s in own])
-    graded = np.array([grades[w] for w in words if w in grades] or [2.5])
+        return [0.0] * FEATURES, words
+    lengths = [len(s) for s in own]
+    graded = [grades[w] for w in words if w in grades] or [2.5]
+    graded.sort()
     # a long sentence weighs by its words, so that a few short ones can't hide it
-    typical = float((lengths * lengths).sum() / n)
-    commas = text.count(",") + text.count(";")
+    typical = sum([x * x for x in lengths]) / n
+    sizes = list(map(len, words))
+    at = 0.9 * (len(graded) - 1)
+    below = graded[int(at)]
     return [
         math.log(typical),
         math.log(n / len(own)),
-        float(sizes.mean()),
-        float((sizes >= 8).mean()),
-        float((sizes >= 12).mean()),
-        commas / len(own),
-        sum(w in SUBORDINATORS for w in words) / len(own),
-        float(graded.mean()),
-        float(np.quantile(graded, 0.9)),
-    ], n, is_english(words)
+        sum(sizes) / n,
+        sum([x >= 8 for x in sizes]) / n,
+        sum([x >= 12 for x in sizes]) / n,
+        (clean.count(",") + clean.count(";")) / len(own),
+        sum([w in SUBORDINATORS for w in words]) / len(own),
+        sum(graded) / len(graded),
+        below + (graded[min(int(at) + 1, len(graded) - 1)] - below) * (at - int(at)),
+    ], words
 
 
 def rank_pairs(x: np.ndarray, y: np.ndarray, seed: int = 5, pairs: int = PAIR_SAMPLE) -> np.ndarray:
@@ -155,10 +172,10 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LevelModel:
-    """Word grades, scaling, weights of the ranker and the isotonic steps."""
+    """Word grades, scaling, weights of the ranker, the isotonic steps, and the language models."""
 
-    def __init__(self, grades: dict[str, float], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, xs: np.ndarray, ys: np.ndarray):
-        self.grades, self.mean, self.scale, self.weights, self.xs, self.ys = grades, mean, scale, weights, xs, ys
+    def __init__(self, grades: dict[str, float], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, xs: np.ndarray, ys: np.ndarray, languages: Languages):
+        self.grades, self.mean, self.scale, self.weights, self.xs, self.ys, self.languages = grades, mean, scale, weights, xs, ys, languages
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
@@ -171,67 +188,157 @@ def _fold(key) -> int:
     return zlib.crc32(str(key).encode()) % 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> LevelModel | None:
-    """The model of the graded documents; null grades and documents without English words are left out, several grades of one document count by their mean. None if fewer than two grades are left."""
-    graded = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("grade"))
+def gather(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lang: str | None) -> DataFrame:
+    """(key, grade, fold, spoken, words): the graded documents and the sample with a language, from one scan, computed once. Null grades, keys and texts are left out; several grades of one document count by their mean."""
+    graded = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("__grade"))
     graded = cut(graded.orderBy(F.xxhash64(key), key).limit(GRADED))
-    sample = docs.select(key, text).join(F.broadcast(graded), key).where(F.col(text).isNotNull())
+    named = F.lower(F.trim(F.col(lang).cast("string"))) if lang and lang in docs.columns else F.lit(None).cast("string")
+    named = F.when(named != "", named)
+    share = min(1.0, SPOKEN / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < int(share * (1 << 20))
+    rows = docs.select(key, text, named.alias("__spoken")).where(F.col(text).isNotNull()).join(F.broadcast(graded), key, "left")
+    rows = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col("__grade").alias("g"), F.when(drawn, F.col("__spoken")).alias("s")).where("g is not null or s is not null")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, t, g in batch[[key, text, "grade"]].itertuples(index=False):
-                words = {w for s in sentences(plain(t)) for w in s}
-                if is_english(list(words)):
-                    rows.append((g, _fold(k), list(words)))
-            yield pd.DataFrame(rows, columns=["grade", "fold", "words"]).astype({"grade": "float64", "fold": "int32"})
-
-    seen = sample.mapInPandas(read, "grade double, fold int, words array<string>").select("grade", "fold", F.explode("words").alias("word"))
+            yield pd.DataFrame({"k": batch["k"], "g": batch["g"], "s": batch["s"], "t": batch["t"], "words": [[w for s in sentences(plain(t)) for w in s] for t in batch["t"]]})
+
+    return cut(rows.mapInPandas(read, "k string, g double, s string, t string, words array<string>"))
+
+
+def learn_languages(sample: DataFrame) -> Languages | None:
+    """The models of the letters of each language, from the documents of `gather`: all first, then without those whose letters speak against their language. None without graded texts."""
+    languages: Languages | None = None
+    of = F.when(F.col("g").isNotNull(), F.lit("\u0000graded")).otherwise(F.col("s"))
+    rows = sample.select(of.alias("lang"), "s", "g", "words")
+    # the name most graded documents bear is English's; where they bear none, graded texts stand for themselves
+    names = {r["s"]: r["n"] for r in sample.where("g is not null and s is not null").groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(1).collect()}
+    english = next(iter(names), None)
+    total = sample.where("s is not null").count()
+    listed = sorted(r["s"] for r in sample.where("s is not null").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= max(1.0, LEAST_SHARE * total)).collect())
+    order = ["\u0000graded", *(x for x in listed if x != english)]
+    row_of = {x: i for i, x in enumerate(order)}
+    if english is not None:
+        row_of[english] = 0
+
+    def count(model: Languages | None):
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((len(order), TRIGRAMS))
+            letters: dict[int, float] = {}
+            low = math.inf
+            for batch in batches:
+                for lang, words in zip(batch["lang"], batch["words"], strict=True):
+                    at = row_of.get(lang)
+                    cells = trigrams(list(words))
+                    if at is None or len(cells) < LEAST_TRIGRAMS:
+                        continue
+                    if model is not None:
+                        means = model.means(cells)
+                        if int(means.argmax()) != at:
+                            continue
+                        if lang == order[0]:
+                            low = min(low, float(means[0]))
+                    sums[at] += np.bincount(cells, minlength=TRIGRAMS)
+                    for c in np.frombuffer(" ".join(["", *words]).encode("utf-32-le"), dtype=np.uint32).tolist():
+                        letters[c] = letters.get(c, 0.0) + 1.0
+            at, cell = np.nonzero(sums)
+            yield pd.DataFrame({"kind": np.concatenate([at, np.full(len(letters), -1), [-2]]).astype("int32"), "cell": np.concatenate([cell, list(letters), [0]]).astype("int64"), "n": np.concatenate([sums[at, cell], list(letters.values()), [low]]).astype("float64")})
+
+        return step
+
+    for _ in range(2):
+        rows_n = rows.select("lang", "words").mapInPandas(count(languages), "kind int, cell long, n double")
+        got = rows_n.groupBy("kind", "cell").agg(F.when(F.first("kind") == -2, F.min("n")).otherwise(F.sum("n")).alias("n")).toPandas()
+        sums = np.zeros((len(order), TRIGRAMS))
+        own = got[got["kind"] >= 0]
+        sums[own["kind"].to_numpy(dtype=int), own["cell"].to_numpy(dtype=int)] = own["n"]
+        if not sums[0].any():
+            return None
+        letters = got[got["kind"] == -1].sort_values("n", ascending=False)
+        smooth = 0.5
+        tables = np.log(sums + smooth) - np.log(sums.sum(axis=1, keepdims=True) + smooth * TRIGRAMS)
+        unordered = _without_order(letters["cell"].to_numpy(dtype=np.uint64), letters["n"].to_numpy())
+        low = got[got["kind"] == -2]["n"]
+        floor = float(low.min()) - SLACK if languages is not None and len(low) else -math.inf
+        languages = Languages(np.vstack([tables, unordered]), 0, floor if math.isfinite(floor) else -math.inf)
+    return languages
+
+
+def _without_order(letters: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of the cells for letters drawn one by one. Cells are filled by drawing seeded triples, so the cost is fixed however many letters there are."""
+    rng = np.random.default_rng(3)
+    drawn = rng.choice(letters, size=(3, 40 * TRIGRAMS), p=counts / counts.sum())
+    mixed = drawn[0] * np.uint64(0x9E3779B1) + drawn[1] * np.uint64(0x85EBCA77) + drawn[2] * np.uint64(0xC2B2AE3D)
+    sums = np.bincount(((mixed >> np.uint64(7)) % np.uint64(TRIGRAMS)).astype(np.int64), minlength=TRIGRAMS) + 0.5
+    return np.log(sums) - math.log(sums.sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level", lang: str | None = "lang") -> LevelModel | None:
+    """The model of the graded documents; those that aren't English are left out. None if fewer than two grades are left."""
+    sample = gather(docs, labels, key, text, label, lang)
+    languages = learn_languages(sample)
+    if languages is None:
+        return None
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(languages)
+
+    @F.pandas_udf("boolean")
+    def english(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: known.value.is_english(list(w)))
+
+    @F.pandas_udf("int")
+    def fold(keys: pd.Series) -> pd.Series:
+        return keys.map(_fold)
+
+    own = cut(sample.where("g is not null").where(english("words")).select("k", fold("k").alias("fold"), F.col("g").alias("grade"), "t", "words"))
+    seen = own.select("grade", "fold", F.explode(F.array_distinct("words")).alias("word"))
     table = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("grade").alias("g"), F.count_if(F.col("fold") == 0).alias("n0"), F.sum(F.when(F.col("fold") == 0, F.col("grade")).otherwise(0.0)).alias("g0"))
-    counts = table.where("n >= 3").orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    smooth = lambda g, n: (g + 2 * 2.5) / (n + 2)
-    grades = {r["word"]: smooth(r["g"], r["n"]) for r in counts}
+    # words of three graded documents or more; their number is bounded by the graded documents, not by the corpus
+    counts = table.where("n >= 3").toPandas().sort_values("word")
+    smooth = lambda g, n: dict(zip(counts["word"][n > 0], ((g + 2 * 2.5) / (n + 2))[n > 0], strict=True))
+    grades = smooth(counts["g"], counts["n"])
     # a document's own fold doesn't grade its words while the ranker learns
-    other = [{r["word"]: smooth(r["g"] - r["g0"], r["n"] - r["n0"]) for r in counts if r["n"] > r["n0"]}, {r["word"]: smooth(r["g0"], r["n0"]) for r in counts if r["n0"]}]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(other)
+    other = spark.sparkContext.broadcast([smooth(counts["g"] - counts["g0"], counts["n"] - counts["n0"]), smooth(counts["g0"], counts["n0"])])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, t, g in batch[[key, text, "grade"]].itertuples(index=False):
-                x, n, english = features(t, shared.value[_fold(k)])
-                if english and n >= 5:
-                    rows.append((str(k), g, x))
-            yield pd.DataFrame(rows, columns=["k", "grade", "x"]).astype({"grade": "float64"})
-
-    rows = sorted(bounded_rows(sample.mapInPandas(measure, "k string, grade double, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
+            rows = [(k, g, f, features(t, other.value[f])) for k, f, g, t in zip(batch["k"], batch["fold"], batch["grade"], batch["t"], strict=True)]
+            yield pd.DataFrame([(k, g, f, x[0]) for k, g, f, x in rows if len(x[1]) >= 5], columns=["k", "grade", "fold", "x"]).astype({"grade": "float64", "fold": "int32"})
+
+    rows = sorted(bounded_rows(own.select("k", "fold", "grade", "t").mapInPandas(measure, "k string, grade double, fold int, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
     y = np.array([r["grade"] for r in rows])
     if len(set(y)) < 2:
         return None
-    x = np.array([r["x"] for r in rows])
+    x, folds = np.array([r["x"] for r in rows]), np.array([r["fold"] for r in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    weights = rank_pairs((x - mean) / scale, y)
-    xs, ys = isotonic(((x - mean) / scale) @ weights, y)
-    return LevelModel(grades, mean, scale, weights, xs, ys)
-
-
-def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> DataFrame:
+    z = (x - mean) / scale
+    weights = rank_pairs(z, y)
+    # levels are calibrated on scores of rankers that didn't see the document
+    held = z @ weights
+    for f in (0, 1):
+        if len(set(y[folds != f])) > 1:
+            held[folds == f] = z[folds == f] @ rank_pairs(z[folds != f], y[folds != f])
+    xs, ys = isotonic(held, y)
+    return LevelModel(grades, mean, scale, weights, xs, ys, languages)
+
+
+def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level", lang: str | None = "lang") -> DataFrame:
     """(key, english, n_words, score, level_estimate, level) of every document.
 
     `level` is the estimate rounded to a level of the labels; it and the scores are null for texts without words and where
-    no model can be learnt. Null and empty texts have 0 words.
+    no model can be learnt; then no text counts as English. Null and empty texts have 0 words. Languages may be null, wrong
+    or missing altogether.
     """
-    model = fit(docs, labels, key, text, label)
+    model = fit(docs, labels, key, text, label, lang)
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
-            got = [features(t, m.grades if m else {}) if t else ([0.0] * FEATURES, 0, False) for t in batch[text]]
-            n = np.array([g[1] for g in got], dtype="int32")
-            out = pd.DataFrame({key: batch[key], "english": [g[2] for g in got], "n_words": n})
+            got = [features(t, m.grades if m else {}) if t else ([0.0] * FEATURES, []) for t in batch[text]]
+            n = np.array([len(g[1]) for g in got], dtype="int32")
+            out = pd.DataFrame({key: batch[key], "english": [bool(m) and m.languages.is_english(g[1]) for g in got], "n_words": n})
             if m and len(got):
                 score = m.score(np.array([g[0] for g in got]))
                 level = m.level(score)

@@ -194,12 +194,13 @@ def test_pieces_hold_their_limits(text, length, limit, overlap):
     got = oversized.pieces_of(text, length, limit, overlap)
     assert got[0][1] == 0 and got[-1][2] == pytest.approx(length)
     if length <= limit:
-        assert got == [(text, 0.0, length)]
+        assert got == [(text, 0.0, length, oversized.sentence_ends(text))]
         return
     shared = min(max(overlap, 0), limit / 2)
-    for _, a, b in got:
+    for _, a, b, _ in got:
         assert b - a <= limit + 1e-6 and b > a
-    for (_, _, end), (_, start, _) in zip(got, got[1:], strict=False):
+    assert [e for p in got for e in p[3]] == oversized.sentence_ends(text)
+    for (_, _, end, _), (_, start, _, _) in zip(got, got[1:], strict=False):
         assert end - start == pytest.approx(shared, abs=1e-6)
     assert len(got) >= math.ceil((length - shared) / (limit - shared) - 1e-6)
 
@@ -404,6 +405,26 @@ def test_levels_are_learnt(spark):
     assert sum(same[i] == got[i]["level"] for i in range(40)) >= 38
 
 
+def test_markup_and_entities_dont_count():
+    a = 'They said "yes, now", and left; it was late. We ran home.'
+    for b in (a.replace('"', "&quot;"), f"<p>{a}</p>", f'<a href="x" title="{"long " * 200}">{a}</a>', a + " [" + "tape, side; two " * 30 + "]"):
+        assert reading_level.features(a, {}) == reading_level.features(b, {})
+
+
+def test_languages_are_told_by_letters(spark):
+    rng = random.Random(6)
+    english = "the dog ran along the shore and the cat sat under a tree while we were at home with that old box".split()
+    german = "der hund lief am ufer entlang und die katze sass unter einem baum als wir zu hause waren mit dem kasten".split()
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    rows = [(i, say(english, 40), "EN " if i % 3 else None) for i in range(200)] + [(1000 + i, say(german, 40), "de" if i % 10 else "en") for i in range(100)]
+    rows += [(2000 + i, "".join(rng.choice("qzxkvjw mnbp") for _ in range(200)), "en") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 4 + 1) for i in range(0, 100)], "doc_id long, reading_level int")
+    for lang in ("lang", None):
+        got = {r["doc_id"]: r["english"] for r in reading_level.reading_levels(docs, labels, lang=lang).collect()}
+        assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(100)) and not any(got[2000 + i] for i in range(10))
+
+
 def test_levels_without_labels(spark):
     docs = spark.createDataFrame([(1, "The dog and the cat.")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, reading_level int")
@@ -429,32 +450,71 @@ def test_layout_doesnt_count():
     assert reading_level.sentences("") == []
 
 
-def _least(ends, length, limit, overlap):
-    """(cuts that aren't ends of sentences, pieces) at best, over all pairs of ends; whole tenths of seconds."""
-    step, points = limit - overlap, [overlap, *(e for e in ends if e > overlap), length]
-    best = [(0, 0)]
-    for j in range(1, len(points)):
-        spans = [-(-(points[j] - points[i]) // step) for i in range(j)]
-        best.append(min((best[i][0] + n - 1, best[i][1] + n) for i, n in enumerate(spans)))
-    return best[-1]
-
-
-def test_every_sentence_its_own_piece():
-    text = "".join("a" * 288 + ". " + "B" * 18 + ". " for _ in range(8))[:-1]
-    text = "".join(x[0].upper() + x[1:] for x in re.split(r"(?<=\. )", text))
-    got = oversized.pieces_of(text, len(text) / 10, 30.0, 0.0)
-    assert all(t.endswith(".") for t, _, _ in got) and len(got) > 12
+def test_targets_are_balanced():
+    """Ends of sentences stand beside the start and the end alone; the piece is cut at the comma nearest its middle."""
+    text = "Yes. " + "the dog ran along the shore, " * 40 + "and home. Ok"
+    got = oversized.pieces_of(text, 90.0, 89.9, 0.5)
+    assert len(got) == 2 and got[0][0].endswith("shore,")
+    sizes = [b - a for _, a, b, _ in got]
+    assert min(sizes) / max(sizes) > 0.95
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(4, 400), min_size=2, max_size=25), st.integers(20, 300), st.integers(0, 40))
-def test_cuts_are_as_good_as_can_be(sizes, limit, overlap):
+@given(st.lists(st.integers(4, 60), min_size=2, max_size=60), st.integers(40, 400), st.integers(0, 40))
+def test_snapped_pieces_are_balanced(sizes, limit, overlap):
     text = " ".join("A" + "b" * (n - 3) + "." for n in sizes)
-    length, overlap = len(text), min(overlap, limit // 2)
+    length, overlap = float(len(text)), float(min(overlap, limit // 2))
     if length <= limit:
         return
-    ends = oversized.sentence_ends(text)
-    got = oversized.pieces_of(text, float(length), float(limit), float(overlap))
-    own = {float(e) for e in ends}
-    assert (sum(min((abs(b - e) for e in own), default=1) > 1e-6 for _, _, b in got[:-1]), len(got)) == _least(ends, length, limit, overlap)
-    assert all(b - a <= limit + 1e-6 for _, a, b in got)
+    bounds = oversized.boundaries(text)
+    cuts = oversized._snapped(bounds, len(text), length, float(limit), overlap)
+    at = [overlap, *(c[1] for c in cuts), length]
+    step = (length - overlap) / (len(cuts) + 1)
+    for k, c in enumerate(cuts, 1):
+        target = overlap + k * step
+        assert c[1] <= target + oversized.NEAR * step + 1e-6
+        near = [(p, s) for p, s in bounds if abs(p - target) <= oversized.NEAR * step - 1e-6 and p <= at[k - 1] - overlap + limit]
+        assert not near or c[2] >= max(s for _, s in near)
+    steps = [b - a for a, b in zip(at, at[1:], strict=False)]
+    assert all(x + overlap <= limit + 1e-6 for x in steps)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(2, 60), st.booleans()), min_size=2, max_size=9), st.integers(10, 90), st.integers(0, 20))
+def test_weighed_cuts_equal_brute_force(parts, limit, overlap):
+    import itertools
+
+    at, bounds = 0, []
+    for n, strong in parts:
+        at += n
+        bounds.append((at, 3 if strong else 1))
+    size, bounds, overlap = at, bounds[:-1], min(overlap, limit // 2)
+    best = None
+    for r in range(len(bounds) + 1):
+        for own in itertools.combinations(bounds, r):
+            points = [0, *(p for p, _ in own), size]
+            steps = [b - a for a, b in zip(points, points[1:], strict=False)]
+            if min(steps) < oversized.SHORTEST * limit or steps[0] > limit or any(x + overlap > limit for x in steps[1:]):
+                continue
+            cost = (sum(s < 3 for _, s in own), len(own), sum(x * x for x in steps))
+            best = cost if best is None else min(best, cost)
+    got = oversized._weighed(bounds, size, float(size), float(limit), float(overlap))
+    if best is None:
+        assert got is None
+        return
+    points = [0, *(c[0] for c in got), size]
+    assert (sum(c[2] < 3 for c in got), len(got), sum((b - a) ** 2 for a, b in zip(points, points[1:], strict=False))) == best
+
+
+def test_long_words_and_hostile_marks_end():
+    word = "W" + "o" * 200
+    assert oversized.sentence_ends(f"the {word.lower()}.The dog ran. Ok") == [len(word) + 5, len(word) + 17]
+    for text in ("a." * 20_000, "x" * 50_000 + ". Y", ". " * 20_000, "?!" * 20_000, '"' * 20_000 + ". A"):
+        assert isinstance(oversized.sentence_ends(text), list)
+
+
+def test_every_sentence_its_own_piece():
+    text = "".join("a" * 288 + ". " + "B" * 18 + ". " for _ in range(8))[:-1]
+    text = "".join(x[0].upper() + x[1:] for x in re.split(r"(?<=\. )", text))
+    got = oversized.pieces_of(text, len(text) / 10, 30.0, 0.0)
+    assert all(p[0].endswith(".") for p in got)
