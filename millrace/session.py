@@ -54,6 +54,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote, once nothing reads it any more; other tables are left alone."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path, conf = _hadoop_path(df.sparkSession, file.get())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all checkpoints of this session's context, when its results have been read or written."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        path, conf = _hadoop_path(spark, held.get())
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            for status in files.listStatus(path):
+                files.delete(status.getPath(), True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with at least as many partitions as the session has cores, for work that computes much on few bytes.
 
