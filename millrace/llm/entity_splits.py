@@ -6,23 +6,26 @@ its records, and each round also hooks the label an entity had before and jumps
 n links takes about log n rounds. A record that names one entity joins nothing, so only records with two or more
 entities (links, co-authors) enter the rounds; the large table of records meets the result in a single join.
 
+Rows that name nobody are set apart before that join. Of the others one entity may hold a third, so unless the components
+are few enough to be broadcast, rows are spread over `SALTS` parts of their entity and the components repeated in each.
+
 Groups are then assigned to splits so that each label keeps its target share in each split. A group above 1/`ITEMS` of
 all rows (at most `ITEMS` of them can exist) is an item of its own; all smaller groups fall by hash into `ITEMS` buckets.
-The driver sees only these at most 2 x `ITEMS` items by label, and gives them out, largest first, to the split whose
-deviation shrinks most.
+The driver sees only these at most 2 x `ITEMS` items, each with a vector of label counts, and gives them out, largest first,
+to the split whose deviation shrinks most. Up to `CELLS` labels have a place of their own in the vector; more labels
+share the places, each with a sign (a count sketch), which keeps the expected squared deviation over all labels. So no
+label is left out, however many there are.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import bounded_rows, broadcast_if_small, cut
+from millrace.session import BROADCAST_BYTES, bounded_rows, cut, drop
 
-ITEMS, LABELS = 2048, 64
+ITEMS, CELLS, SALTS = 2048, 256, 32
 
 
 def entity_key(name: Column) -> Column:
@@ -36,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("record is not null and entity is not null").select("record", "entity").distinct()
     several = edges.groupBy("record").count().where("count > 1").select("record")
     edges = cut(edges.join(several, "record", "left_semi"))
-    labels = cut(edges.select("entity", F.col("entity").alias("label")).distinct())
+    labels = state = cut(edges.select("entity", F.col("entity").alias("label")).distinct())
     while True:
         by_record = edges.join(labels, "entity").groupBy("record").agg(F.min("label").alias("label"))
         by_entity = edges.join(by_record, "record").groupBy("entity").agg(F.min("label").alias("least"))
@@ -44,9 +47,11 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = met.select("entity", "least").union(met.select(F.col("label").alias("entity"), "least")).groupBy("entity").agg(F.min("least").alias("least"))
         up = hooked.select(F.col("entity").alias("least"), F.col("least").alias("top"))
         jumped = hooked.join(up, "least").select("entity", F.least("least", "top").alias("new"))
-        state = cut(labels.join(jumped, "entity").select("entity", "label", "new"))
+        before, state = state, cut(labels.join(jumped, "entity").select("entity", "label", "new"))
+        drop(before)
         labels = state.select("entity", F.col("new").alias("label"))
         if not state.where("label <> new").limit(1).count():
+            drop(edges)
             return labels.withColumnRenamed("label", "component")
 
 
@@ -58,37 +63,38 @@ def with_groups(df: DataFrame, entity: str, links: DataFrame, left: str, right:
     edges = links.select(F.col(link_key).alias("record"), F.explode(F.array(entity_key(F.col(left)), entity_key(F.col(right)))).alias("entity"))
     of = components(edges).select(F.col("entity").alias("__entity"), F.col("component").alias("__component"))
     keyed = df.withColumn("__entity", entity_key(F.col(entity)))
-    joined = keyed.join(broadcast_if_small(of), "__entity", "left")
-    return joined.withColumn(out, F.coalesce(F.concat(F.lit("e:"), F.coalesce("__component", "__entity")), F.concat(F.lit("r:"), key))).drop("__entity", "__component")
-
-
-def assign(items: list[tuple[str, dict[str, int]]], shares: dict[str, float]) -> dict[str, str]:
-    """Item -> split. Items, counts by label, go largest first to the split after which the labels' counts deviate least from their targets (ties: larger share left, then name)."""
-    names = sorted(shares)
-    labels = sorted({x for _, c in items for x in c})
-    at = {x: i for i, x in enumerate(labels)}
-    vectors = np.zeros((len(items), len(labels)))
-    for i, (_, counts) in enumerate(items):
-        for x, n in counts.items():
-            vectors[i, at[x]] = n
-    share = np.array([shares[s] for s in names])
-    target = np.outer(share, vectors.sum(axis=0))
-    scale = 1.0 / np.maximum(vectors.sum(axis=0), 1.0)
-    total = 1.0 / max(vectors.sum(), 1.0)
-    held = np.zeros_like(target)
+    nobody = keyed.where("__entity is null").withColumn(out, F.concat(F.lit("r:"), key))
+    named = keyed.where("__entity is not null")
+    if int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
+        joined = named.join(F.broadcast(of), "__entity", "left")
+    else:
+        salted = of.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = named.withColumn("__salt", F.pmod(F.xxhash64(key, F.rand(5)), F.lit(SALTS)).cast("int")).join(salted, ["__entity", "__salt"], "left").drop("__salt")
+    joined = joined.withColumn(out, F.concat(F.lit("e:"), F.coalesce("__component", "__entity")))
+    return joined.drop("__entity", "__component").unionByName(nobody.drop("__entity"))
+
+
+def assign(names: list[str], sizes: np.ndarray, vectors: np.ndarray, shares: dict[str, float]) -> dict[str, str]:
+    """Item -> split. Items with their rows and vectors (label counts by the root of the label's total, or a sketch of them) go largest first to the split after which the squared deviation from the targets is least, over labels and over all rows (ties: larger share, then name)."""
+    splits = sorted(shares)
+    share = np.array([shares[s] for s in splits])
+    total = max(float(sizes.sum()), 1.0)
+    gap = -np.outer(share, vectors.sum(axis=0))
+    over = -share * total
     out = {}
-    for i in sorted(range(len(items)), key=lambda i: (-vectors[i].sum(), items[i][0])):
-        gap, v = held - target, vectors[i]
-        # growth of the squared deviation, by label and over all, if the item goes to each split
-        cost = ((2 * gap * v + v * v) * scale * total).sum(axis=1) + (2 * gap.sum(axis=1) * v.sum() + v.sum() ** 2) * total * total
-        best = min(range(len(names)), key=lambda s: (cost[s], -share[s], names[s]))
-        held[best] += v
-        out[items[i][0]] = names[best]
+    for i in sorted(range(len(names)), key=lambda i: (-sizes[i], names[i])):
+        v, n = vectors[i], float(sizes[i])
+        # growth of the squared deviation if the item goes to each split
+        cost = (2 * gap @ v + v @ v) / total + (2 * over * n + n * n) / (total * total)
+        best = min(range(len(splits)), key=lambda s: (cost[s], -share[s], splits[s]))
+        gap[best] += v
+        over[best] += n
+        out[names[i]] = splits[best]
     return out
 
 
 def grouped_split(df: DataFrame, group: str, label: str, targets: DataFrame, seed: int = 7, out: str = "new_split") -> DataFrame:
-    """`df` with a split for each row: rows of one group share it, and each label (null counts as one; beyond the `LABELS` most frequent all count as one) is spread by the target shares.
+    """`df` with a split for each row: rows of one group share it, and each label (null counts as one) is spread by the target shares.
 
     `targets` (split, target_share): shares are scaled to sum to 1; null or non-positive ones are left out. A null group is a group of its own.
     """
@@ -100,25 +106,37 @@ def grouped_split(df: DataFrame, group: str, label: str, targets: DataFrame, see
     label_of = F.coalesce(F.col(label).cast("string"), F.lit(""))
     counts = cut(df.groupBy(group_of.alias("g"), label_of.alias("l")).agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = [r["l"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LABELS - 1).collect()]
-    counts = counts.withColumn("l", F.when(F.col("l").isin(frequent), F.col("l")).otherwise("\u0000other"))
     big = counts.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") > total / ITEMS).select("g")
-    big_names = [r["g"] for r in bounded_rows(big, ITEMS, "the list of large groups")]
-    large = counts.where(F.col("g").isin(big_names)) if len(big_names) < 200 else counts.join(F.broadcast(big), "g", "left_semi")
-    small = counts.where(~F.col("g").isin(big_names)) if len(big_names) < 200 else counts.join(F.broadcast(big), "g", "left_anti")
+    big_names = sorted(r["g"] for r in bounded_rows(big, ITEMS, "the list of large groups"))
+    spark = df.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(g,) for g in big_names], "g string").withColumn("__big", F.lit(True)))
 
     def bucket(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(ITEMS)).cast("int")
-
-    items: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in large.groupBy("g", "l").agg(F.sum("n").alias("n")).collect():
-        items["g" + r["g"]][r["l"]] = r["n"]
-    for r in small.groupBy(bucket(F.col("g")).alias("b"), "l").agg(F.sum("n").alias("n")).collect():
-        items[f"b{r['b']}"][r["l"]] = r["n"]
-    given = assign(sorted(items.items()), shares)
-    spark = df.sparkSession
-    largest = max(shares, key=lambda s: shares[s])
-    by_bucket = F.array(*[F.lit(given.get(f"b{b}", largest)) for b in range(ITEMS)])
-    of_large = spark.createDataFrame([(g, given["g" + g]) for g in big_names], "__g string, __s string")
-    out_df = df.withColumn("__g", group_of).join(F.broadcast(of_large), "__g", "left")
-    return out_df.withColumn(out, F.coalesce("__s", F.element_at(by_bucket, bucket(F.col("__g")) + 1))).drop("__g", "__s")
+        return F.concat(F.lit("b"), F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(ITEMS)).cast("string"))
+
+    # small groups shrink to buckets before their labels are weighed
+    items = counts.join(listed, "g", "left").select(F.when(F.col("__big"), F.concat(F.lit("g"), "g")).otherwise(bucket(F.col("g"))).alias("item"), "l", "n").groupBy("item", "l").agg(F.sum("n").alias("n"))
+    labels = cut(counts.groupBy("l").agg(F.sum("n").alias("all")))
+    few = labels.limit(CELLS + 1).count() <= CELLS
+    if few:
+        places = {r["l"]: i for i, r in enumerate(sorted(labels.collect(), key=lambda r: r["l"]))}
+        cells = spark.createDataFrame(list(places.items()), "l string, cell int")
+        weighed = items.join(F.broadcast(labels), "l").join(F.broadcast(cells), "l").withColumn("x", F.col("n") / F.sqrt("all"))
+    else:
+        sign = F.when(F.pmod(F.xxhash64("l", F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        weighed = items.join(labels, "l").withColumn("cell", F.pmod(F.xxhash64("l", F.lit(seed + 2)), F.lit(CELLS)).cast("int")).withColumn("x", sign * F.col("n") / F.sqrt("all"))
+    # at most 2 x ITEMS x CELLS numbers
+    table = weighed.groupBy("item", "cell").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+    names = sorted(set(table["item"]))
+    at = {x: i for i, x in enumerate(names)}
+    rows = table["item"].map(at).to_numpy(dtype=int)
+    vectors, sizes = np.zeros((len(names), CELLS)), np.zeros(len(names))
+    np.add.at(vectors, (rows, table["cell"].to_numpy(dtype=int)), table["x"].to_numpy(dtype=float))
+    np.add.at(sizes, rows, table["n"].to_numpy(dtype=float))
+    given = assign(names, sizes, vectors, shares)
+    for used in (counts, labels):
+        drop(used)
+    of_item = F.broadcast(spark.createDataFrame(sorted(given.items()), "__item string, __s string"))
+    out_df = df.withColumn("__g", group_of).join(listed.withColumnRenamed("g", "__g"), "__g", "left")
+    out_df = out_df.withColumn("__item", F.when(F.col("__big"), F.concat(F.lit("g"), "__g")).otherwise(bucket(F.col("__g")))).drop("__big")
+    return out_df.join(of_item, "__item", "left").withColumn(out, F.col("__s")).drop("__g", "__item", "__s")

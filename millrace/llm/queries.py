@@ -18,7 +18,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that can't reach their share."""
-    return _mix(spark, sf_dir)[1].where("short").select("source")
+    segments = read_table(spark, sf_dir, "segments").select("id", "source", "duration_s")
+    return mixing.short_of_share(segments, read_table(spark, sf_dir, "mixture_sources"), "duration_s")
 
 
 def p2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +172,16 @@ ORACLES = {
              seg as (select seg_row, {_key("speaker_id")} k, n.split from segments left join split_names n on segments.split = n.split_raw)
         select min(seg_row) as first_seg_row from seg left join comp on seg.k = comp.a where k is not null
         group by coalesce(c, k) having count(distinct seg.split) filter (seg.split in ('train', 'validation', 'test')) >= 2""",
+    "p5_cutoffs": """
+        with r as (select id, s.source, score_field, min(case score_field when 'ctc_mismatch' then ctc_mismatch when 'avg_word_score' then -avg_word_score end) b
+                   from segments s join mixture_sources m using (source) where id is not null
+                   and isfinite(case score_field when 'ctc_mismatch' then ctc_mismatch when 'avg_word_score' then avg_word_score end) group by all),
+             n as (select source, count(*) as n, coalesce(any_value(keep_pct), 100) as pct from r join mixture_sources using (source) group by source),
+             o as (select r.*, n, pct, (n * pct + 99) // 100 as k, row_number() over (partition by source order by b) rn from r join n using (source)),
+             c as (select source, b as cut from o where rn = k)
+        select source, any_value(score_field) as score_field, any_value(n) as n, any_value(pct) as keep_pct, any_value(k) as k,
+               any_value(case score_field when 'ctc_mismatch' then cut else -cut end) as cutoff, count(*) filter (b <= cut) as n_kept, count(*) filter (b = cut) as n_ties,
+               count(*) filter (b <= cut) / any_value(n) as kept_share from o join c using (source) group by source""",
     "p4_cover": """
         with m as (select source, max_segment_seconds as lim from mixture_sources where source is not null and max_segment_seconds > 0 and not isnan(max_segment_seconds)),
              r as (select id, seg_row, case when end_s is null or start_s is null then 0 else start_s end as b,

@@ -16,6 +16,7 @@ Fitting takes at most `GRADED` graded documents (those of least hash), about `SP
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 
 from millrace.session import bounded_rows, cut
 
-GRADED, SPOKEN, PAIR_SAMPLE = 20_000, 20_000, 200_000
+GRADED, SPOKEN, PAIR_SAMPLE = 20_000, 10_000, 200_000
 #: Cells of the trigram tables; least share of the sample for a language to get one; nats a trigram below the least likely graded text.
-TRIGRAMS, LEAST_SHARE, SLACK = 1 << 15, 0.001, 0.5
+TRIGRAM_BITS, LEAST_SHARE, SLACK = 15, 0.001, 0.5
+TRIGRAMS = 1 << TRIGRAM_BITS
 #: Trigrams of a text must be this many to be told by; fewer say nothing.
 LEAST_TRIGRAMS = 8
 
@@ -66,28 +68,30 @@ def sentences(text: str) -> list[list[str]]:
                 joined[-1] += "."
             joined.append(line)
         text = " ".join(joined)
-    out = [[w.lower() for w in _WORD.findall(s)] for s in _END.split(text)]
-    return [s for s in out if s]
+    return [s for s in map(_WORD.findall, _END.split(text.lower())) if s]
 
 
 def trigrams(words: list[str]) -> np.ndarray:
     """The table cell of each three successive letters of the words, with a space between words."""
-    c = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(c) < 3:
-        return np.zeros(0, dtype=np.int64)
-    mixed = c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) + c[2:] * np.uint64(0xC2B2AE3D)
-    return ((mixed >> np.uint64(7)) % np.uint64(TRIGRAMS)).astype(np.int64)
+    c = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), dtype=np.uint32)
+    return _cells(c[:-2], c[1:-1], c[2:]) if len(c) > 2 else np.zeros(0, dtype=np.int64)
+
+
+def _cells(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    mixed = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)
+    return (mixed >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64)
 
 
 class Languages:
     """Log probabilities of trigrams by language (rows; the last is letters without order), the row of English, and the least mean it may have."""
 
     def __init__(self, tables: np.ndarray, english: int, floor: float):
-        self.tables, self.english, self.floor = tables.astype(np.float32), english, floor
+        # a row per cell, so a trigram's probabilities lie together
+        self.tables, self.english, self.floor = np.ascontiguousarray(tables.T, dtype=np.float32), english, floor
 
     def means(self, cells: np.ndarray) -> np.ndarray:
         """Mean log probability of the cells in each language."""
-        return self.tables[:, cells].mean(axis=1)
+        return self.tables[cells].sum(axis=0) / len(cells)
 
     def is_english(self, words: list[str]) -> bool:
         """Whether English is the likeliest language of the words, and likely enough."""
@@ -101,35 +105,44 @@ class Languages:
 FEATURES = 9
 
 
-def features(text: str, grades: dict[str, float]) -> tuple[list[float], list[str]]:
-    """(features, words). Texts without words have features 0."""
+def syntax(text: str) -> tuple[list[float], list[str]]:
+    """(features that need no grades, words). Texts without words have features 0."""
     clean = plain(text)
     own = sentences(clean)
     words = [w for s in own for w in s]
     n = len(words)
     if not n:
-        return [0.0] * FEATURES, words
-    lengths = [len(s) for s in own]
-    graded = [grades[w] for w in words if w in grades] or [2.5]
-    graded.sort()
-    # a long sentence weighs by its words, so that a few short ones can't hide it
-    typical = sum([x * x for x in lengths]) / n
-    sizes = list(map(len, words))
-    at = 0.9 * (len(graded) - 1)
-    below = graded[int(at)]
+        return [0.0] * (FEATURES - 2), words
+    lengths = list(map(len, own))
+    sizes = sorted(map(len, words))
     return [
-        math.log(typical),
+        # a long sentence weighs by its words, so that a few short ones can't hide it
+        math.log(sum([x * x for x in lengths]) / n),
         math.log(n / len(own)),
         sum(sizes) / n,
-        sum([x >= 8 for x in sizes]) / n,
-        sum([x >= 12 for x in sizes]) / n,
+        1 - bisect.bisect_left(sizes, 8) / n,
+        1 - bisect.bisect_left(sizes, 12) / n,
         (clean.count(",") + clean.count(";")) / len(own),
-        sum([w in SUBORDINATORS for w in words]) / len(own),
-        sum(graded) / len(graded),
-        below + (graded[min(int(at) + 1, len(graded) - 1)] - below) * (at - int(at)),
+        sum(map(SUBORDINATORS.__contains__, words)) / len(own),
     ], words
 
 
+def vocabulary(words: list[str], grades: dict[str, float]) -> list[float]:
+    """Mean and ninth decile of the words' grades; words without one are passed over, no words have 0."""
+    if not words:
+        return [0.0, 0.0]
+    graded = sorted([g for g in map(grades.get, words) if g is not None] or [2.5])
+    at = 0.9 * (len(graded) - 1)
+    below = graded[int(at)]
+    return [sum(graded) / len(graded), below + (graded[min(int(at) + 1, len(graded) - 1)] - below) * (at - int(at))]
+
+
+def features(text: str, grades: dict[str, float]) -> tuple[list[float], list[str]]:
+    """(features, words)."""
+    base, words = syntax(text)
+    return base + vocabulary(words, grades), words
+
+
 def rank_pairs(x: np.ndarray, y: np.ndarray, seed: int = 5, pairs: int = PAIR_SAMPLE) -> np.ndarray:
     """Weights of the linear ranker: logistic regression on differences of pairs with different grades, by Newton's method, with a small ridge."""
     rng = np.random.default_rng(seed)
@@ -189,7 +202,7 @@ def _fold(key) -> int:
 
 
 def gather(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lang: str | None) -> DataFrame:
-    """(key, grade, fold, spoken, words): the graded documents and the sample with a language, from one scan, computed once. Null grades, keys and texts are left out; several grades of one document count by their mean."""
+    """(k, g, s, base, words): key, grade, language, features and words of the graded documents and the sample with a language, from one scan, computed once. Null grades, keys and texts are left out; several grades of one document count by their mean."""
     graded = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("__grade"))
     graded = cut(graded.orderBy(F.xxhash64(key), key).limit(GRADED))
     named = F.lower(F.trim(F.col(lang).cast("string"))) if lang and lang in docs.columns else F.lit(None).cast("string")
@@ -201,9 +214,10 @@ def gather(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "g": batch["g"], "s": batch["s"], "t": batch["t"], "words": [[w for s in sentences(plain(t)) for w in s] for t in batch["t"]]})
+            own = [syntax(t) for t in batch["t"]]
+            yield pd.DataFrame({"k": batch["k"], "g": batch["g"], "s": batch["s"], "base": [x for x, _ in own], "words": [w for _, w in own]})
 
-    return cut(rows.mapInPandas(read, "k string, g double, s string, t string, words array<string>"))
+    return cut(rows.mapInPandas(read, "k string, g double, s string, base array<double>, words array<string>"))
 
 
 def learn_languages(sample: DataFrame) -> Languages | None:
@@ -267,9 +281,8 @@ def learn_languages(sample: DataFrame) -> Languages | None:
 def _without_order(letters: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log probabilities of the cells for letters drawn one by one. Cells are filled by drawing seeded triples, so the cost is fixed however many letters there are."""
     rng = np.random.default_rng(3)
-    drawn = rng.choice(letters, size=(3, 40 * TRIGRAMS), p=counts / counts.sum())
-    mixed = drawn[0] * np.uint64(0x9E3779B1) + drawn[1] * np.uint64(0x85EBCA77) + drawn[2] * np.uint64(0xC2B2AE3D)
-    sums = np.bincount(((mixed >> np.uint64(7)) % np.uint64(TRIGRAMS)).astype(np.int64), minlength=TRIGRAMS) + 0.5
+    drawn = rng.choice(letters.astype(np.uint32), size=(3, 40 * TRIGRAMS), p=counts / counts.sum())
+    sums = np.bincount(_cells(*drawn), minlength=TRIGRAMS) + 0.5
     return np.log(sums) - math.log(sums.sum())
 
 
@@ -290,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def fold(keys: pd.Series) -> pd.Series:
         return keys.map(_fold)
 
-    own = cut(sample.where("g is not null").where(english("words")).select("k", fold("k").alias("fold"), F.col("g").alias("grade"), "t", "words"))
+    own = cut(sample.where("g is not null").where(english("words")).select("k", fold("k").alias("fold"), F.col("g").alias("grade"), "base", "words"))
     seen = own.select("grade", "fold", F.explode(F.array_distinct("words")).alias("word"))
     table = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("grade").alias("g"), F.count_if(F.col("fold") == 0).alias("n0"), F.sum(F.when(F.col("fold") == 0, F.col("grade")).otherwise(0.0)).alias("g0"))
     # words of three graded documents or more; their number is bounded by the graded documents, not by the corpus
@@ -302,10 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, g, f, features(t, other.value[f])) for k, f, g, t in zip(batch["k"], batch["fold"], batch["grade"], batch["t"], strict=True)]
-            yield pd.DataFrame([(k, g, f, x[0]) for k, g, f, x in rows if len(x[1]) >= 5], columns=["k", "grade", "fold", "x"]).astype({"grade": "float64", "fold": "int32"})
+            rows = [(k, g, f, [*b, *vocabulary(list(w), other.value[f])]) for k, f, g, b, w in zip(batch["k"], batch["fold"], batch["grade"], batch["base"], batch["words"], strict=True) if len(w) >= 5]
+            yield pd.DataFrame(rows, columns=["k", "grade", "fold", "x"]).astype({"grade": "float64", "fold": "int32"})
 
-    rows = sorted(bounded_rows(own.select("k", "fold", "grade", "t").mapInPandas(measure, "k string, grade double, fold int, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
+    rows = sorted(bounded_rows(own.select("k", "fold", "grade", "base", "words").mapInPandas(measure, "k string, grade double, fold int, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
     y = np.array([r["grade"] for r in rows])
     if len(set(y)) < 2:
         return None

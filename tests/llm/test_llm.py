@@ -74,6 +74,37 @@ def test_mixture_reaches_target_shares(spark):
         assert abs(r["reached_share"] - r["target_share"]) < 0.02
 
 
+def test_shards_are_bounded_whatever_the_records(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    monkeypatch.setattr(mixing, "SHARDS", 4)
+    sources = spark.createDataFrame([(1, 2.0, 1, 1, "s", 1.0, 0.0), (2, 1.0, 3, 1, "s", 1.0, 0.0)], SOURCES)
+    for n in (400, 4000):
+        rows = [(f"{s}-{i}", s, 5.0 + i % 7) for s, k in ((1, n), (2, n // 5)) for i in range(k)]
+        df = spark.createDataFrame(rows, "id string, source int, duration_s double")
+        plan = mixing.Plan(df, sources, "duration_s", "id", "source", None, 30.0)
+        placed, stretches, parts = mixing._placed(plan.records, plan.sums, "id", "source", 30.0, 11)
+        assert len(parts) <= 4 * 2 and stretches.count() >= n // 100
+        # blocks follow one another in a shard's order, over all its stretches
+        for s, shard in {(r["source"], r["shard"]) for r in parts}:
+            own = sorted(r["block"] for r in placed.where(f"source = {s} and shard = {shard}").collect())
+            assert own[0] == 0 and all(b - a <= 1 for a, b in zip(own, own[1:], strict=False))
+        report = {r["source"]: r for r in mixing.mix(df, sources, "duration_s")[1].collect()}
+        assert all(abs(r["reached_share"] - r["target_share"]) < 0.05 for r in report.values()) or report[2]["short"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 4000), st.integers(0, 5)), min_size=1, max_size=12))
+def test_short_sources_are_held_by_their_cap(rows):
+    block = 30.0
+    weight = {i: float(w) for i, (w, _, _) in enumerate(rows)}
+    most = {i: float(r * s) for i, (_, s, r) in enumerate(rows)}
+    aim = float(sum(s for _, s, _ in rows))
+    share = {i: w / (sum(weight.values()) or 1.0) for i, w in weight.items()}
+    cap = {i: int(x / block) for i, x in most.items()}
+    quota = mixing.sainte_lague(weight, round(aim / block), cap)
+    assert mixing.short_sources(quota, cap, share, most, aim) == {i for i in weight if most[i] < share[i] * aim}
+
+
 def test_mixture_of_nothing(spark):
     df, sources = mixture_input(spark)
     mixture, report = mixing.mix(df.limit(0), sources, "duration_s")
@@ -161,6 +192,32 @@ def test_splits_keep_groups_and_shares(spark):
         assert abs(sum(r["new_split"] == "train" for r in own) / len(own) - 0.8) < 0.06
 
 
+@pytest.mark.parametrize("labels", [5, 900])
+def test_every_label_is_spread(spark, labels):
+    """Few labels have a place of their own, many share places; either way each is spread by the shares."""
+    rng = random.Random(9)
+    rows = [(f"g{i}", f"l{rng.randrange(labels)}") for i in range(1500) for _ in range(rng.choice([1, 2, 30]))] + [("g0", None)] * 5 + [(None, "l1")] * 5
+    df = spark.createDataFrame([(*r, "x", True) for r in rows], "grp string, label string, item string, big boolean")
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
+    got = entity_splits.grouped_split(df, "grp", "label", targets).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"grp", "label", "item", "big", "new_split"}
+    off = {}
+    for r in got:
+        own = off.setdefault(r["label"], [0, 0])
+        own[r["new_split"] == "train"] += 1
+    if labels == 5:
+        assert all(abs(a / (a + b) - 0.5) < 0.05 for k, (a, b) in off.items() if k)
+    assert sum((a - b) ** 2 / (a + b) for a, b in off.values()) < 2.5 * len(rows) / labels * len(off) / 10
+
+
+def test_hot_entities_are_salted(spark, monkeypatch):
+    segments, links = split_input(spark)
+    held = lambda: {r["seg_row"]: r["person"] for r in entity_splits.with_groups(segments, "speaker_id", links, "speaker_id", "same_as", "link_id", F.col("id"), "person").collect()}
+    small = held()
+    monkeypatch.setattr(entity_splits, "BROADCAST_BYTES", 0)
+    assert held() == small and len(small) == segments.count()
+
+
 def test_splits_of_nothing(spark):
     segments, links = split_input(spark, 3)
     targets = spark.createDataFrame([("train", 1.0)], "split string, target_share double")
