@@ -6,8 +6,8 @@ its records, and each round also hooks the label an entity had before and jumps
 n links takes about log n rounds. A record that names one entity joins nothing, so only records with two or more
 entities (links, co-authors) enter the rounds; the large table of records meets the result in a single join.
 
-Rows that name nobody are set apart before that join. Of the others one entity may hold a third, so unless the components
-are few enough to be broadcast, rows are spread over `SALTS` parts of their entity and the components repeated in each.
+Components few enough are broadcast to the rows. Otherwise rows that name nobody are set apart before the join, and as one entity
+may hold a third of the others, they are spread over `SALTS` parts of their entity and the components repeated in each.
 
 Groups are then assigned to splits so that each label keeps its target share in each split. A group above 1/`ITEMS` of
 all rows (at most `ITEMS` of them can exist) is an item of its own; all smaller groups fall by hash into `ITEMS` buckets.
@@ -63,15 +63,15 @@ def with_groups(df: DataFrame, entity: str, links: DataFrame, left: str, right:
     edges = links.select(F.col(link_key).alias("record"), F.explode(F.array(entity_key(F.col(left)), entity_key(F.col(right)))).alias("entity"))
     of = components(edges).select(F.col("entity").alias("__entity"), F.col("component").alias("__component"))
     keyed = df.withColumn("__entity", entity_key(F.col(entity)))
-    nobody = keyed.where("__entity is null").withColumn(out, F.concat(F.lit("r:"), key))
-    named = keyed.where("__entity is not null")
+    own = F.concat(F.lit("e:"), F.coalesce("__component", "__entity"))
     if int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
-        joined = named.join(F.broadcast(of), "__entity", "left")
-    else:
-        salted = of.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = named.withColumn("__salt", F.pmod(F.xxhash64(key, F.rand(5)), F.lit(SALTS)).cast("int")).join(salted, ["__entity", "__salt"], "left").drop("__salt")
-    joined = joined.withColumn(out, F.concat(F.lit("e:"), F.coalesce("__component", "__entity")))
-    return joined.drop("__entity", "__component").unionByName(nobody.drop("__entity"))
+        # no row moves, so no entity can be too frequent
+        return keyed.join(F.broadcast(of), "__entity", "left").withColumn(out, F.coalesce(own, F.concat(F.lit("r:"), key))).drop("__entity", "__component")
+    nobody = keyed.where("__entity is null").withColumn(out, F.concat(F.lit("r:"), key))
+    salted = of.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = keyed.where("__entity is not null").withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    joined = named.join(salted, ["__entity", "__salt"], "left").withColumn(out, own)
+    return joined.drop("__entity", "__component", "__salt").unionByName(nobody.drop("__entity"))
 
 
 def assign(names: list[str], sizes: np.ndarray, vectors: np.ndarray, shares: dict[str, float]) -> dict[str, str]:

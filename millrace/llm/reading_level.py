@@ -42,6 +42,8 @@ SUBORDINATORS = set("although though because since unless whereas while when whe
 _DROPPED = re.compile(r"<\|[^<>|]*\|>|<[/!?]?[A-Za-z!-][^<>]*>|https?://\S+|www\.\S+|\[[^\[\]]*\]|[­​-‏ -‮⁠﻿]|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _SPEAKER = re.compile(r"(?m)^[^\S\n]*(?:[A-Z][A-Z'’.\-]*\s+){0,4}[A-Z][A-Z'’.\-]+\s*:(?=\s)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*")  # the same words of a small ASCII text, found faster
+_MARKUP = re.compile(r"[<\[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|https?:|www\.")
 _END = re.compile(r"[.!?。！？]+(?=[\s\"'”’»)\]]|$)")
 
 
@@ -49,18 +51,21 @@ def plain(text: str | None) -> str:
     """The text without markup, addresses, notes in square brackets, invisible characters and speaker names."""
     if not text:
         return ""
-    out = html.unescape(text.replace("\r\n", "\n").replace("\r", "\n"))
-    out = re.sub(r"(?i)</(?:p|div|li|h\d|tr)\s*>|<br\s*/?>", "\n", out)
-    out = _DROPPED.sub(" ", out)
-    return _SPEAKER.sub(" ", out)
+    out = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    if "&" in out:
+        out = html.unescape(out)
+    if not out.isascii() or _MARKUP.search(out):
+        out = re.sub(r"(?i)</(?:p|div|li|h\d|tr)\s*>|<br\s*/?>", "\n", out)
+        out = _DROPPED.sub(" ", out)
+    return _SPEAKER.sub(" ", out) if ":" in out else out
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence, in small letters. A line's end ends a sentence where the text has no other ends, or where no mark stands before it and a capital follows small letters."""
     lines = [x for x in text.split("\n") if x.strip()]
-    marks = len(_END.findall(text))
-    cased = any(c.islower() for c in text)
     if len(lines) > 1:
+        marks = len(_END.findall(text))
+        cased = text != text.upper()
         joined = [lines[0].strip()]
         for line in lines[1:]:
             line, before = line.strip(), joined[-1][-1:]
@@ -68,12 +73,14 @@ def sentences(text: str) -> list[list[str]]:
                 joined[-1] += "."
             joined.append(line)
         text = " ".join(joined)
-    return [s for s in map(_WORD.findall, _END.split(text.lower())) if s]
+    low = text.lower()
+    return [s for s in map((_ASCII_WORD if low.isascii() else _WORD).findall, _END.split(low)) if s]
 
 
 def trigrams(words: list[str]) -> np.ndarray:
     """The table cell of each three successive letters of the words, with a space between words."""
-    c = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), dtype=np.uint32)
+    s = f" {' '.join(words)} "
+    c = np.frombuffer(s.encode("ascii"), dtype=np.uint8).astype(np.uint32) if s.isascii() else np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
     return _cells(c[:-2], c[1:-1], c[2:]) if len(c) > 2 else np.zeros(0, dtype=np.int64)
 
 
@@ -91,7 +98,7 @@ class Languages:
 
     def means(self, cells: np.ndarray) -> np.ndarray:
         """Mean log probability of the cells in each language."""
-        return self.tables[cells].sum(axis=0) / len(cells)
+        return np.ones(len(cells), dtype=np.float32) @ self.tables.take(cells, axis=0) / len(cells)
 
     def is_english(self, words: list[str]) -> bool:
         """Whether English is the likeliest language of the words, and likely enough."""
