@@ -184,10 +184,15 @@ def token_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return tokens.select("token", "count", spoken.token_readings(F.col("token"), F.lit(None).cast("string")).alias("readings"))
 
 
+#: Small lexicons of the query; larger ones are tables.
+SEEN = "red blue green yellow black white gold silver dark bright wood metal glass paper stone round oval square left right foreground background portrait landscape window tree river hill boat bridge lamp door figure face hat coat".split()
+TOLD = "born died war founded established served worked married donated gift purchased exhibited museum history known famous company century period during years family published award was were had would became began".split()
+
+
 @query()
 def visual_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The visual sentences of the descriptions."""
-    media = read_table(spark, d, "media_metadata").select("meta_row", visual.visual_text()(F.col("description")).alias("v"))
+    media = read_table(spark, d, "media_metadata").select("meta_row", visual.visual_text(F.col("description"), visual.VisualText(SEEN, TOLD)).alias("v"))
     return media.select("meta_row", "v.text", "v.retained")
 
 

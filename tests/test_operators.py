@@ -192,16 +192,51 @@ def test_spoken(token, before, usual):
 def test_cardinals_round_trip():
     assert spoken.cardinal(10**11 + 5) == "ONE HUNDRED BILLION FIVE"
     assert spoken.cardinal(-21) == "MINUS TWENTY ONE" and spoken.ordinal(40) == "FORTIETH" and spoken.ordinal(12) == "TWELFTH"
-    assert spoken.context(["ARTICLES", "I,", "II", "AND", "III"], 4) == "ARTICLES"
+    assert spoken.governor(["ARTICLES", "I,", "II", "AND", "III"], 4) == ("ARTICLES", True)
+    assert all(spoken.cardinal(n) == spoken.cardinal(n // 1000) + " THOUSAND" + (" " + spoken.cardinal(n % 1000) if n % 1000 else "") for n in range(1000, 200_000, 777))
+    assert spoken.cardinal(10**12 + 3) == "ONE THOUSAND BILLION THREE" and spoken.cardinal(0) == "ZERO"
+    assert [spoken.numeral_value(x) for x in ("I", "IV", "IX", "XIV", "XXXVIII")] == [1, 4, 9, 14, 38]
 
 
-def test_visual_text():
-    rules = visual.VisualText()
-    assert rules.extract(None) == (None, None) and rules.extract("") == (None, None)
-    kept, share = rules.extract("A red vase with a gold pattern. He was born in 1820 and served in the war.")
-    assert kept == "A red vase with a gold pattern." and 0 < share < 1
-    assert rules.extract("He died in 1820.") == (None, 0.0)
-    assert visual.sentences("Dr. A. Smith came. He left.") == ["Dr. A. Smith came.", "He left."]
+@pytest.mark.parametrize(
+    ("token", "before", "all_readings"),
+    [("v.", None, ["VERSUS", "V"]), ("(c)(1)(v)", None, ["C ONE V"]), ("III's", "Article", ["THREE'S"]), ("II(2)", "Article", ["TWO TWO"]), ("VIII", "Henry", ["EIGHT", "THE EIGHTH"]), ("X", "Brand", ["X"]), ("I", "And", ["I"]), ("316", None, ["THREE HUNDRED SIXTEEN", "THREE SIXTEEN", "THREE ONE SIX"]), ("2500", None, ["TWO THOUSAND FIVE HUNDRED", "TWENTY FIVE HUNDRED", "TWO FIVE ZERO ZERO"])],
+)
+def test_all_readings(token, before, all_readings):
+    assert [" ".join(r) for r in spoken.readings(token, before)] == all_readings
+
+
+@pytest.mark.parametrize(
+    ("text", "last"),
+    [("Schedule I or II drugs", ["ONE", "OR", "TWO", "DRUGS"]), ("Schedule I, II; and IV", ["ONE", "TWO", "AND", "FOUR"]), ("World War I and II", ["ONE", "AND", "TWO"]), ("Henry VIII and IX", ["EIGHT/THE EIGHTH", "AND", "NINE/THE NINTH"]), ("Article III and I think", ["THREE", "AND", "I/ONE", "THINK"]), ("you and I", ["AND", "I"]), ("Title VII, and the", ["SEVEN", "AND", "THE"])],
+)
+def test_numerals_keep_their_governor(text, last):
+    got = ["/".join(" ".join(r) for r in t) for t in spoken.spoken_tokens(text.split())]
+    assert got[-len(last) :] == last
+
+
+def test_visual_text(spark):
+    rules = visual.VisualText(["red", "gold", "vase", "pattern", "round", "blue", "porcelain", "painted", "white", "floral", "patterns", "curved", "surface"], ["born", "served", "war", "died", "donated", "museum", "family", "learning", "career", "would", "mastered"])
+    history = "After moving north, Ann Lee mastered crafts. His love of learning would endure in his career."
+    survives = "The round blue porcelain vase is painted with white floral patterns on its curved surface."
+    cases = [None, "", "A red vase with a gold pattern. He was born in 1820 and served in the war.", "He died in 1820.", f"{history} {survives}", f"{survives}\n\n{history}"]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string").select("k", visual.visual_text(F.col("t"), rules).alias("v"))
+    got = {r["k"]: (r["v"]["text"], r["v"]["retained"]) for r in df.collect()}
+    assert got[0] == (None, None) and got[1] == (None, None) and got[3] == (None, 0.0)
+    assert got[2][0] == "A red vase with a gold pattern." and 0 < got[2][1] < 1
+    assert got[4][0] == survives and got[5][0] == survives and got[5][1] == pytest.approx(len(survives) / len(cases[5]), rel=1e-6)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_visual_sentences(spark):
+    cases = ["Dr. A. Smith came. He left.", "Made by Mrs. J. H. Allen in the U.S. Army. It is red.", 'He said "It is done." Then he left!', "Dated ca. 1890. Painted blue.", ""]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(cases)), "k int, t string").orderBy("k").select(visual.sentences(F.col("t"))).collect()]
+    assert got == [["Dr. A. Smith came.", "He left."], ["Made by Mrs. J. H. Allen in the U.S. Army.", "It is red."], ['He said "It is done."', "Then he left!"], ["Dated ca. 1890.", "Painted blue."], []]
+    terms = spark.createDataFrame([("Red",), ("red",), (None,), ("oak",)], "term string")
+    assert visual.lexicon(terms) == ["oak", "red"]
+    heard = spark.createDataFrame([("The dog ran, the dog!", "a DOG"), (None, "x"), ("b", None)], "r string, h string")
+    assert [r[0] for r in heard.select(visual.unspoken_words(F.col("r"), F.col("h"))).collect()] == [["THE", "RAN"], [], ["B"]]
 
 
 def test_turns(spark):
@@ -290,9 +325,13 @@ def test_ingest_dedupes_over_units(spark):
 def test_lineage(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", None)], "child string, parent string")
     assert rows(L.ancestry(edges, spark.createDataFrame([("a",)], "n string")), "depth") == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
-    known = {"root": {"ancestry": {"datasets": ["p/"], "models": ["m"]}, "produced_on": "2031-01-02T00:00"}}
-    graph = L.mermaid(L.crawl("root", lambda n: known.get(n.name), {"root": {"datasets": ["q"]}}, {"p": "alias"}))
-    assert graph.splitlines() == ["flowchart BT", '  n0["root<br/>2031-01-02"]', '  n1["alias"]', "  class n1 leaf", '  n2(["m"])', "  class n2 leaf", '  n3["q"]', "  class n3 leaf", "  n1 --> n0", "  n2 --> n0", "  n3 -.-> n0", "  classDef leaf stroke-dasharray: 4 4"]
+    records = spark.createDataFrame([("root", "2031-01-02T00:00", ["p/", "p"], ["m"]), ("zzz", None, None, None)], "name string, produced_on string, datasets array<string>, models array<string>")
+    declared = spark.createDataFrame([("root/", ["q", "p"]), ("q", ["root"])], "name string, datasets array<string>")
+    graph = L.mermaid(records, "root/", declared, {"p": "alias"})
+    assert graph.splitlines() == ["flowchart BT", '  n0["root<br/>2031-01-02"]', '  n1["alias"]', "  class n1 leaf", '  n2(["m"])', "  class n2 leaf", '  n3["q"]', "  class n3 leaf", "  n1 --> n0", "  n2 --> n0", "  n3 -.-> n0", "  n0 -.-> n3", "  classDef leaf stroke-dasharray: 4 4"]
+    chain = spark.createDataFrame([(f"d{i}", None, [f"d{i + 1}", 'a"b'], None) for i in range(6)], records.schema)
+    assert L.graph_nodes(L.parent_edges(chain), "d0", max_nodes=4).count() == 4
+    assert '#quot;' in L.mermaid(chain, "d0") and L.mermaid(records.limit(0), "x").splitlines()[1:3] == ['  n0["x"]', "  class n0 leaf"]
 
 
 def test_media_headers():

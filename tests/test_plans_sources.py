@@ -20,7 +20,18 @@ def test_overlays():
     with pytest.raises(ValueError):
         config.load([base, {"pipeline": {"n": {"$oops": 1}}}])
     with pytest.raises(ValueError):
-        config.parse_set("novalue")
+        config.assignment("novalue")
+    with pytest.raises(ValueError):
+        config.load([base, {"pipeline": {"a": {"$before": "b", "$after": "c"}}}])
+    with pytest.raises(ValueError):
+        config.load([base, {"pipeline": {"a": {"$before": "a"}}}])
+    assert config.load([{"a": 1}, {"a": {"b": {}}}, {"l": [{"$delete": True, "x": 1}]}], ["n.m={k: 2}", "n.z="]) == {"a": {"b": {}}, "l": [{"x": 1}], "n": {"m": {"k": 2}, "z": None}}
+    assert list(config.load([base, {"pipeline": {"b": {"$delete": True}}}, {"pipeline": {"b": {"y": 1, "$before": "a"}}}])["pipeline"]) == ["b", "a", "c"]
+    with pytest.raises(ValueError):
+        config.steps({"a": {"name": "b"}})
+    with pytest.raises(TypeError):
+        config.steps({"a": 3})
+    assert config.steps({"a": None, "b": {"x": 1}}) == [{"name": "a"}, {"name": "b", "x": 1}] and config.steps(None) == []
 
 
 def test_unknown_steps_and_arguments_fail_early():
