@@ -5,6 +5,7 @@ Shuffles are orders by a seeded hash, so they are the same in every run, can be
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -90,16 +91,17 @@ def mixture_chunks(df: DataFrame, source: str, key: str, weights: Mapping[str, f
     return placed.join(F.broadcast(wanted), "source").where("position >= a and position < b").select("chunk", F.col("source").alias(source), "position", F.col("key").alias(key))
 
 
-def length_batches(rows: Sequence, lengths: Sequence[float], budget: float) -> list[list]:
-    """Batches of rows in order: a new one begins where the batch, padded to the row at hand, would exceed the budget."""
-    out: list[list] = []
-    batch: list = []
-    for row, length in zip(rows, lengths, strict=True):
-        if batch and (len(batch) + 1) * length > budget:
-            out.append(batch)
-            batch = []
-        batch.append(row)
-    return out + [batch] if batch else out
+def batch_ends(lengths: np.ndarray, budget: float) -> list[int]:
+    """Where the batches of rows sorted by length end: the most rows whose number times the longest keeps to the budget, one at least.
+
+    In sorted lengths the padded size of rows a to b is (b - a) * lengths[b - 1] and grows with b, so each end is found by bisection.
+    """
+    ends, a, n = [], 0, len(lengths)
+    while a < n:
+        fits = bisect.bisect_right(range(a + 1, n + 1), budget, key=lambda b: (b - a) * lengths[b - 1])
+        a += max(fits, 1)
+        ends.append(a)
+    return ends
 
 
 def bucketed_batches(pool: DataFrame, chunk: str, key: str, length: str, budget: float, seed: int = 0) -> DataFrame:
@@ -108,10 +110,11 @@ def bucketed_batches(pool: DataFrame, chunk: str, key: str, length: str, budget:
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([length, key], kind="stable")
-        batches = length_batches(list(pdf[key]), list(pdf[length]), budget)
-        order = np.random.default_rng([seed, int(pdf[chunk].iloc[0])]).permutation(len(batches))
-        rows = [(int(pdf[chunk].iloc[0]), int(b), i, k) for b, at in enumerate(order) for i, k in enumerate(batches[at])]
-        return pd.DataFrame(rows, columns=[chunk, "batch", "pos", key])
+        ends = np.array(batch_ends(pdf[length].to_numpy(), budget), dtype=int)
+        sizes = np.diff(ends, prepend=0)
+        place = np.random.default_rng([seed, int(pdf[chunk].iloc[0])]).permutation(len(ends))
+        pos = np.arange(len(pdf)) - np.repeat(ends - sizes, sizes)
+        return pd.DataFrame({chunk: pdf[chunk].to_numpy(), "batch": np.repeat(place, sizes), "pos": pos, key: pdf[key].to_numpy()})
 
     return pool.select(chunk, key, length).groupBy(chunk).applyInPandas(pack, f"{chunk} int, batch int, pos int, {key} {kind}")
 

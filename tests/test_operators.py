@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,12 +247,59 @@ def test_turns(spark):
     assert got == [("d1", 0, 1, "MR. DOE", "Hello there."), ("d1", 1, 1, "CHIEF JUSTICE ROE", "Yes. stray")]
 
 
-def test_cut_turn_prefers_sentences():
-    tokens = "One two. Three four five. Six".split()
+def test_cuts_prefer_sentences():
     starts = [float(i) for i in range(6)]
-    assert Sp.cut_turn(tokens, starts, [s + 1 for s in starts], 4.0) == [[0, 1], [2, 3, 4, 5]]
-    assert Sp.cut_turn(["a", "b"], [0.0, 9.0], [1.0, 10.0], 100.0, 2.0) == [[0], [1]]
-    assert Sp.cut_turn([], [], [], 4.0) == []
+    ends = [x + 1 for x in starts]
+    stops = [t.endswith(".") for t in "One two. Three four five. Six".split()]
+    assert Sp.cut_points(starts, ends, stops, 4.0) == [0, 0, 1, 1, 1, 1]
+    assert Sp.cut_points([0.0, 9.0], [1.0, 10.0], [False, False], 100.0, 2.0) == [0, 1]
+    assert Sp.cut_points([], [], [], 4.0) == [] and Sp.cut_points([0.0, 0.5, 9.0], [0.4, 8.0, 9.5], [True, False, False], 4.0) == [0, 1, 2]
+
+
+def script(*turns, gap=0.3):
+    """Tokens of turns (speaker, text, seconds a word, unspoken places, scores by place), one after another."""
+    out, clock, n = [], 0.0, 0
+    for turn, (speaker, text, seconds, unspoken, scores) in enumerate(turns):
+        for k, token in enumerate(text.split()):
+            silent = k in unspoken
+            out.append(("r", turn, n, token, speaker, None if silent else clock, None if silent else clock + seconds, None if silent else scores.get(k, scores.get("all", -0.1)) * len(token), len(token), True, True, silent, 9))
+            clock += 0 if silent else seconds + 0.05
+            n += 1
+        clock += gap
+    return out
+
+
+GOOD, A_LINE = {}, "a long question about the statute and its history"
+
+
+@pytest.mark.parametrize(
+    ("turns", "gap", "texts"),
+    [
+        ([("a", "one two three four five six", 0.3, {2, 3}, GOOD)], 0.3, ["one two", "five six"]),
+        ([("a", "wrong case called", 0.3, {0, 1, 2}, GOOD), ("b", "the right case now", 0.3, set(), GOOD)], 0.3, ["the right case now"]),
+        ([("a", "you don't look like him", 0.3, set(), {"all": -8.0}), ("b", "accepting federal funds for its prisons", 0.3, set(), {0: -5.0})], 0.3, ["you don't look like him", "federal funds for its prisons"]),
+        ([("a", "you don't look like him", 0.3, set(), GOOD), ("b", "accepting federal funds for its prisons", 0.3, set(), {0: -5.0})], 0.3, ["you don't look like him", "accepting federal funds for its prisons"]),
+        ([("a", "oh sorry federal funds for its prisons", 0.3, {0, 1}, {2: -5.0})], 0.3, ["funds for its prisons"]),
+        ([("a", A_LINE, 0.3, set(), GOOD), *((s, t, 0.25, set(), GOOD) for s, t in (("b", "well"), ("a", "okay no"), ("b", "but"), ("a", "right"), ("b", "I think"))), ("a", "and what about the second question here", 0.3, set(), GOOD)], 0.1, [A_LINE, "and what about the second question here"]),
+        ([("a", A_LINE, 0.3, set(), GOOD), ("b", "well", 0.25, set(), GOOD), ("a", "okay", 0.25, set(), GOOD)], 0.1, [A_LINE, "well", "okay"]),
+        ([(s, t, 0.3, set(), GOOD) for s, t in (("a", "yes"), ("b", "no"), ("a", "maybe"), ("b", "fine"))], 4.0, ["yes", "no", "maybe", "fine"]),
+    ],
+)
+def test_segmenter(spark, turns, gap, texts):
+    tokens = script(*turns, gap=gap)
+    df = spark.createDataFrame(tokens, "rec string, turn int, token_no int, token string, speaker string, start double, end double, score double, count int, content boolean, ok boolean, unspoken boolean, piece int")
+    got = Sp.segments(df.drop("piece"), ["rec"], F.lit(1000.0)).orderBy("segment").collect()
+    assert [r["text"] for r in got] == texts
+    times = {t[2]: (t[5], t[6]) for t in tokens}
+    for r in got:
+        assert r["start"] <= times[r["first_token"]][0] and r["end"] >= times[r["first_token"] + r["n_tokens"] - 1][1]
+    if texts[-1] == "federal funds for its prisons":
+        assert got[1]["start"] == times[5][1]  # padding stops at the trimmed word
+
+
+def test_segments_of_nothing(spark):
+    df = spark.createDataFrame([], "rec string, turn int, token_no int, token string, speaker string, start double, end double, score double, count int, content boolean, ok boolean, unspoken boolean")
+    assert Sp.segments(df, ["rec"], F.lit(1.0)).count() == 0
 
 
 def test_anchors():
@@ -263,15 +311,18 @@ def test_replaced_rows(spark):
     import pandas as pd
 
     df = spark.createDataFrame([("d", "x y"), ("e", "")], "docket string, text string")
-    out = Sp.replace_rows(df, lambda r: pd.DataFrame({"word": r["text"].iloc[0].split()}), "word string", ["docket"])
-    assert rows(out) == [("x", "d"), ("y", "d")]
+    def split(batch):
+        found = [(i, w) for i, t in enumerate(batch["text"]) for w in t.split()]
+        return pd.DataFrame({"word": [w for _, w in found]}, dtype=object), [i for i, _ in found]
+
+    assert rows(Sp.replace_rows(df, split, "word string", ["docket"])) == [("x", "d"), ("y", "d")]
 
 
 def test_samplers(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     b = S.shuffled_batches(df, "k", 32, (0, 1), 3).collect()
     assert len(b) == 2 * 96 and len({r["k"] for r in b if r["pass"] == 0}) == 96
-    assert S.length_batches([0, 1, 2, 3, 4, 5], [3, 5, 5, 9, 20, 40], 20) == [[0, 1, 2], [3], [4], [5]]
+    assert S.batch_ends(np.array([3, 5, 5, 9, 20, 40]), 20) == [3, 4, 5, 6] and S.batch_ends(np.array([]), 20) == []
     mixed = df.select("k", F.when(F.col("k") < 30, "a").otherwise("b").alias("s"))
     both = {(r["chunk"], r["s"], r["position"]): r["k"] for r in S.mixture_chunks(mixed, "s", "k", {"a": 1, "b": 1}, 80, [0, 1], 1).collect()}
     again = {(r["chunk"], r["s"], r["position"]): r["k"] for r in S.mixture_chunks(mixed, "s", "k", {"a": 1, "b": 1}, 80, [1], 1).collect()}
