@@ -12,6 +12,7 @@ import wave
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,58 @@ def wav_seconds(data: pd.Series) -> pd.Series:
     return pd.Series([_wav_seconds(d) for d in data], dtype="float64")
 
 
+def pdf_texts(convert: Callable[[bytes], str]) -> Callable[[Column], Column]:
+    """A UDF from PDF bytes to their text by a converter (such as a call of an installed tool); null for null bytes and where the converter fails."""
+
+    @F.pandas_udf(T.StringType())
+    def apply(data: pd.Series) -> pd.Series:
+        def one(d: bytes | None) -> str | None:
+            try:
+                return None if d is None else convert(d)
+            except Exception:  # a broken file is a row without text, not the end of the job
+                return None
+
+        return data.map(one, na_action="ignore")
+
+    return apply
+
+
+def pulse_sharpness(residual: Column) -> Column:
+    """Kurtosis of a prediction residual (array): sharp pulses give high values. Null for fewer than two values or none that differ."""
+    n = F.size(residual)
+    mean = F.aggregate(residual, F.lit(0.0), lambda a, x: a + x) / n
+    moment = lambda k: F.aggregate(residual, F.lit(0.0), lambda a, x: a + F.pow(x - mean, F.lit(float(k)))) / n
+    return F.when(n > 1, moment(4) / F.nullif(F.pow(moment(2), F.lit(2.0)), F.lit(0.0)))
+
+
+def cepstral_peak(frames: pd.Series, rate: int, low_hz: float, high_hz: float) -> pd.Series:
+    """Height of the highest cepstral value between two pitches over the cepstrum's trend, for each frame; null for frames shorter than a period of the lower pitch. A batch function for `kernel`."""
+
+    def one(frame) -> float | None:
+        x = np.asarray(frame, dtype=float)
+        lo, hi = int(rate / high_hz), int(rate / low_hz)
+        if len(x) <= hi or lo < 1:
+            return None
+        spectrum = np.log(np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2 + 1e-12)
+        cepstrum = np.abs(np.fft.irfft(spectrum))[: hi + 1]
+        at = np.arange(lo, hi + 1)
+        slope, base = np.polyfit(at, cepstrum[lo : hi + 1], 1)
+        peak = lo + int(cepstrum[lo : hi + 1].argmax())
+        return float(cepstrum[peak] - (slope * peak + base))
+
+    return frames.map(one, na_action="ignore")
+
+
+def padded(pixels: pd.Series, height: int, width: int, fill: int = 0) -> pd.Series:
+    """Images (nested lists of rows) cut or padded at the right and the bottom to one size. A batch function for `kernel`."""
+
+    def one(image) -> list:
+        rows = [[*row[:width], *[fill] * (width - len(row))] for row in (list(r) for r in image)][:height]
+        return rows + [[fill] * width for _ in range(height - len(rows))]
+
+    return pixels.map(one, na_action="ignore")
+
+
 def image_size(data: bytes | None) -> tuple[int | None, int | None]:
     """(width, height) from the header of a PNG, GIF or JPEG file."""
     if not data:

@@ -46,14 +46,27 @@ def number_source(source: DataFrame, order_by: Sequence[str], out: str = "row")
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str], lookup_key: str | None = None) -> DataFrame:
     """Left join to a table of unique keys: adds `columns`, null where nothing matches; a null key matches a null lookup key.
 
-    Repeated keys in the lookup are an error, found by counting before the join. Columns that `df` already has keep its values.
+    Repeated keys in the lookup fail the query when it runs: the lookup is aggregated by its key and checked on the way into the
+    join. Columns that `df` already has keep its values.
     """
     lookup_key = lookup_key or key
-    if lookup.groupBy(col(lookup_key)).count().where("count > 1").limit(1).count():
-        raise ValueError(f"{lookup_key} isn't unique in the lookup table")
     added = [c for c in columns if c not in df.columns]
-    side = lookup.select(col(lookup_key).alias("__key"), *[col(c) for c in added])
-    return df.join(broadcast_if_small(side), col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    if not added:
+        return df
+    one = lookup.groupBy(col(lookup_key).alias("__key")).agg(F.count("*").alias("__n"), F.first(F.struct(*[col(c).alias(c) for c in added])).alias("__v"))
+    unique = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"{lookup_key} isn't unique in the lookup table: "), F.coalesce(F.col("__key").cast("string"), F.lit("null"))))).otherwise(F.col("__v"))
+    side = one.select("__key", unique.alias("__v"))
+    joined = df.join(broadcast_if_small(side), col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.select(*[col(c) for c in df.columns], *[F.col("__v")[c].alias(c) for c in added])
+
+
+def join_last_word(df: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+    """Pairs of rows and names (theta join) whose last word the text ends with after a space; as an equal last word follows from that, it is an equi join on it, with the condition on top."""
+    last = lambda c: F.regexp_extract(c, r"(\S+)$", 1)
+    n = names.where(col(name).isNotNull()).select(*[col(c).alias(f"__n_{c}") for c in names.columns]).withColumn("__w", last(F.col(f"__n_{name}"))).where("__w <> ''")
+    joined = df.withColumn("__t", last(col(text))).join(broadcast_if_small(n), (F.col("__t") == F.col("__w")) & F.endswith(col(text), F.concat(F.lit(" "), F.col("__w"))))
+    kept = [c for c in names.columns if c not in df.columns]
+    return joined.select(*[col(c) for c in df.columns], *[F.col(f"__n_{c}").alias(c) for c in kept])
 
 
 def join_with_fallback(df: DataFrame, side: DataFrame, key: str, value: str, fallback: Column) -> DataFrame:

@@ -8,11 +8,11 @@ read gives no row. JSON is parsed with explicit schemas on the JVM; only XML and
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import clean_text, clean_texts, matches_terms
 from millrace.functions.urls import delivery_url, iiif_url, query_value, quoted, thumbnail_url
@@ -233,57 +233,53 @@ def gallery_works(df: DataFrame, rights: Mapping[str, str], languages: Mapping[s
     )
 
 
-# The namespaces of harvested XML records.
-NAMESPACES = {
-    "oai": "http://www.openarchives.org/OAI/2.0/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "ore": "http://www.openarchives.org/ore/terms/", "edm": "http://www.europeana.eu/schemas/edm/",
-    "dc": "http://purl.org/dc/elements/1.1/", "dcterms": "http://purl.org/dc/terms/", "skos": "http://www.w3.org/2004/02/skos/core#", "svcs": "http://rdfs.org/sioc/services#",
-}
+# The elements of harvested XML records that are read; names without their namespaces, attributes with an underscore.
+_TEXTS = "array<struct<_VALUE: string, _lang: string>>"
+_LABELLED = f"array<struct<_about: string, prefLabel: {_TEXTS}>>"
+HARVESTED = (
+    "header struct<_status: string, identifier: string>, metadata struct<RDF: struct<"
+    "Aggregation: struct<rights: struct<_resource: string>, isShownBy: struct<_resource: string>, isShownAt: struct<_resource: string>>, "
+    f"ProvidedCHO: struct<_about: string, title: {_TEXTS}, description: {_TEXTS}, creator: array<struct<_resource: string, _VALUE: string>>>, "
+    f"Agent: {_LABELLED}, Concept: {_LABELLED}, Place: {_LABELLED}, TimeSpan: {_LABELLED}>>"
+)
 
 
 def harvested_xml(df: DataFrame, rights: Mapping[str, str], languages: Sequence[str], column: str = "value") -> DataFrame:
-    """Harvested XML records (Arrow batches): deleted ones are skipped; texts in the preferred language, then without one; creators by the labels of the concepts they refer to."""
-    about, resource, lang = (f"{{{NAMESPACES['rdf']}}}about", f"{{{NAMESPACES['rdf']}}}resource", "{http://www.w3.org/XML/1998/namespace}lang")
-
-    def texts(elements) -> dict[str, str]:
-        found: dict[str, list[str]] = {}
-        for e in elements:
-            text = " ".join((e.text or "").split())
-            if text:
-                found.setdefault(e.get(lang) or "def", []).append(text)
-        return {k: " ".join(dict.fromkeys(v)) for k, v in found.items()}
-
-    def preferred(by: dict[str, str]) -> tuple[str | None, str | None]:
-        return next(((by[x], x) for x in [*languages, "def"] if by.get(x)), (None, None))
-
-    def flatten(xml: str) -> tuple | None:
-        try:
-            record = ET.fromstring(xml)
-        except ET.ParseError:
-            return None
-        header, rdf = record.find("oai:header", NAMESPACES), record.find("oai:metadata/rdf:RDF", NAMESPACES)
-        if header is None or header.get("status") == "deleted" or rdf is None:
-            return None
-        group, cho = rdf.find("ore:Aggregation", NAMESPACES), rdf.find("edm:ProvidedCHO", NAMESPACES)
-        if group is None or cho is None:
-            return None
-        ref = lambda p: (e.get(resource) if (e := group.find(p, NAMESPACES)) is not None else None)
-        right, shown = ref("edm:rights"), ref("edm:isShownBy")
-        if right not in rights or shown is None:
-            return None
-        labels = {e.get(about): texts(e.findall("skos:prefLabel", NAMESPACES)) for e in rdf if e.get(about) is not None}
-        names = [preferred(labels.get(e.get(resource) or "", {}))[0] for e in cho.findall("dc:creator", NAMESPACES)]
-        title, description = preferred(texts(cho.findall("dc:title", NAMESPACES))), preferred(texts(cho.findall("dc:description", NAMESPACES)))
-        key = cho.get(about) or header.findtext("oai:identifier", namespaces=NAMESPACES)
-        return key, rights[right], right, "; ".join(dict.fromkeys(n for n in names if n)) or None, ref("edm:isShownAt"), title[0], description[0], shown, None, None, description[1] or title[1]
-
-    names = ["id", "license", "license_raw", "creator", "source_url", "title", "description", "image_url", "width", "height", "text_language"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([r for x in batch[column] if x is not None and (r := flatten(x))], columns=names).astype({"width": "Int32", "height": "Int32"})
-
-    schema = ", ".join(f"{n} {'int' if n in ('width', 'height') else 'string'}" for n in names)
-    return df.select(column).mapInPandas(run, schema)
+    """Harvested XML records, read by Spark's own XML parser: deleted ones, broken ones and those without listed rights or a file are skipped; texts in the preferred language, then without one; creators by the labels of the concepts they refer to, once each in their order."""
+    read = df.where(col(column).isNotNull()).select(F.from_xml(col(column), HARVESTED, {"ignoreNamespace": "true", "rowTag": "record", "mode": "PERMISSIVE"}).alias("r"))
+    whole = read.where(F.coalesce(F.col("r.header._status") != "deleted", F.lit(True))).select("r.header.identifier", F.col("r.metadata.RDF").alias("x"))
+    flat = whole.where("x.Aggregation is not null and x.ProvidedCHO is not null")
+    text = lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))
+
+    def preferred(values: Column) -> Column:
+        """(language, text) of the first language that has a text: all of its texts, once each."""
+        own = lambda name: F.array_distinct(F.filter(F.transform(F.filter(values, lambda t: F.coalesce(t["_lang"], F.lit("def")) == name), lambda t: text(t["_VALUE"])), lambda t: t != ""))
+        return F.coalesce(*[F.when(F.size(own(name)) > 0, F.struct(F.lit(name).alias("lang"), F.array_join(own(name), " ").alias("text"))) for name in [*languages, "def"]])
+
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("_about", T.StringType()), T.StructField("label", T.StringType())])))
+    labelled = [F.coalesce(F.transform(F.col(f"x.{kind}"), lambda e: F.struct(e["_about"], preferred(e["prefLabel"])["text"].alias("label"))), empty) for kind in ("Agent", "Concept", "Place", "TimeSpan")]
+    flat = flat.withColumn("labels", F.concat(*labelled))
+    named = F.transform(F.col("x.ProvidedCHO.creator"), lambda c: F.get(F.filter(F.col("labels"), lambda e: e["_about"] == c["_resource"]), 0)["label"])
+    right, shown = F.col("x.Aggregation.rights._resource"), F.col("x.Aggregation.isShownBy._resource")
+    licence = F.coalesce(*[F.when(right == r, licence) for r, licence in rights.items()], F.lit(None).cast("string"))
+    title, description = preferred(F.col("x.ProvidedCHO.title")), preferred(F.col("x.ProvidedCHO.description"))
+    return flat.where(licence.isNotNull() & shown.isNotNull()).select(
+        F.coalesce("x.ProvidedCHO._about", "identifier").alias("id"), licence.alias("license"), right.alias("license_raw"),
+        F.nullif(F.array_join(F.array_distinct(F.array_compact(F.coalesce(named, F.array().cast("array<string>")))), "; "), F.lit("")).alias("creator"),
+        F.col("x.Aggregation.isShownAt._resource").alias("source_url"), title["text"].alias("title"), description["text"].alias("description"), shown.alias("image_url"),
+        F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.coalesce(description["lang"], title["lang"]).alias("text_language"),
+    )
+
+
+def harvest_page(xml: str) -> tuple[list[str], str | None]:
+    """(records as XML, resumption token or None) of a page of a harvest, for `sources.paged`. An error that says that nothing matches is an empty page; another one is raised by its code."""
+    page = ET.fromstring(xml)
+    local = lambda e: e.tag.rpartition("}")[2]
+    for e in page.iter():
+        if local(e) == "error" and e.get("code") != "noRecordsMatch":
+            raise ValueError(f"the harvest failed: {e.get('code')}")
+    token = next((e.text for e in page.iter() if local(e) == "resumptionToken" and (e.text or "").strip()), None)
+    return [ET.tostring(e, encoding="unicode") for e in page.iter() if local(e) == "record"], token
 
 
 def ingest(frames: Sequence[DataFrame], fraction: float | None = None, dedupe: bool = True) -> DataFrame:

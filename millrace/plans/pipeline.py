@@ -53,7 +53,7 @@ def build(step: Mapping[str, Any]) -> Callable[[DataFrame], DataFrame]:
 
 
 class Pipeline:
-    """A resolved configuration: `source` (format, files, split), `pipeline` (steps by name), `output` (path, fractions, rows_per_shard), `ancestry`."""
+    """A resolved configuration: `source` (format, files, split), `pipeline` (steps by name), `output` (path, fractions, order_by, target_mb, add), `ancestry`."""
 
     def __init__(self, *layers, sets=()):
         self.config = load(layers, sets)
@@ -84,7 +84,7 @@ class Pipeline:
             df = cut(self.apply(self.source(spark), observe=True))
             if out.get("fractions"):
                 df = Wn.split_fractions(df.drop("split"), out["fractions"], out["order_by"])
-            sinks.write_splits(df, out["path"], rows_per_shard=out.get("rows_per_shard", 1_000_000), order_by=out.get("order_by", ()), clean=clean)
+            sinks.write_splits(df, out["path"], target_mb=out.get("target_mb", 500), order_by=out.get("order_by", ()), clean=clean, add=out.get("add", False))
         ancestry = self.config.get("ancestry", {})
         record = sinks.provenance_record(self.config, ancestry.get("datasets", ()), ancestry.get("models", ()))
         if not provenance_only:

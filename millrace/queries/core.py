@@ -241,11 +241,8 @@ def not_exists_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query("select distinct s.speaker_id, b.name from segments s join bench b on s.speaker_id like '% ' || split_part(b.name, ' ', -1)")
 def theta_join(spark: SparkSession, d: str) -> DataFrame:
     """Speakers who share the last word of a listed name; both sides reduced first, the list is small and its size checked."""
-    names = J.bounded_rows(read_table(spark, d, "bench").select("name"), 10_000, "bench")
-    bench = spark.createDataFrame(names, "name string")
     speakers = read_table(spark, d, "segments").select("speaker_id").distinct()
-    last = F.element_at(F.split("name", " "), -1)
-    return speakers.withColumn("last", F.element_at(F.split("speaker_id", " "), -1)).join(F.broadcast(bench.withColumn("surname", last)), F.col("last") == F.col("surname")).where(F.contains("speaker_id", F.lit(" "))).select("speaker_id", "name").distinct()
+    return J.join_last_word(speakers, read_table(spark, d, "bench").select("name"), "speaker_id", "name").select("speaker_id", "name").distinct()
 
 
 @query("select distinct s.speaker_id, s.docket, s.date_argued from segments s join bench b on s.speaker_id = 'highcourt:' || b.name where s.date_argued < b.start_date or s.date_argued > coalesce(b.end_date, date '9999-12-31')")

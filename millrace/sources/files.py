@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
+import re
 import tarfile
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +35,17 @@ def scan(spark: SparkSession, fmt: str, files: Mapping[str, str | Sequence[str]]
 
 def scan_splits(spark: SparkSession, root: str, split: str) -> DataFrame:
     """Parquet under root/<name> for each name of `a+b`; a name without files is an error."""
-    frames = []
-    for name in split.split("+"):
-        frame = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        frames.append(frame)
-    return concatenate(frames)
+    return concatenate([spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in split.split("+")])
+
+
+def load_indexed(spark: SparkSession, index_path: str, split: str, source_path: str | None = None, wanted: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(index, source) for `join_index`. The source is None without a path, and where the index has all wanted columns; else it is read with the wanted columns, row and id alone."""
+    index = scan_splits(spark, index_path, split)
+    if source_path is None or (wanted is not None and set(wanted) <= set(index.columns)):
+        return index, None
+    source = spark.read.parquet(source_path)
+    keep = source.columns if wanted is None else [c for c in source.columns if c in {*wanted, "row", "id"}]
+    return index, source.select(*[col(c) for c in keep])
 
 
 def scan_text_table(spark: SparkSession, path: str | Sequence[str], sep: str = "\t") -> DataFrame:
@@ -67,29 +74,58 @@ def json_lines(spark: SparkSession, path: str, schema: str, contains: Sequence[s
     return lines.where(F.startswith(text, F.lit("{"))).select(F.from_json(text, schema).alias("r")).select("r.*")
 
 
-def tar_members(spark: SparkSession, path: str, prefix: str = "", suffix: str = ".json") -> DataFrame:
-    """(archive, member, value): text of the members of tar archives, compressed or not; an archive is one task, members stream out one by one."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def files_under(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length) of the files under a folder or matching a pattern; a listing, no content is read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return reader.load(path).select("path", "length")
+
+
+def tar_members(spark: SparkSession, path: str, prefix: str = "", suffix: str = ".json", batch_bytes: int = 32 << 20) -> DataFrame:
+    """(archive, member, value): text of the members of tar archives, compressed or not.
+
+    An archive is one task, which reads it as a stream: no archive is ever held as a whole, members come in batches of about
+    `batch_bytes`. Paths are opened by pyarrow's file systems (local, HDFS, object stores).
+    """
+    archives = files_under(spark, path).select("path")
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("value", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in (n for b in batches for n in b.column("path").to_pylist()):
+            system, inner = pa.fs.FileSystem.from_uri(name)
+            members, values, held = [], [], 0
+            with system.open_input_stream(inner, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
+                for member in archive:
+                    if member.isfile() and member.name.startswith(prefix) and member.name.endswith(suffix):
+                        members.append(member.name)
+                        values.append(archive.extractfile(member).read().decode("utf-8", "replace"))
+                        held += member.size
+                    if held >= batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(members)), pa.array(members), pa.array(values)], schema=schema)
+                        members, values, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(members), pa.string()), pa.array(members, pa.string()), pa.array(values, pa.string())], schema=schema)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in batch.itertuples(index=False):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile() and member.name.startswith(prefix) and member.name.endswith(suffix):
-                            handle = archive.extractfile(member)
-                            if handle is not None:
-                                yield pd.DataFrame({"archive": [name], "member": [member.name], "value": [handle.read().decode("utf-8", "replace")]})
+    parts = max(1, archives.count())
+    return archives.repartition(parts, "path").mapInArrow(read, "archive string, member string, value string")
 
-    return files.mapInPandas(read, "archive string, member string, value string")
 
+def media_key(path: Column, root: str = "") -> Column:
+    """A path as media are joined by: below `root`, without scheme, doubled slashes and `./`."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:(?=/)", ""), "/(?:\\./)+|/{2,}", "/")
+    top = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(?=/)", "", root)
+    top = re.sub("/{2,}", "/", top).rstrip("/")
+    below = F.when(bare.startswith(top + "/"), F.substring(bare, len(top) + 2, 1 << 30)).otherwise(bare) if top else bare
+    return F.regexp_replace(below, r"^(?:\./)+|^/+", "")
 
-def with_media(df: DataFrame, media: DataFrame, path_column: str, out: str = "audio", base: str = "") -> DataFrame:
-    """Embeds media bytes by path: `media` is a binaryFile scan; a row without its file has null bytes."""
-    m = media.select(F.col("path").alias("__p"), F.col("content").alias("__c"))
-    full = F.concat(F.lit(base), col(path_column))
-    joined = df.join(m, F.endswith(F.col("__p"), full), "left") if not base else df.join(m, F.regexp_replace("__p", "^file:/+", "/") == full, "left")
-    return joined.withColumn(out, F.struct(F.col("__c").alias("bytes"), col(path_column).alias("path"))).drop("__p", "__c")
+
+def with_media(df: DataFrame, media: DataFrame, path_column: str, out: str = "audio", root: str = "") -> DataFrame:
+    """Embeds media bytes: `media` (path, content) is a binaryFile scan, paths of `df` are full or below `root`. A row without its file has null bytes, a null path too.
+
+    An equi join on the path below the root; both sides are shuffled, as bytes are too large to be broadcast, and rows that
+    share a file each get it.
+    """
+    m = media.select(media_key(F.col("path"), root).alias("__p"), F.col("content").alias("__c")).hint("merge")
+    joined = df.withColumn("__k", media_key(col(path_column), root)).join(m, F.col("__k") == F.col("__p"), "left")
+    return joined.withColumn(out, F.struct(F.col("__c").alias("bytes"), col(path_column).alias("path"))).drop("__p", "__c", "__k")
 
 
 def with_durations(df: DataFrame, durations: DataFrame, key: str, name: str, millis: str, fallback: Column, out: str = "duration_s") -> DataFrame:
@@ -121,6 +157,25 @@ def manifest_rows(pages: DataFrame, html: str, pattern: str, fields: Sequence[st
     return out.withColumn(date, F.to_date(date, "MM/dd/yy")) if date else out
 
 
+def linked_manifest(pages: DataFrame, url: str, html: str, item: str, link: int, fields: Sequence[str], details: DataFrame, detail: str) -> DataFrame:
+    """Manifests over two levels: items of list pages by a pattern (its groups are `fields`, group `link` is an address relative to the page), each with the name-value pairs that a second pattern finds on the page it links to.
+
+    The pairs' names become columns in the order in which they are first seen (by page address, then place); at most 1,000 names. Items
+    without a page have nulls. `details` has the columns url and html.
+    """
+    from millrace.functions.text import clean_text
+    from millrace.session import bounded_rows
+
+    hits = pages.select(col(url).alias("page"), F.posexplode(F.regexp_extract_all(col(html), F.lit(item), 0)).alias("pos", "__m"))
+    items = hits.select("page", "pos", *[clean_text(F.regexp_extract("__m", item, i + 1)).alias(f) for i, f in enumerate(fields)], F.regexp_extract("__m", item, link).alias("__l"))
+    absolute = F.when(F.col("__l").rlike("^[a-zA-Z]+://"), F.col("__l")).when(F.col("__l").startswith("/"), F.concat(F.regexp_extract("page", "^[a-zA-Z]+://[^/]+", 0), "__l")).otherwise(F.concat(F.regexp_replace("page", "[^/]*$", ""), "__l"))
+    pairs = details.select(F.col("url").alias("link"), F.posexplode(F.regexp_extract_all("html", F.lit(detail), 0)).alias("__pos", "__m"))
+    pairs = pairs.select("link", "__pos", clean_text(F.regexp_extract("__m", detail, 1)).alias("name"), clean_text(F.regexp_extract("__m", detail, 2)).alias("value")).where("name is not null")
+    names = bounded_rows(pairs.groupBy("name").agg(F.min(F.struct("link", "__pos")).alias("first")).orderBy("first", "name").select("name"), 1000, "the list of names")
+    wide = pairs.groupBy("link").agg(*[F.min_by(F.when(F.col("name") == r["name"], F.col("value")), F.when(F.col("name") == r["name"], F.col("__pos"))).alias(r["name"]) for r in names]) if names else pairs.select("link").distinct()
+    return items.withColumn("link", absolute).drop("__l").join(wide, "link", "left")
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stream of Parquet files: those of a folder, or one file."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

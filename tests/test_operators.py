@@ -11,6 +11,7 @@ from millrace.operators import joins as J
 from millrace.operators import lineage as L
 from millrace.operators import records as R
 from millrace.operators import sampling as S
+from millrace.operators import sets as U
 from millrace.operators import speech as Sp
 from millrace.operators import windows as Wn
 
@@ -121,8 +122,8 @@ def test_lookup_join(spark):
     right = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "c", 0), (None, "n", 0)], "k int, caption string, license int")
     got = {(r["k"], r["license"], r["caption"]) for r in J.join_lookup(left, right, "k", ["caption", "license"]).collect()}
     assert got == {(3, 9, "c"), (1, 9, "a"), (99, 9, None), (None, 9, "n")}
-    with pytest.raises(ValueError, match="unique"):
-        J.join_lookup(left, right.union(right), "k", ["caption"])
+    with pytest.raises(Exception, match="unique"):
+        J.join_lookup(left, right.union(right), "k", ["caption"]).collect()
 
 
 def test_index_join(spark):
@@ -365,6 +366,59 @@ def test_record_formats(spark):
         R.require_canonical(["x"], {"y": "CC0"})
 
 
+RECORD = """<record xmlns="http://www.openarchives.org/OAI/2.0/"><header{status}><identifier>oai:{id}</identifier></header><metadata>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ore="http://www.openarchives.org/ore/terms/" xmlns:edm="http://www.europeana.eu/schemas/edm/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:skos="http://www.w3.org/2004/02/skos/core#">
+<edm:ProvidedCHO rdf:about="{id}"><dc:title xml:lang="nl">Titel</dc:title><dc:title xml:lang="en">A  title</dc:title><dc:description>Plain &amp; short</dc:description><dc:creator rdf:resource="a1"/><dc:creator rdf:resource="a1"/><dc:creator rdf:resource="none"/></edm:ProvidedCHO>
+<ore:Aggregation><edm:rights rdf:resource="{right}"/><edm:isShownBy rdf:resource="https://i/{id}.jpg"/><edm:isShownAt rdf:resource="https://s/{id}"/></ore:Aggregation>
+<edm:Agent rdf:about="a1"><skos:prefLabel xml:lang="nl">Jan</skos:prefLabel><skos:prefLabel xml:lang="en">John</skos:prefLabel></edm:Agent></rdf:RDF></metadata></record>"""
+
+
+def test_harvested_xml(spark):
+    rows_in = [(RECORD.format(id="x1", right="pd", status=""),), (RECORD.format(id="x2", right="pd", status=' status="deleted"'),), (RECORD.format(id="x3", right="other", status=""),), ("<record><broken",), (None,), ("<record><header/></record>",)]
+    df = R.harvested_xml(spark.createDataFrame(rows_in, "value string"), {"pd": "PD"}, ["en", "nl"])
+    got = df.collect()
+    assert [(r["id"], r["license"], r["creator"], r["title"], r["description"], r["image_url"], r["source_url"], r["text_language"]) for r in got] == [("x1", "PD", "John", "A title", "Plain & short", "https://i/x1.jpg", "https://s/x1", "def")]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    page = f'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords>{RECORD.format(id="y", right="pd", status="")}<resumptionToken> t2 </resumptionToken></ListRecords></OAI-PMH>'
+    records, token = R.harvest_page(page)
+    assert token.strip() == "t2" and R.harvested_xml(spark.createDataFrame([(records[0],)], "value string"), {"pd": "PD"}, ["nl"]).first()["creator"] == "Jan"
+    assert R.harvest_page("<a><ListRecords/><resumptionToken/></a>") == ([], None)
+    with pytest.raises(ValueError):
+        R.harvest_page('<a><error code="badArgument"/></a>')
+
+
+def test_zipped_columns_and_offsets(spark):
+    a, b = spark.createDataFrame([(2, "b"), (1, "a")], "k int, x string"), spark.createDataFrame([(9, "z"), (8, "y")], "o int, w string")
+    assert rows(U.zip_columns(a, b, ["k"], ["o"])) == [(1, "a", 8, "y"), (2, "b", 9, "z")]
+    with pytest.raises(Exception, match="differ in length"):
+        U.zip_columns(a, b.limit(1), ["k"], ["o"]).collect()
+    with pytest.raises(ValueError):
+        U.zip_columns(a, a, ["k"], ["k"])
+    got = U.mixture_rows({"s": a, "t": b.select(F.col("o").alias("k"), F.col("w").alias("x"))}, {"s": ["k"], "t": ["k"]})
+    assert rows(got.select("row", "source_name", "k")) == [(0, "s", 1), (1, "s", 2), (2, "t", 8), (3, "t", 9)]
+
+
+def test_last_word_join(spark):
+    speakers = spark.createDataFrame([("court JUSTICE ROE",), ("ROE",), ("a b",), (None,), ("x ROE ",)], "speaker string")
+    names = spark.createDataFrame([("Ann ROE", 1), ("ROE", 2), (None, 3), ("b", 4)], "name string, n int")
+    assert rows(J.join_last_word(speakers, names, "speaker", "name").select("speaker", "n")) == [("court JUSTICE ROE", 1), ("court JUSTICE ROE", 2), ("a b", 4)]
+
+
+def test_media_kernels(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([([0.0, 0.0, 0.0, 4.0],), ([1.0, 1.0],), ([],), (None,)], "r array<double>")
+    got = [r[0] for r in df.select(media.pulse_sharpness(F.col("r"))).collect()]
+    assert got[0] == pytest.approx(7 / 3) and got[1:] == [None, None, None]
+    t = np.arange(2048) / 8000
+    voiced = sum(np.sin(2 * np.pi * 120 * k * t) / k for k in range(1, 20))
+    high, noise, short = media.cepstral_peak(pd.Series([voiced, np.random.default_rng(0).normal(size=2048), [0.0] * 9]), 8000, 60, 400)
+    assert high > noise and (short is None or short != short)
+    assert media.padded(pd.Series([[[1, 2, 3], [4, 5, 6]]]), 3, 2).iloc[0] == [[1, 2], [4, 5], [0, 0]]
+    pdf = spark.createDataFrame([(bytearray(b"%PDF a"),), (bytearray(b"bad"),), (None,)], "b binary").select(media.pdf_texts(lambda d: d.decode().split("%PDF ")[1])(F.col("b")))
+    assert [r[0] for r in pdf.collect()] == ["a", None, None]
+
+
 def test_ingest_dedupes_over_units(spark):
     schema = "id string, license_raw string, source_url string, image_url string, title string"
     a = spark.createDataFrame([("x1", "r", "s", "i", "a"), ("x3", "r", "s", "i", "a")], schema)

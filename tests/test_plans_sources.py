@@ -85,6 +85,137 @@ def test_tar_members(spark, tmp_path):
     assert [r["value"] for r in files.tar_members(spark, f"{tmp_path}/x.tar.bz2", "j/").collect()] == ["j/a.json"]
 
 
+def test_tar_batches_are_bounded(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "many.tar.gz", "w:gz") as t:
+        for i in range(50):
+            info = tarfile.TarInfo(f"{i:03d}.json")
+            info.size = 100
+            t.addfile(info, io.BytesIO(b"x" * 100))
+    got = files.tar_members(spark, f"{tmp_path}/many.tar.gz", batch_bytes=300)
+    assert got.count() == 50 and got.select("member").distinct().count() == 50
+
+
+def test_media_by_path(spark, tmp_path):
+    (tmp_path / "m" / "a").mkdir(parents=True)
+    (tmp_path / "m" / "a" / "1.wav").write_bytes(b"one")
+    (tmp_path / "m" / "1.wav").write_bytes(b"other")
+    media = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/m")
+    df = spark.createDataFrame([(1, "a/1.wav"), (2, "./a//1.wav"), (3, f"file://{tmp_path}/m/1.wav"), (4, "none.wav"), (5, None)], "k int, path string")
+    out = files.with_media(df, media, "path", root=f"{tmp_path}/m")
+    assert {r["k"]: r["audio"]["bytes"] and bytes(r["audio"]["bytes"]) for r in out.collect()} == {1: b"one", 2: b"one", 3: b"other", 4: None, 5: None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_index_and_source(spark, tmp_path):
+    spark.createDataFrame([(0, "a", 1.0)], "row long, id string, x double").write.parquet(f"{tmp_path}/i/train")
+    spark.createDataFrame([(0, "a", "t", b"b")], "row long, id string, text string, audio binary").write.parquet(f"{tmp_path}/s")
+    index, source = files.load_indexed(spark, f"{tmp_path}/i", "train", f"{tmp_path}/s", ["text"])
+    assert source.columns == ["row", "id", "text"] and index.count() == 1
+    assert files.load_indexed(spark, f"{tmp_path}/i", "train", f"{tmp_path}/s", ["x", "id"])[1] is None and files.load_indexed(spark, f"{tmp_path}/i", "train")[1] is None
+
+
+def test_manifest_over_two_levels(spark):
+    pages = spark.createDataFrame([("https://h/t/2020.html", '<a href="c/1">A &amp; B</a><a href="/x/2">C</a><a href="c/9">D</a>')], "url string, html string")
+    details = spark.createDataFrame([("https://h/t/c/1", "<b>Docket</b><i>1-2</i><b>Date</b><i>x</i>"), ("https://h/x/2", "<b>Judge</b><i>J</i><b>Docket</b><i>7</i>"), ("https://h/z", None)], "url string, html string")
+    got = files.linked_manifest(pages, "url", "html", r'<a href="([^"]+)">([^<]+)</a>', 1, ["href", "name"], details, r"<b>([^<]+)</b><i>([^<]+)</i>")
+    assert got.columns == ["link", "page", "pos", "href", "name", "Docket", "Date", "Judge"]
+    assert sorted(tuple(r)[4:] for r in got.collect()) == [("A & B", "1-2", "x", None), ("C", "7", None, "J"), ("D", None, None, None)]
+
+
+def test_downloads(tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from millrace.sources import downloads
+
+    content, calls = b"0123456789" * 10, []
+
+    def opener(url, offset):
+        calls.append((url, offset))
+        if url == "down":
+            raise OSError("https://secret")
+        if url == "cut" and offset == 0:
+            return io.BytesIO(content[:30]), True, len(content)
+        return io.BytesIO(content[offset:]), True, len(content)
+
+    assert downloads.download("cut", tmp_path / "a", pause=0, opener=opener).read_bytes() == content and calls == [("cut", 0), ("cut", 30)]
+    assert downloads.download("down", tmp_path / "a", opener=opener).read_bytes() == content and len(calls) == 2
+    assert downloads.download(["down", "ok"], tmp_path / "b", attempts=2, pause=0, opener=opener).exists()
+    with pytest.raises(RuntimeError) as e:
+        downloads.download("down", tmp_path / "c", attempts=1, pause=0, opener=opener)
+    assert "secret" not in str(e.value)
+    with pytest.raises(RuntimeError):
+        downloads.download("ok", tmp_path / "d", attempts=1, pause=0, contains=b"absent", opener=opener)
+    assert [p.name for p in downloads.download_all({"x": "ok", "y": "ok"}, tmp_path / "f", opener=opener)] == ["x", "y"]
+    assert downloads.spellings("22-orig", ["h/{}"]) == ["h/22-orig", "h/22-ORIG", "h/22Orig"]
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("k/m.txt", "hi")
+    assert (downloads.extract(tmp_path / "z.zip", tmp_path / "out") / "k" / "m.txt").read_text() == "hi"
+    (tmp_path / "out" / "k" / "m.txt").unlink()
+    assert not (downloads.extract(tmp_path / "z.zip", tmp_path / "out") / "k" / "m.txt").exists()
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../evil", "x")
+    with pytest.raises(ValueError):
+        downloads.extract(tmp_path / "bad.zip", tmp_path / "out2")
+    with tarfile.open(tmp_path / "t.tar.xz", "w:xz") as t:
+        info = tarfile.TarInfo("n.txt")
+        info.size = 2
+        t.addfile(info, io.BytesIO(b"ok"))
+    assert (downloads.extract(tmp_path / "t.tar.xz", tmp_path / "out3") / "n.txt").read_text() == "ok"
+    import gzip
+
+    (tmp_path / "g.txt.gz").write_bytes(gzip.compress(b"gz"))
+    assert (downloads.extract(tmp_path / "g.txt.gz", tmp_path / "out4") / "g.txt").read_bytes() == b"gz"
+    with pytest.raises(ValueError):
+        downloads.extract(tmp_path / "a", tmp_path / "out5")
+    assert downloads.open_url((tmp_path / "a").as_uri(), 0)[0].read() == content
+
+
+def test_units_are_resumed_and_splits_cached(spark, tmp_path):
+    made = []
+
+    def read(unit):
+        made.append(unit)
+        if unit == "u3" and made.count("u3") == 1:
+            raise OSError("stop")
+        return spark.range(2).withColumn("u", F.lit(unit))
+
+    with pytest.raises(OSError):
+        sinks.ingest_units(spark, ["u1", "u2", "u3"], read, f"{tmp_path}/units")
+    assert sinks.ingest_units(spark, ["u1", "u2", "u3", "u3"], read, f"{tmp_path}/units") == ["u3"] and made == ["u1", "u2", "u3", "u3"]
+    assert spark.read.parquet(f"{tmp_path}/units").count() == 6
+    with pytest.raises(ValueError):
+        sinks.write_unit(spark.range(1), f"{tmp_path}/units", "u1")
+    with pytest.raises(ValueError):
+        sinks.write_unit(spark.range(1), f"{tmp_path}/units", "a/b")
+    built = []
+    build = {"train": lambda: built.append("train") or spark.range(3), "test": lambda: built.append("test") or spark.range(1)}
+    assert sinks.cached(spark, f"{tmp_path}/cache", build).groupBy("split").count().count() == 2
+    (tmp_path / "cache" / "split=test" / "_SUCCESS").unlink()
+    assert sinks.cached(spark, f"{tmp_path}/cache", build).count() == 4 and built == ["train", "test", "test"]
+
+
+def test_shards_by_bytes_and_added_splits(spark, tmp_path):
+    df = spark.range(3000).select("id", F.repeat(F.md5(F.col("id").cast("string")), 40).alias("t"), F.when(F.col("id") < 2500, "train").otherwise("test").alias("split"))
+    assert sinks.shard_plan(df, target_mb=1) == {"train": 3, "test": 1}
+    for order in ((), ("id",)):
+        out = f"{tmp_path}/o{len(order)}"
+        sinks.write_splits(df, out, target_mb=1, order_by=order)
+        assert spark.read.parquet(out).count() == 3000
+        assert 2 <= len(list((tmp_path / f"o{len(order)}" / "split=train").glob("*.parquet"))) <= 4
+    with pytest.raises(ValueError, match="written twice"):
+        sinks.write_splits(df, f"{tmp_path}/o0", add=True)
+    sinks.write_splits(df.withColumn("split", F.lit("validation")), f"{tmp_path}/o0", add=True)
+    assert spark.read.parquet(f"{tmp_path}/o0").count() == 6000
+    record = sinks.provenance_record({})
+    assert record["cli"] and (record["git_commit"] is None or len(record["git_commit"]) == 40)
+
+
 def test_manifest(spark):
     pages = spark.createDataFrame([('<a href="/c/1">A &amp; B</a> 10/05/21 <a href="/c/2">C</a> 01/02/99',), (None,)], "html string")
     got = files.manifest_rows(pages, "html", r'<a href="([^"]+)">([^<]+)</a> (\d\d/\d\d/\d\d)', ["url", "name", "day"], "day")
