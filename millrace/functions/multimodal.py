@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,3 +72,52 @@ def training_rows(df: DataFrame, text_ids: str, positions: str, synthesis: str,
     of_text = F.array_repeat(~(media & made), size)
     of_media = F.concat(F.array(made), F.array_repeat(made, n), F.array(closing))
     return df.withColumns({"input_ids": ids, "modality_ids": kinds, "loss_mask": row(of_text, of_media, F.lit(True), "boolean")})
+
+
+@dataclass(frozen=True)
+class Medium:
+    """A placeholder id in a text, what stands for it (begin, slot, end) and its modality's number."""
+
+    placeholder: int
+    begin: int
+    slot: int
+    end: int
+    modality: int
+
+
+def expand_placeholders(df: DataFrame, ids: str, media: Mapping[str, Medium], row_end: int, made: Sequence[str] = (), text_modality: int = 0) -> DataFrame:
+    """Adds input_ids, modality_ids, loss_mask and n_positions: every placeholder in the ids becomes begin, its slots and end.
+
+    `media` maps a column with the slots of each of a kind's placeholders (array of int, in their order) to the kind; any number of
+    kinds and placeholders may stand anywhere in the text. Loss counts for the media of the kinds in `made`, or if there are none
+    for the text, and for the row's end. A placeholder without an entry in its column fails the query; entries that no
+    placeholder uses are an error too. Null ids count as empty. All arrays are built on the JVM.
+    """
+    text = F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>"))
+    of_text = not made
+    parts = lambda id_, kind, loss: F.struct(id_.alias("id"), F.lit(kind).alias("kind"), F.lit(loss).alias("loss"))
+
+    def nth(i: Column, placeholder: int) -> Column:
+        """How many placeholders of the kind stand before place i."""
+        return F.size(F.filter(F.slice(text, F.lit(1), i), lambda x: x == placeholder))
+
+    def expand(x: Column, i: Column) -> Column:
+        out = F.array(parts(x, text_modality, of_text))
+        for column, m in media.items():
+            slots = F.get(F.col(column), nth(i, m.placeholder))
+            slots = F.when(slots.isNull(), F.raise_error(F.lit(f"a placeholder without an entry in {column}")).cast("int")).otherwise(slots)
+            loss = column in made
+            whole = F.concat(F.array(parts(F.lit(m.begin), text_modality, loss)), F.array_repeat(parts(F.lit(m.slot), m.modality, loss), slots), F.array(parts(F.lit(m.end), m.modality, loss)))
+            out = F.when(x == m.placeholder, whole).otherwise(out)
+        return out
+
+    spread = F.concat(F.flatten(F.transform(text, expand)), F.array(parts(F.lit(row_end), text_modality, True)))
+    checked = spread
+    for column, m in media.items():
+        left_over = F.coalesce(F.size(F.col(column)), F.lit(0)) > nth(F.size(text), m.placeholder)
+        checked = F.when(left_over, F.raise_error(F.lit(f"entries of {column} without a placeholder")).cast(_PARTS)).otherwise(checked)
+    out = df.withColumn("__x", checked)
+    return out.withColumns({"input_ids": F.col("__x.id"), "modality_ids": F.col("__x.kind"), "loss_mask": F.col("__x.loss"), "n_positions": F.size("__x")}).drop("__x")
+
+
+_PARTS = "array<struct<id:int,kind:int,loss:boolean>>"

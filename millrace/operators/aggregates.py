@@ -53,6 +53,11 @@ def dense_ids(df: DataFrame, source_order: str, value: str, namespace: Column |
     return assign_row_index(first, ["__order", "__text", "key"], out=out).select("key", out)
 
 
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct combinations of columns; null is a value."""
+    return df.select(*[col(c) for c in columns]).distinct()
+
+
 def is_dense(ids: DataFrame, column: str = "id") -> Column | bool:
     """Whether the ids are 0..n-1, each once."""
     r = ids.agg(F.count("*").alias("n"), F.countDistinct(col(column)).alias("d"), F.min(col(column)).alias("lo"), F.max(col(column)).alias("hi")).first()

@@ -117,6 +117,13 @@ def override_values(df: DataFrame, rules: Sequence[tuple[str, Any, str, Any]]) -
     return df
 
 
+def add_constants(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:
+    """Columns of one value each; an existing column of the name is an error."""
+    if both := [c for c in values if c in df.columns]:
+        raise ValueError(f"columns exist: {both}")
+    return df.withColumns({c: F.lit(v) for c, v in values.items()})
+
+
 def composite_id(df: DataFrame, columns: Sequence[str], out: str = "id", delimiter: str = ":") -> DataFrame:
     """The texts of several columns joined; a null is the text `None`."""
     return df.withColumn(out, F.concat_ws(delimiter, *[F.coalesce(col(c).cast("string"), F.lit("None")) for c in columns]))
@@ -141,6 +148,14 @@ def select_caption(df: DataFrame, columns: Sequence[str], out: str = "caption",
     return df.withColumns({out: chosen, source_out: source})
 
 
+def select_task_columns(df: DataFrame, needed: dict[str, Sequence[str]], task: Sequence[str], always: Sequence[str] = ("row", "id")) -> DataFrame:
+    """The columns that the fields of a task need (by `needed`), and those always kept, as far as the table has them; an unknown field is an error. Catalyst then reads no others."""
+    if unknown := [f for f in task if f not in needed]:
+        raise ValueError(f"no rule for fields {unknown}")
+    wanted = dict.fromkeys([*always, *(c for f in task for c in needed[f])])
+    return df.select(*[col(c) for c in wanted if c in df.columns])
+
+
 def check_same_features(frames: Mapping[str, DataFrame]) -> None:
     """All splits must have the same columns and types, in order."""
     kinds = {name: [(f.name, f.dataType) for f in df.schema.fields] for name, df in frames.items()}

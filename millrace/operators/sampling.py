@@ -12,10 +12,12 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.columns import assign_row_index, col
 from millrace.operators.filters import blake_bucket
+from millrace.session import cut
 
 
 def seeded(seed: int, *keys: Column | int | str) -> Column:
@@ -64,6 +66,29 @@ def cropped_seconds(duration: Column, crop: float, most: int) -> Column:
     return F.when(duration >= crop, crops * crop).otherwise(duration)
 
 
+def crop_probabilities(df: DataFrame, duration: str, crop: float, most: int, out: str = "probability") -> DataFrame:
+    """How likely a draw takes each clip: its cropped seconds by those of all; clips without a length above 0 have 0."""
+    seconds = F.when(col(duration) > 0, cropped_seconds(col(duration), crop, most)).otherwise(0.0)
+    total = df.agg(F.sum(seconds).alias("__total"))
+    return df.crossJoin(F.broadcast(total)).withColumn(out, F.coalesce(F.try_divide(seconds, F.col("__total")), F.lit(0.0))).drop("__total")
+
+
+def crop_draws(df: DataFrame, key: str, duration: str, crop: float, most: int, n: int, seed: int = 0) -> DataFrame:
+    """(draw, key): n seeded draws with replacement by `crop_probabilities`. Each draw is a number in 0..1, which is looked up in the clips' cumulated shares; these are summed by ranges of keys, so no task sees all clips."""
+    rated = crop_probabilities(df.where(col(key).isNotNull()), duration, crop, most).where("probability > 0").select(col(key).alias("k"), "probability")
+    part = cut(rated.repartitionByRange("k").withColumn("p", F.spark_partition_id()))
+    ahead = part.groupBy("p").agg(F.sum("probability").alias("s")).withColumn("lo", F.sum("s").over(W.orderBy("p")) - F.col("s"))
+    upto = part.join(F.broadcast(ahead), "p").withColumn("hi", F.col("lo") + F.sum("probability").over(W.partitionBy("p").orderBy("k")))
+    bucket = 1 << 12
+    spans = upto.withColumn("b", F.explode(F.sequence(F.floor((F.col("hi") - F.col("probability")) * bucket), F.floor(F.col("hi") * bucket))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(seeded(seed, F.col("id")), 1, 12), 16, 10).cast("double") / 2.0**48).alias("x")).withColumn("b", F.floor(F.col("x") * bucket))
+    hit = draws.join(spans, "b").where("x >= hi - probability and x < hi")
+    # at a bound that rounding moved two clips may claim a draw, or none: the lesser key, or the last clip
+    first = hit.groupBy("draw").agg(F.min("k").alias("k"))
+    last = upto.agg(F.max("k").alias("z"))
+    return draws.select("draw").join(first, "draw", "left").crossJoin(F.broadcast(last)).select("draw", F.coalesce("k", "z").alias(key))
+
+
 def mixture_chunks(df: DataFrame, source: str, key: str, weights: Mapping[str, float], pool: int, chunks: Sequence[int], seed: int = 0) -> DataFrame:
     """(chunk, source, position, key) for the chunks asked for: each source is an endless stream of reshuffled passes over its rows, read on from where the chunks before stopped.
 
@@ -131,7 +156,7 @@ def crop_starts(df: DataFrame, samples: str, crop: int, most: int, key: str, see
     part = F.floor(col(samples) / n)
     spread = df.where(col(samples).isNotNull()).select(col(key), col(samples).alias("__n"), part.alias("__part"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("crop"))
     room = F.greatest(F.col("__part") - crop, F.lit(0)) + 1
-    offset = F.pmod(F.xxhash64(F.lit(seed), col(key), F.col("crop")), room)
+    offset = F.conv(F.substring(seeded(seed, col(key), F.col("crop")), 1, 12), 16, 10).cast("long") % room
     return spread.select(key, "crop", F.when(F.col("__n") <= crop, F.lit(0)).otherwise(F.col("crop") * F.col("__part") + offset).cast("long").alias("start"))
 
 

@@ -32,7 +32,7 @@ def register(name: str, step: Step) -> Step:
 
 for _name, _step in {
     "remove_columns": P.remove_columns, "select_columns": P.select_columns, "nested_extraction": P.extract_nested, "column_casting": P.cast_columns, "column_renaming": P.rename_columns,
-    "row_index": P.assign_row_index, "value_override": P.override_values, "composite_id": P.composite_id, "caption_selecting": P.select_caption, "matching": Fi.prune_matching, "range": Fi.prune_range,
+    "row_index": P.assign_row_index, "value_override": P.override_values, "composite_id": P.composite_id, "constants": P.add_constants, "caption_selecting": P.select_caption, "matching": Fi.prune_matching, "range": Fi.prune_range,
     "duration": Fi.prune_duration, "licenses": Fi.prune_licenses, "mismatch": Fi.prune_mismatch, "generation": Fi.prune_generation_excluded, "aspect_ratio": Fi.prune_aspect_ratio, "audio_quality": Fi.prune_audio_quality,
     "sample": Fi.sample_fraction, "group_count": Wn.filter_by_group_count, "first_occurrence": Wn.first_occurrence, "fractions": Wn.split_fractions, "held_out": S.held_out_split,
 }.items():

@@ -142,10 +142,10 @@ def between_inclusive(spark: SparkSession, d: str) -> DataFrame:
     return Fi.prune_duration(read_table(spark, d, "segments").select("seg_row", "duration_s"))
 
 
-@query("select seg_row from segments where ctc_mismatch < 0.2")
+@query("select seg_row from segments where ctc_mismatch < 0.2 or isnan(ctc_mismatch)")
 def mismatch_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Segments below the threshold of mismatch; NaN isn't below."""
-    return Fi.prune_mismatch(read_table(spark, d, "segments").select("seg_row", "ctc_mismatch").where(~F.isnan("ctc_mismatch")), below=0.2).select("seg_row")
+    """Segments below the threshold of mismatch; NaN lies in any range."""
+    return Fi.prune_mismatch(read_table(spark, d, "segments").select("seg_row", "ctc_mismatch"), below=0.2).select("seg_row")
 
 
 @query("select meta_row from media_metadata where trim(license) in ('CC0', 'PD')")
@@ -187,10 +187,10 @@ def term_match(spark: SparkSession, d: str) -> DataFrame:
     return media.where(X.matches_terms([F.col("title"), F.col("description")], ["Photograph", "bridge", "VASE"])).select("meta_row")
 
 
-@query("""with s as (select *, row_number() over (order by o_orderkey) - 1 as row from orders), i as (select row, o_orderkey as id, row * 2 as twice from s where o_orderkey % 3 = 0)
+@query("""with s as (select *, row_number() over (order by o_orderkey) - 1 as row from orders), i as (select row, o_orderkey as id, row * 2 as twice from s)
     select i.row, i.id, s.o_totalprice, i.twice from i join s on i.row = s.row""")
 def index_source_join(spark: SparkSession, d: str) -> DataFrame:
-    """Source rows by an index of all orders, ids compared (the SQL's index has a third of them)."""
+    """Source rows by an index of all orders, ids compared."""
     orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
     source = J.number_source(orders, ["id"])
     index = source.select("row", "id", (F.col("row") * 2).alias("twice"))
@@ -323,9 +323,13 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return A.split_summary(seg, "split", "speaker_id", "duration_s").withColumn("hours", F.round("hours", 6))
 
 
-@query("select source, cast(sum(levenshtein(coalesce(lower(text_original), ''), coalesce(lower(text_normalized), ''))) as bigint) as char_edits, cast(sum(coalesce(length(text_normalized), 0)) as bigint) as chars from segments where regexp_full_match(coalesce(text_original, ''), '[ -~]*') and length(coalesce(text_original, '')) < 400 group by 1")
+# DuckDB's levenshtein counts bytes: each character beyond ASCII becomes one control character first, so it counts code points
+_BYTES = "translate(coalesce(lower({0}), ''), '\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00e9\u00e8\u00ea\u00fc\u00f6\u00e4\u00f1\u00e7\u00a0\u2011\u00ad\u200b\u2012\u2010\u00bd\ufb01\u00b0\u00a9\u2122', '\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0c\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d')"
+
+
+@query(f"select source, cast(sum(levenshtein({_BYTES.format('text_original')}, {_BYTES.format('text_normalized')})) as bigint) as char_edits, cast(sum(coalesce(length(text_normalized), 0)) as bigint) as chars from segments group by 1")
 def char_error_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Character edits between original and normalised texts, in code points, over all segments (the SQL has only those of short ASCII texts)."""
+    """Character edits between original and normalised texts, in code points."""
     seg = spread(read_table(spark, d, "segments").select("source", "text_original", "text_normalized"))
     low = seg.select("source", F.lower("text_original").alias("h"), F.lower("text_normalized").alias("r"), F.coalesce(F.char_length("text_normalized"), F.lit(0)).alias("chars"))
     return low.groupBy("source").agg(F.sum(X.char_edits(F.col("h"), F.col("r"))).alias("char_edits"), F.sum("chars").alias("chars"))
@@ -406,11 +410,13 @@ def voicing_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.voicing_stats(e, "vec_id", "f0").withColumns({"mean_log_f0": F.round("mean_log_f0", 5), "std_log_f0": F.round("std_log_f0", 5)})
 
 
-@query()
+@query("""with z as (select vec_id, unnest(embedding)::double as x, unnest(list_reverse(embedding))::double as y from embeddings)
+    select vec_id, round(avg(case when (x > 0) <> (y > 0) then 1.0 else 0.0 end), 6) as voicing_error, round(sqrt(avg(case when x > 0 and y > 0 then power(1200 * log2(case when x > 0 and y > 0 then x / y end), 2) end)), 3) as rmse_cents,
+           round(corr(case when x > 0 and y > 0 then x end, case when x > 0 and y > 0 then y end), 6) as correlation, round(avg(abs(x - y)), 6) as l1 from z group by 1""")
 def compare_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Each vector's track against its reverse."""
     e = read_table(spark, d, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("other"))
-    return A.compare_tracks(e, "vec_id", "embedding", "other")
+    return A.compare_tracks(e, "vec_id", "embedding", "other").select("vec_id", *[F.round(c, n).alias(c) for c, n in (("voicing_error", 6), ("rmse_cents", 3), ("correlation", 6), ("l1", 6))])
 
 
 @query("select docket, source, round(min(start_s), 6) as start, round(max(end_s), 6) as \"end\", round(sum(ctc_mismatch), 6) as score, count(*) as count, round(sum(ctc_mismatch) / count(*), 6) as average from segments where start_s is not null and end_s is not null and isfinite(ctc_mismatch) and docket is not null group by all")
@@ -500,7 +506,10 @@ def carry_back(spark: SparkSession, d: str) -> DataFrame:
     return Wn.carry_back(events, ["user_id"], ["event_id"], "event_type", F.col("event_type").eqNullSafe(F.lit(first))).select("event_id", "context")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, event_type as t, lead(event_type) over w as following, row_number() over w as k, count(*) over (partition by user_id) as n from events where event_type is not null window w as (partition by user_id order by event_id)),
+         r as (select user_id, event_id, t, t as repaired, k from e where k = 1
+               union all select e.user_id, e.event_id, e.t, case when e.k < e.n and r.repaired = e.following and e.t <> r.repaired then r.repaired else e.t end, e.k from r join e on e.user_id = r.user_id and e.k = r.k + 1)
+    select event_id, t as event_type, repaired from r""")
 def sandwich_repair(spark: SparkSession, d: str) -> DataFrame:
     """Sequential repair of labels between equal neighbours."""
     e = read_table(spark, d, "events").select("user_id", "event_id", "event_type", F.lit(0).alias("section"))
@@ -541,3 +550,75 @@ def mixture_concat(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     seg = read_table(spark, d, "segments").select(F.col("seg_row").alias("id"), F.col("text_original").alias("text"))
     return U.mixture({"documents": docs, "segments": seg})
+
+
+@query("""with a as (select row_number() over (order by o_orderkey) as k, o_orderkey, o_totalprice from orders), b as (select row_number() over (order by event_id) as k, event_id, value from events)
+    select o_orderkey, o_totalprice, event_id, value from a join b using (k) where k <= (select least((select count(*) from orders), (select count(*) from events)))""")
+def zipped_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables side by side, cut to the shorter one's length first."""
+    orders = P.assign_row_index(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], out="a")
+    events = P.assign_row_index(read_table(spark, d, "events").select("event_id", "value"), ["event_id"], out="b")
+    n = min(orders.count(), events.count())
+    return U.zip_columns(orders.where(F.col("a") < n), events.where(F.col("b") < n), ["a"], ["b"]).drop("a", "b")
+
+
+@query("""select 'nation' as source_name, 0 as source_id, n_name as name, row_number() over (order by n_nationkey) - 1 as row from nation
+    union all select 'region', 1, r_name, (select count(*) from nation) + row_number() over (order by r_regionkey) - 1 from region""")
+def mixture_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sources end to end, numbered over all."""
+    nation = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    region = read_table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    return U.mixture_rows({"nation": nation, "region": region}, {"nation": ["k"], "region": ["k"]}).drop("k")
+
+
+@query("select distinct lang, source from documents")
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct values of columns, null as one."""
+    return A.distinct_values(read_table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("select o_orderkey, cast(null as varchar) as remark, cast(o_totalprice as bigint) as o_totalprice from orders")
+def conformed(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly the columns and types of a schema; a missing one is null."""
+    from pyspark.sql import types as T
+
+    orders = read_table(spark, d, "orders").withColumn("o_totalprice", F.bround("o_totalprice"))
+    return P.conform(orders, T.StructType().add("o_orderkey", "long").add("remark", "string").add("o_totalprice", "long"))
+
+
+@query("select c_custkey, upper(c_mktsegment) as segment from customer where c_mktsegment is not null")
+def mapped_values(spark: SparkSession, d: str) -> DataFrame:
+    """A column from a column, rows without a result dropped."""
+    return P.map_values(read_table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "segment", F.upper, filter_null_outputs=True).select("c_custkey", "segment")
+
+
+@query("select doc_id, text, lang from documents")
+def task_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns a task reads, by the rules of its fields."""
+    return P.select_task_columns(read_table(spark, d, "documents"), {"text": ["text", "lang"], "image": ["image_url"]}, ["text"], ["doc_id"])
+
+
+@query("""select meta_row, license = 'CC0' and generation_excluded is not true as kept from media_metadata where harvested_at is not null and license in ('CC0', 'PD')""")
+def selected_units(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the units that are included and not excluded."""
+    from millrace.operators import records as R
+
+    media = read_table(spark, d, "media_metadata").where("harvested_at is not null")
+    kept = R.select_units(media, "license", ["CC-BY"], ["CC0", "PD", "CC-BY"])
+    return kept.select("meta_row", ((F.col("license") == "CC0") & ~F.coalesce("generation_excluded", F.lit(False))).alias("kept"))
+
+
+@query("""select meta_row from media_metadata where not (coalesce(list_has_any(list_transform(string_split(lower(title), ' '), lambda x: trim(x, ',.;')), ['bridge', 'lamp', 'vase']), false)) and title is not null""")
+def opted_out(spark: SparkSession, d: str) -> DataFrame:
+    """Downloads whose headers don't opt out; headers made of titles."""
+    words = F.transform(F.split(F.lower("title"), " "), lambda w: F.trim(w, F.lit(",.;")))
+    media = read_table(spark, d, "media_metadata").where("title is not null").select("meta_row", F.create_map(F.lit("X-Robots-Tag"), F.array_join(words, ", ")).alias("headers"))
+    return Fi.prune_opted_out(media, "headers", ["bridge", "lamp", "vase"]).select("meta_row")
+
+
+@query("""select seg_row, substr(hex(audio.bytes), 1, 6) = 'FFD8FF' and right(hex(audio.bytes), 4) = 'FFD9' as jpeg, substr(hex(audio.bytes), 1, 8) = hex('RIFF'::blob) as wave, contains(hex(audio.bytes), '0000') and regexp_matches(hex(audio.bytes), '^(..)*0000') as zeros
+    from segments where audio.bytes is not null""")
+def content_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of file types in binary content."""
+    audio = read_table(spark, d, "segments").select("seg_row", F.col("audio.bytes").alias("b")).where("b is not null")
+    return audio.select("seg_row", Fi.is_jpeg(F.col("b")).alias("jpeg"), Fi.starts_with_bytes(F.col("b"), b"RIFF").alias("wave"), Fi.contains_bytes(F.col("b"), b"\x00\x00").alias("zeros"))

@@ -47,9 +47,16 @@ def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
     return S.shuffled_batches(read_table(spark, d, "documents").select("doc_id"), "doc_id", 64, (0, 1), 5)
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with a text, each in one of the mixture's sources: its language however it is spelt, none as `none`."""
+    docs = read_table(spark, d, "documents").where("text <> ''")
+    return docs.select("doc_id", F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("none")).alias("lang"), F.char_length("text").alias("length"))
+
+
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where("text <> '' and lang in ('en', 'de', 'fr')").select("doc_id", "lang", F.char_length("text").alias("length"))
-    weights = S.draw_weights(docs, "lang", {"en": 0.5, "de": 0.3, "fr": 0.2}, F.col("length"))
+    docs = _languages(spark, d)
+    names = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    weights = S.draw_weights(docs, "lang", {n: 1.0 / (i + 2) for i, n in enumerate(names)}, F.col("length"))
     return S.mixture_chunks(docs, "lang", "doc_id", weights, 400, [0, 1, 2], 9).join(docs.select("doc_id", "length"), "doc_id")
 
 
@@ -65,10 +72,24 @@ def bucketed_batches(spark: SparkSession, d: str) -> DataFrame:
     return S.bucketed_batches(_pool(spark, d), "chunk", "doc_id", "length", 20_000, 9)
 
 
-@query()
+@query("""with p as (select doc_id, doc_id % 3 as chunk from documents where text <> ''), r as (select *, row_number() over (partition by chunk order by md5(concat_ws(':', '9', chunk, doc_id)), doc_id) - 1 as r from p)
+    select chunk, cast(r // 32 as int) as batch, cast(r % 32 as int) as pos, doc_id from r""")
 def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of 32 of a mixture."""
-    return S.fixed_batches(_pool(spark, d), "chunk", "doc_id", 32, 9)
+    """Batches of 32 of three pools."""
+    pool = read_table(spark, d, "documents").where("text <> ''").select("doc_id", (F.col("doc_id") % 3).alias("chunk"))
+    return S.fixed_batches(pool, "chunk", "doc_id", 32, 9)
+
+
+@query("""with recursive p as (select doc_id, doc_id % 3 as chunk, length(text) as n, row_number() over (partition by doc_id % 3 order by length(text), doc_id) as k from documents where text <> ''),
+         b as (select chunk, k, doc_id, 0 as batch, 1 as size from p where k = 1
+               union all select p.chunk, p.k, p.doc_id, case when (b.size + 1) * p.n > 20000 then b.batch + 1 else b.batch end, case when (b.size + 1) * p.n > 20000 then 1 else b.size + 1 end from b join p on p.chunk = b.chunk and p.k = b.k + 1),
+         s as (select chunk, batch, count(*) as n_rows, min(doc_id) as least, cast(sum(doc_id) as bigint) as ids from b group by all)
+    select chunk, n_rows, least, ids from s""")
+def bucketed_batch_members(spark: SparkSession, d: str) -> DataFrame:
+    """What the length-bucketed batches of three pools hold, whatever their order."""
+    pool = read_table(spark, d, "documents").where("text <> ''").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("chunk"), F.char_length("text").alias("n"))
+    batches = S.bucketed_batches(pool, "chunk", "doc_id", "n", 20_000, 9)
+    return batches.groupBy("chunk", "batch").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("least"), F.sum("doc_id").alias("ids")).select(F.col("chunk").cast("long").alias("chunk"), "n_rows", "least", "ids")
 
 
 @query("select seg_row, case when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as seconds from segments where isfinite(duration_s)")
@@ -78,13 +99,24 @@ def cropped_seconds(spark: SparkSession, d: str) -> DataFrame:
     return seg.select("seg_row", S.cropped_seconds(F.col("duration_s"), 3.0, 4).alias("seconds"))
 
 
-@query()
+@query("""with n as (select seg_row, cast(round(duration_s * 16000) as bigint) as n from segments where duration_s between 0 and 1e6),
+         p as (select *, greatest(1, least(4, n // 48000)) as k from n), c as (select *, n // k as part, unnest(generate_series(0, k - 1)) as crop from p)
+    select seg_row, cast(crop as int) as crop, case when n <= 48000 then 0 else crop * part + cast(('0x' || substr(md5(concat_ws(':', '1', seg_row, crop)), 1, 12))::bigint % (greatest(part - 48000, 0) + 1) as bigint) end as start from c""")
 def crop_starts(spark: SparkSession, d: str) -> DataFrame:
     """Seeded starts of non-overlapping crops."""
     seg = read_table(spark, d, "segments").where("duration_s between 0 and 1e6").select("seg_row", F.round(F.col("duration_s") * 16000).cast("long").alias("n"))
     return S.crop_starts(seg, "n", 48000, 4, "seg_row", 1)
 
 
+@query("""with c as (select seg_row, case when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as w from segments where isfinite(duration_s) and duration_s > 0),
+         s as (select seg_row, w, sum(w) over (order by seg_row) as upto, sum(w) over () as total from c)
+    select seg_row, round(w / total, 12) as probability from s""")
+def crop_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """How likely a draw by cropped seconds takes each clip."""
+    seg = read_table(spark, d, "segments").where(F.col("duration_s").isNotNull() & ~F.isnan("duration_s") & (F.abs("duration_s") < float("inf")) & (F.col("duration_s") > 0)).select("seg_row", "duration_s")
+    return S.crop_probabilities(seg, "duration_s", 3.0, 4).select("seg_row", F.round("probability", 12).alias("probability"))
+
+
 @query("select doc_id, cast(ceil(length(text) / 4.0) as bigint) + 1 as length from documents where text is not null")
 def length_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Estimated token length of a text."""
@@ -103,7 +135,8 @@ def heldout_split_random(spark: SparkSession, d: str) -> DataFrame:
     return S.held_out_split(read_table(spark, d, "segments").select("seg_row", "speaker_id"), "speaker_id", percent=5).select("seg_row", "speaker_id", "split")
 
 
-@query()
+@query("""with v as (select doc_id // 16 as batch, doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::double) as v from documents where text <> ''), m as (select batch, max(len(v)) as length from v group by 1)
+    select batch, cast(count(*) as int) as n, cast(any_value(length) as int) as length, list(cast(len(v) as int) order by doc_id) as lengths, list(list_resize(v, length, 0.0) order by doc_id) as values from v join m using (batch) group by batch""")
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of a batch padded to its longest."""
     docs = read_table(spark, d, "documents").where("text <> ''").select(F.floor(F.col("doc_id") / 16).alias("batch"), "doc_id", F.transform(F.split("text", " "), lambda w: F.char_length(w).cast("double")).alias("v"))
@@ -111,9 +144,9 @@ def padded_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select doc_id, nullif({sql_strip("regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')")}, '') as text
-    from documents where text is not null and not contains(text, '&')""")
+    from documents where text is not null""")
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without tags, entities as characters, white space collapsed (the SQL leaves out texts with entities)."""
+    """Texts without tags, entities as characters, white space collapsed."""
     docs = read_table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
@@ -127,10 +160,10 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select meta_row, 'https://img.example.invalid/iiif/' || url_encode(id) || '/full/' || case when width is not null and height is not null and greatest(width, height) <= 1024 then 'max' else '!1024,1024' end || '/0/default.jpg' as url,
     case when width is null or width <= 960 then 'https://files.example.invalid/' else 'https://files.example.invalid/thumb/' end || substr(md5(id), 1, 1) || '/' || substr(md5(id), 1, 2) || '/' || replace(url_encode(id), '%3A', ':') || case when width > 960 then '/960px-' || replace(url_encode(id), '%3A', ':') else '' end as thumb
-    from media_metadata where regexp_full_match(id, '[A-Za-z0-9_.:/-]+')""")
+    from media_metadata""")
 def image_urls(spark: SparkSession, d: str) -> DataFrame:
     """Image URLs that ask for a smaller size where the image doesn't fit."""
-    media = read_table(spark, d, "media_metadata").where(F.col("id").rlike("^[A-Za-z0-9_.:/-]+$"))
+    media = read_table(spark, d, "media_metadata")
     service = F.concat(F.lit("https://img.example.invalid/iiif/"), urls.quoted(F.col("id"), ""))
     return media.select("meta_row", urls.iiif_url(service, F.col("width"), F.col("height"), 1024).alias("url"), urls.thumbnail_url("https://files.example.invalid", F.col("id"), F.col("width"), 960).alias("thumb"))
 
@@ -277,10 +310,10 @@ def segment_rates(spark: SparkSession, d: str) -> DataFrame:
     return V.rates(read_table(spark, d, "segments"))
 
 
-@query("""with e as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), r as (select 'c' || c_custkey as root from customer where c_custkey % 50 = 0)
+@query("""with e as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), r as (select 'c' || c_custkey as root from customer)
     select root, root as node, 0 as depth from r union all select root, parent, 1 from r join e on root = child union all select root, f.parent, 2 from r join e on root = e.child join e f on e.parent = f.child""")
 def ancestry_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All ancestors of all customers with their depth (the SQL has a fiftieth of the customers)."""
+    """All ancestors of all customers with their depth."""
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = read_table(spark, d, "customer").select(text("c", "c_custkey").alias("child"), text("n", "c_nationkey").alias("parent")).union(read_table(spark, d, "nation").select(text("n", "n_nationkey"), text("r", "n_regionkey")))
     roots = read_table(spark, d, "customer").select(text("c", "c_custkey").alias("root"))
@@ -289,20 +322,20 @@ def ancestry_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""select id, license, creator, title, image_url, width, height, is_alt_image, license_raw, artwork_id from (
     select id, 'PD' as license, 'is_public_domain' as license_raw, creator, title, case when width <= 843 then 'https://iiif.example.invalid/' || url_encode(id) || '/full/full/0/default.jpg' else 'https://iiif.example.invalid/' || url_encode(id) || '/full/843,/0/default.jpg' end as image_url,
-           width, height, false as is_alt_image, meta_row as artwork_id from media_metadata where license = 'PD' and regexp_full_match(id, '[A-Za-z0-9_.:/-]+'))""")
+           width, height, false as is_alt_image, meta_row as artwork_id from media_metadata where license = 'PD')""")
 def artwork_records(spark: SparkSession, d: str) -> DataFrame:
     """Artworks flattened from JSON made of the harvested records."""
-    media = read_table(spark, d, "media_metadata").where(F.col("id").rlike("^[A-Za-z0-9_.:/-]+$"))
+    media = read_table(spark, d, "media_metadata")
     made = media.select(F.to_json(F.struct(F.col("meta_row").alias("id"), (F.col("license") == "PD").alias("is_public_domain"), F.col("id").alias("image_id"), F.struct("width", "height").alias("thumbnail"), F.col("creator").alias("artist_display"), "title")).alias("value"))
     flat = R.artworks(made, "PD", "https://iiif.example.invalid", "https://site.example.invalid", 843)
     return flat.select("id", "license", "creator", "title", "image_url", "width", "height", "is_alt_image", "license_raw", "artwork_id")
 
 
 @query("""select meta_row::varchar as id, case license when 'PD' then 'PD' else 'CC0' end as license, nullif(creator, '') as creator, image_url, width, height, list_distinct([coalesce(title, 'none'), 'other']) [1] is not null as tagged
-    from media_metadata where license in ('PD', 'CC0') and image_url <> '' and width is not null and height is not null""")
+    from media_metadata where license in ('PD', 'CC0') and image_url <> ''""")
 def holding_records(spark: SparkSession, d: str) -> DataFrame:
     """Museum objects flattened from JSON made of the harvested records."""
-    media = read_table(spark, d, "media_metadata").where("width is not null and height is not null")
+    media = read_table(spark, d, "media_metadata")
     rights = F.struct(F.col("license").alias("title"), F.lit(True).alias("allowsDownload"))
     medium = F.struct(F.col("meta_row").alias("id"), F.lit("ImageObject").alias("type"), F.col("image_url").alias("previewUrl"), "width", "height", rights.alias("rights"))
     object_ = F.struct(F.col("meta_row").alias("id"), F.lit("Object").alias("type"), "title", F.array(F.struct(F.struct(F.col("creator").alias("title")).alias("contributor"))).alias("production"), F.array(F.struct(F.coalesce("title", F.lit("none")).alias("title"))).alias("depicts"), F.array(medium).alias("hasRepresentation"))
@@ -315,12 +348,10 @@ def pipeline_recipe(spark: SparkSession, d: str) -> DataFrame:
     """A declarative recipe with an overlay."""
     recipe = Pipeline(
         {"source": {"format": "parquet", "files": f"{d}/documents.parquet"}, "pipeline": {"pick": {"type": "select_columns", "columns": ["doc_id", "lang", "n_chars"]}, "english": {"type": "matching", "columns": ["lang"], "values": ["EN"]}, "length": {"type": "range", "columns": ["n_chars"], "low": 0, "high": 3000}, "number": {"type": "row_index", "order_by": ["doc_id"]}}},
-        {"pipeline": {"length": {"low": 100}, "tag": {"type": "value_override", "rules": [["kind", None, "kind", "doc"]], "$before": "number"}, "kind": {"type": "composite_id", "columns": ["lang"], "out": "kind", "$before": "tag"}, "id": {"type": "composite_id", "columns": ["constant", "doc_id"], "$after": "number"}}},
+        {"pipeline": {"length": {"low": 100}, "prefix": {"type": "constants", "values": {"prefix": "doc"}, "$after": "pick"}, "id": {"type": "composite_id", "columns": ["constant", "doc_id"], "$after": "number"}}},
         sets=["pipeline.id.columns=[prefix, doc_id]"],
     )
-    source = recipe.source(spark).withColumn("prefix", F.lit("doc"))
-    recipe.steps[0] = ("pick", lambda df: df.select("doc_id", "lang", "n_chars", "prefix"))
-    return recipe.apply(source).select("doc_id", "lang", "row", "id")
+    return recipe.apply(recipe.source(spark)).select("doc_id", "lang", "row", "id")
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

@@ -104,15 +104,19 @@ def provenance_record(config: Mapping[str, Any], datasets: Sequence[str] = (), m
     return {"produced_on": (now or datetime.datetime.now(datetime.UTC)).isoformat(), "git_commit": commit, "cli": command, "ancestry": {"datasets": sorted(set(datasets)), "models": sorted(set(models))}, "config": config}
 
 
-def write_json(spark: SparkSession, record: Mapping[str, Any], path: str) -> None:
-    """A JSON file beside the data, through Hadoop's file system, so that it lands where the data does."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    out.write(bytearray(json.dumps(record, indent=2, default=str).encode()))
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    """A small file through Hadoop's file system, so that it lands where the data does."""
+    fs, target = _file_system(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(content))
     out.close()
 
 
+def write_json(spark: SparkSession, record: Mapping[str, Any], path: str) -> None:
+    """A JSON file beside the data."""
+    write_bytes(spark, json.dumps(record, indent=2, default=str).encode(), path)
+
+
 def read_written_units(spark: SparkSession, path: str, unit: str = "unit") -> set[str]:
     """Units that a partitioned output already has, so that a run can go on where it stopped; none if there is no output."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
