@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import multimodal, spoken, visual
@@ -240,32 +240,81 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return Sp.parse_turns(cases, ["docket", "date_argued"], "transcript")
 
 
-@query()
+_TURNS = r"""with c as (select docket, date_argued, transcript from (select *, row_number() over (partition by docket order by ingested_at) as rn from argued_cases where transcript is not null) where rn = 1),
+    l as (select docket, date_argued, unnest(string_split(transcript, chr(10))) as line, generate_subscripts(string_split(transcript, chr(10)), 1) as n from c),
+    s as (select docket, date_argued, n, trim(regexp_replace(regexp_replace(line, '(?i)\((?:laughter|pause|nods|indicating|inaudible|crosstalk|applause)[^)]*\)', '', 'g'), '[\s\x{a0}]+', ' ', 'g')) as line from l),
+    k as (select *, regexp_extract(line, '^(unknown|[A-Z](?:\p{L}|[.''’&/ -]){1,43}):', 1) as p from s where line <> '' and not (regexp_full_match(line, '[(\[{][^(){}\[\]]+[}\])]\.*') and regexp_matches(line, '\p{Ll}') and regexp_matches(line, '[ .]'))),
+    m as (select *, case when p = 'unknown' or (length(regexp_replace(p, '\P{L}', '', 'g')) >= 2 and length(regexp_replace(p, '\P{Lu}', '', 'g')) >= 0.6 * length(regexp_replace(p, '\P{L}', '', 'g'))) then p end as label,
+                 regexp_matches(line, '^(?:(?:ORAL|REBUTTAL|REDIRECT|CONTINUED|FURTHER)\s+)*ARGUMENT\s+(?:OF|BY)\b|^ON\s+BEHALF\s+OF\b') or (not contains(line, ':') and not regexp_matches(line, '\p{Ll}') and length(regexp_replace(line, '\P{L}', '', 'g')) >= 4 and contains(line, ' ')) as heading from k),
+    t as (select docket, date_argued, n, label, case when label is not null then regexp_replace(line, '^[^:]*:\s*', '') else line end as said, heading, sum(case when heading and contains(line, 'ARGUMENT') then 1 else 0 end) over w as section, sum(case when label is not null then 1 else 0 end) over w as turn from m window w as (partition by docket, date_argued order by n)),
+    g as (select docket, date_argued, turn, min(section) as section, coalesce(max(label), 'UNIDENTIFIED') as speaker, regexp_replace(regexp_replace(trim(regexp_replace(string_agg(said, ' ' order by n), '\s+', ' ', 'g')), '(\s)-$', '\1--'), '([^\s-])-$', '\1 --') as text, min(n) as line_start from t where not heading group by all),
+    turns as (select docket, date_argued, row_number() over (partition by docket, date_argued order by turn) - 1 as turn, section::bigint as section, speaker, text, line_start::int as line_start from g where text <> '')"""
+
+
+@query(_TURNS + " select * from turns")
 def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns of the transcripts."""
     return _turns(spark, d)
 
 
+@query(_TURNS + """, r as (select t.*, b.name from turns t left join bench b on upper(t.speaker) = upper(b.name) and t.date_argued >= b.start_date and t.date_argued <= coalesce(b.end_date, date '9999-12-31'))
+    select docket, turn, speaker, case when name is not null then 'highcourt:' || upper(name) end as justice from r where name is not null""")
+def seated_justices(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the justices seated on the day, by the resolution of all labels."""
+    turns = _turns(spark, d)
+    bench = read_table(spark, d, "bench")
+    resolved = Sp.resolve_speakers(turns, "speaker", "date_argued", bench, "highcourt")
+    return resolved.where((F.col("role") == "justice") & (F.col("speaker_id") == F.concat(F.lit("highcourt:"), F.upper("speaker")))).select("docket", "turn", "speaker", F.col("speaker_id").alias("justice"))
+
+
 @query()
 def resolved_speakers(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with speaker id and role."""
-    return Sp.resolve_speakers(_turns(spark, d), "speaker", "date_argued", read_table(spark, d, "bench"), "highcourt")
+    """Turns with speaker id and role; advocates by the appearances that their transcript lists."""
+    cases = read_table(spark, d, "argued_cases").where("transcript is not null")
+    named = Sp.appearances(cases, ["docket"], "transcript")
+    return Sp.resolve_speakers(_turns(spark, d), "speaker", "date_argued", read_table(spark, d, "bench"), "highcourt", "docket", named)
 
 
 @query()
 def transcript_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts put together again from their turns, after repair of wrong attributions."""
+    """Transcripts put together again from their turns, after repair of wrong attributions, which are listed."""
     resolved = Sp.resolve_speakers(_turns(spark, d), "speaker", "date_argued", read_table(spark, d, "bench"), "highcourt")
     fixed = Wn.repair_sandwiched(resolved, ["docket"], "turn", "speaker", "section", allowed=F.col("role") != "advocate")
-    return Sp.transcript_text(fixed.withColumn("speaker", F.col("repaired")), ["docket"])
+    return Sp.transcript_text(fixed.withColumnsRenamed({"speaker": "was", "repaired": "speaker"}), ["docket"], was="was")
 
 
-@query()
+@query(_TURNS + " select docket, string_agg(speaker || ': ' || text, chr(10) order by turn) as transcript, count(*) as n_turns from turns group by docket")
+def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts put together again from their turns."""
+    return Sp.transcript_text(_turns(spark, d), ["docket"]).select("docket", "transcript", "n_turns")
+
+
+@query(_TURNS + """, w as (select docket, turn, speaker, string_split(text, ' ') as w, row_number() over (partition by docket order by turn) - 1 as i from turns)
+    select docket, flatten(list(w order by turn)) as tokens, flatten(list(list_transform(w, lambda x: cast(i as int)) order by turn)) as turn_idx, flatten(list(list_transform(w, lambda x: speaker) order by turn)) as speakers from w group by docket""")
+def turn_token_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of the transcripts as arrays with their turns and speakers."""
+    return Sp.token_arrays(_turns(spark, d), ["docket"]).select("docket", "tokens", "turn_idx", "speakers")
+
+
+@query(_TURNS + """, w as (select docket, turn, speaker, unnest(string_split(text, ' ')) as token, generate_subscripts(string_split(text, ' '), 1) - 1 as token_no from turns)
+    select docket, turn, speaker, cast(token_no as int) as token_no, token from w""")
 def turn_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the turns."""
     return Sp.flatten_tokens(_turns(spark, d), ["docket"])
 
 
+@query()
+def speech_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of recordings: each record's tokens, timed evenly, cut under a cap, trimmed and padded."""
+    seg = read_table(spark, d, "segments").select("docket", "seg_row", "speaker_id", "text_original", "start_s", "end_s", "avg_word_score").where("docket is not null")
+    timed = Sp.timed_tokens(seg, ["docket", "seg_row"], "text_original", "start_s", "end_s")
+    scores = seg.select("seg_row", F.col("speaker_id").alias("speaker"), F.when(~F.isnan("avg_word_score"), F.col("avg_word_score")).alias("s"))
+    t = timed.join(scores, "seg_row").withColumnsRenamed({"docket": "rec", "seg_row": "turn", "token_no": "place"})
+    t = t.withColumns({"count": F.char_length("token"), "score": F.col("s") * F.char_length("token"), "content": F.lit(True), "ok": F.col("s").isNotNull(), "unspoken": F.col("start").isNull()})
+    numbered = t.withColumn("token_no", F.row_number().over(Window.partitionBy("rec").orderBy("start", "turn", "place"))).drop("place", "s")
+    return Sp.segments(numbered, ["rec"], F.lit(1e6), Sp.SegmentRules(cap=20.0, max_pause=2.0))
+
+
 @query()
 def segmented_turns(spark: SparkSession, d: str) -> DataFrame:
     """Segments of timed tokens under a cap."""

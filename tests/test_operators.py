@@ -248,6 +248,79 @@ def test_turns(spark):
     assert got == [("d1", 0, 1, "MR. DOE", "Hello there."), ("d1", 1, 1, "CHIEF JUSTICE ROE", "Yes. stray")]
 
 
+LAID_OUT = """APPEARANCES:
+ 1     ANN B. LEE, JR., ESQ., Washington; on behalf of
+ 2     the Petitioner.
+ 3     P R O C E E D I N G S
+ 4     (11:39 a.m.)
+ 5     ORAL ARGUMENT OF JOHN Q. POE
+ 6       ON BEHALF OF THE RESPONDENT
+ 7     CHIEF JUSTICE ROE:  We\u2019ll hear \u2013 well MS. LEE: Thank
+ 8     you.  (Whispers to
+ 9     the clerk.)
+10     (Recess taken
+11     until noon)
+12     unknown: What -
+99     not a body line
+no number
+13     JUSTICE SMITT. Go on.
+14     THE COURT: Order, REBUTTAL
+15     (Whereupon the case was submitted.)
+16     word [3] 12:4"""
+
+
+def test_laid_out_transcripts(spark):
+    text = LAID_OUT.replace("APPEARANCES:", " 9     APPEARANCES:")
+    df = spark.createDataFrame([("d", text), ("e", "nothing numbered")], "docket string, t string")
+    got = rows(Sp.parse_turns(df, ["docket"], "t", laid_out=True).select("turn", "section", "speaker", "text"), "turn")
+    assert got == [
+        (0, 1, "CHIEF JUSTICE ROE", "We'll hear -- well"), (1, 1, "MS. LEE", "Thank you. (Whispers to the clerk.)"), (2, 1, "unknown", "What --"), (3, 1, "JUSTICE SMITT", "Go on."), (4, 1, "THE COURT", "Order, REBUTTAL"),
+    ]
+    named = Sp.appearances(df, ["docket"], "t", laid_out=True)
+    assert {(r["name_key"], r["name"]) for r in named.collect()} >= {("LEE", "ANN B. LEE, JR."), ("B. LEE", "ANN B. LEE, JR."), ("ANN B. LEE", "ANN B. LEE, JR."), ("POE", "JOHN Q. POE")}
+    early = spark.createDataFrame([("d", "some words\nMr. LEE: Hi\nMS ANN: Yes\n[Pause taken.]\nI SEE IT NOW\n(A note that\n" + "goes on\n" * 8 + "end)")], "docket string, t string")
+    got = rows(Sp.parse_turns(early, ["docket"], "t").select("turn", "speaker", "text"), "turn")
+    assert [(r[1], r[2][:30]) for r in got] == [("UNIDENTIFIED", "some words"), ("MR. LEE", "Hi"), ("MS. ANN", "Yes (A note that goes on goes o")][:3] or got[2][2].startswith("Yes (A note that goes on")
+
+
+def test_speakers_are_resolved(spark):
+    day, later = "2015-01-01", "2031-01-01"
+    bench = spark.createDataFrame([("CHIEF JUSTICE ROE", "2000-01-01", None), ("JUSTICE SMITH", "2001-01-01", "2020-01-01"), ("JUSTICE KANE", "2021-01-01", None)], "name string, a string, b string").select("name", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"))
+    labels = [("JUSTICE SMITT", day), ("JUSTICE SMITH", later), ("CHIEF JUSTICE", day), ("MS. LEE:", day), ("MR. LEEE", day), ("MR. KANE", later), ("THE COURT", day), ("UNIDENTIFIED", day), ("MR. FOE", day), (None, day), ("", day), ("MR. TYPO", day), ("JUSTICE SMITH", None)]
+    df = spark.createDataFrame([(i, "d", s, t) for i, (s, t) in enumerate(labels)], "k int, docket string, speaker string, t string").withColumn("date", F.col("t").cast("date")).drop("t")
+    named = spark.createDataFrame([("d", "GEN. ANN B. LEE, JR.", "LEE"), ("d", "GEN. ANN B. LEE, JR.", "B. LEE")], "docket string, name string, name_key string")
+    fixes = spark.createDataFrame([("d", "MR. TYPO", "JUSTICE SMITH"), (None, "MR. TYPO", "MR. FOE")], "docket string, label string, fixed string")
+    got = {r["k"]: (r["speaker_id"], r["role"]) for r in Sp.resolve_speakers(df, "speaker", "date", bench, "c", "docket", named, fixes).collect()}
+    assert [got[i] for i in range(len(labels))] == [
+        ("c:JUSTICE SMITH", "justice"), ("c:d:JUSTICE SMITH", "unknown"), ("c:CHIEF JUSTICE ROE", "justice"), ("c:adv:ANN LEE", "advocate"), ("c:adv:ANN LEE", "advocate"), ("c:JUSTICE KANE", "justice"), ("c:unknown", "unknown"),
+        ("c:d:UNIDENTIFIED", "unknown"), ("c:d:MR. FOE", "advocate"), ("c:unknown", "unknown"), ("c:d:UNIDENTIFIED", "unknown"), ("c:JUSTICE SMITH", "justice"), ("c:d:JUSTICE SMITH", "unknown"),
+    ]
+    keys = spark.createDataFrame([("D. John Sauer",), ("Hon. Mary Ann Poe III",), ("Plato",), ("",), ("E JOSHUA ROSE",)], "n string").select(Sp.advocate_key(F.col("n")))
+    assert [r[0] for r in keys.collect()] == ["JOHN SAUER", "MARY POE", "PLATO", "", "JOSHUA ROSE"]
+
+
+def test_token_arrays_and_reattributions(spark):
+    turns = spark.createDataFrame([("d", 0, "A", "A", "one two"), ("d", 1, "B", "C", "three"), ("d", 2, "A", "A", "")], "docket string, turn int, speaker string, was string, text string")
+    r = Sp.token_arrays(turns, ["docket"]).first()
+    assert (r["tokens"], r["turn_idx"], r["groups"], r["speakers"], r["roles"]) == (["one", "two", "three"], [0, 0, 1], [1, 1, 2], ["A", "A", "B"], [None] * 3)
+    t = Sp.transcript_text(turns, ["docket"], was="was").first()
+    assert [tuple(x) for x in t["reattributions"]] == [("C", "B", "three")] and t["transcript"].startswith("A: one two\nB: three")
+
+
+def test_unspoken_words_and_blocks():
+    ref, heard = "x1 x2 x3 x4 x5 a b c d e f g".split(), "a b c d e f g".split()
+    at = Sp.anchors(ref, heard)
+    assert Sp.unspoken(len(ref), len(heard), at) == [True] * 5 + [False] * 7
+    assert not any(Sp.unspoken(len(ref), len(heard), at, most=3)) and not any(Sp.unspoken(5, 9, []))
+    tail = heard + "t1 t2 t3 t4 t5 t6".split()
+    assert Sp.unspoken(len(tail), len(heard), Sp.anchors(tail, heard)) == [False] * 7 + [True] * 6
+    assert not any(Sp.unspoken(8, 8, [(0, 0), (5, 5)]))
+    at = [(i, i) for i in range(0, 100, 5)]
+    got = Sp.blocks(100, at, [float(i) for i in range(100)], 20.0)
+    assert got[0][0] == 0 and got[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False)) and all(b - a <= 20 for a, b in got)
+    assert Sp.blocks(10, [], [], 5.0) == [(0, 10)] and Sp.blocks(0, [], [], 5.0) == []
+
+
 def test_cuts_prefer_sentences():
     starts = [float(i) for i in range(6)]
     ends = [x + 1 for x in starts]
