@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import bounded_rows, cut
+from millrace.session import bounded_rows, cut, drop
 
 GRADED, SPOKEN, PAIR_SAMPLE = 20_000, 10_000, 200_000
 #: Cells of the trigram tables; least share of the sample for a language to get one; nats a trigram below the least likely graded text.
@@ -224,7 +224,9 @@ def gather(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
             own = [syntax(t) for t in batch["t"]]
             yield pd.DataFrame({"k": batch["k"], "g": batch["g"], "s": batch["s"], "base": [x for x, _ in own], "words": [w for _, w in own]})
 
-    return cut(rows.mapInPandas(read, "k string, g double, s string, base array<double>, words array<string>"))
+    out = cut(rows.mapInPandas(read, "k string, g double, s string, base array<double>, words array<string>"))
+    drop(graded)
+    return out
 
 
 def learn_languages(sample: DataFrame) -> Languages | None:
@@ -298,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = gather(docs, labels, key, text, label, lang)
     languages = learn_languages(sample)
     if languages is None:
+        drop(sample)
         return None
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(languages)
@@ -311,6 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return keys.map(_fold)
 
     own = cut(sample.where("g is not null").where(english("words")).select("k", fold("k").alias("fold"), F.col("g").alias("grade"), "base", "words"))
+    drop(sample)
     seen = own.select("grade", "fold", F.explode(F.array_distinct("words")).alias("word"))
     table = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("grade").alias("g"), F.count_if(F.col("fold") == 0).alias("n0"), F.sum(F.when(F.col("fold") == 0, F.col("grade")).otherwise(0.0)).alias("g0"))
     # words of three graded documents or more; their number is bounded by the graded documents, not by the corpus
@@ -326,6 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.DataFrame(rows, columns=["k", "grade", "fold", "x"]).astype({"grade": "float64", "fold": "int32"})
 
     rows = sorted(bounded_rows(own.select("k", "fold", "grade", "base", "words").mapInPandas(measure, "k string, grade double, fold int, x array<double>"), 2 * GRADED, "the graded documents"), key=lambda r: r["k"])
+    drop(own)
     y = np.array([r["grade"] for r in rows])
     if len(set(y)) < 2:
         return None
