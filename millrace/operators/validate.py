@@ -20,16 +20,23 @@ def violations(df: DataFrame, rules: Mapping[str, Column], keys: list[str]) -> D
     return df.select(*keys, F.explode(hits).alias("check"))
 
 
+# Patterns of text that must not stay in a segment, and the tolerances of its times in seconds.
+ALPHANUMERIC = "[A-Za-z0-9]"
+STAGE_LEAK = r"(?i)\((?:laughter|pause|nods|indicating|inaudible|crosstalk)"
+LABEL_LEAK = r"\b(?:CHIEF JUSTICE|JUSTICE|GENERAL|MRS?\.|MS\.) [A-Z]{3,}[A-Z'\-]*:"
+TIME_TOLERANCE, CAP_TOLERANCE = 0.002, 0.001
+
+
 def segment_rules(cap: float = 25.0) -> dict[str, Column]:
     """Row checks of segments: nulls, times, cap, text without letters, stage directions and labels left in the text."""
     c = F.col
     return {
         "nulls": c("audio.bytes").isNull() | c("text_original").isNull() | c("speaker_id").isNull() | c("avg_word_score").isNull(),
-        "bad_times": (c("end_s") <= c("start_s")) | (c("duration_s") <= 0) | (F.abs(c("duration_s") - (c("end_s") - c("start_s"))) > 0.002),
-        "over_cap": c("duration_s") > cap + 0.001,
-        "no_alphanumeric": ~c("text_original").rlike("[A-Za-z0-9]"),
-        "stage_leak": c("text_original").rlike(r"(?i)\((?:laughter|pause|nods|indicating|inaudible|crosstalk)"),
-        "label_leak": c("text_original").rlike(r"\b(?:CHIEF JUSTICE|JUSTICE|GENERAL|MRS?\.|MS\.) [A-Z]{3,}[A-Z'\-]*:"),
+        "bad_times": (c("end_s") <= c("start_s")) | (c("duration_s") <= 0) | (F.abs(c("duration_s") - (c("end_s") - c("start_s"))) > TIME_TOLERANCE),
+        "over_cap": c("duration_s") > cap + CAP_TOLERANCE,
+        "no_alphanumeric": ~c("text_original").rlike(ALPHANUMERIC),
+        "stage_leak": c("text_original").rlike(STAGE_LEAK),
+        "label_leak": c("text_original").rlike(LABEL_LEAK),
     }
 
 

@@ -13,7 +13,7 @@ from millrace.operators import joins as J
 from millrace.operators import sets as U
 from millrace.operators import windows as Wn
 from millrace.queries import Registry, sql_strip
-from millrace.session import read_table, spread
+from millrace.session import broadcast_if_small, read_table, spread
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -287,7 +287,7 @@ _FACTORS = f"""with z as (select m.source, weight, size from mixture_sources m j
 
 def _factors(spark: SparkSession, d: str) -> DataFrame:
     sizes = A.source_size(read_table(spark, d, "segments"), "source", "text_normalized")
-    return A.mixture_factors(sizes.join(F.broadcast(read_table(spark, d, "mixture_sources").where(~F.isnan("weight"))), "source"))
+    return A.mixture_factors(sizes.join(broadcast_if_small(read_table(spark, d, "mixture_sources").where(~F.isnan("weight"))), "source"))
 
 
 @query("select lang as source, coalesce(sum(length(text)), 0)::double as size from documents group by 1")
@@ -622,3 +622,13 @@ def content_marks(spark: SparkSession, d: str) -> DataFrame:
     """Marks of file types in binary content."""
     audio = read_table(spark, d, "segments").select("seg_row", F.col("audio.bytes").alias("b")).where("b is not null")
     return audio.select("seg_row", Fi.is_jpeg(F.col("b")).alias("jpeg"), Fi.starts_with_bytes(F.col("b"), b"RIFF").alias("wave"), Fi.contains_bytes(F.col("b"), b"\x00\x00").alias("zeros"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as w from embeddings), f as (select vec_id, w, unnest(generate_series(0, len(w) - 8, 3)) as s from e),
+         p as (select vec_id, 10 * log10(greatest(list_avg(list_transform(w[s + 1 : s + 8], lambda x: x * x)), 1e-10)) as db from f), m as (select *, db > max(db) over (partition by vec_id) - 6 as near, db > max(db) over (partition by vec_id) - 35 as active from p),
+         q as (select vec_id, avg(case when active then 1.0 else 0.0 end) as active, quantile_cont(case when active then db end, 0.5) - quantile_cont(db, 0.1) as snr from m group by 1)
+    select e.vec_id from e join q using (vec_id) where 10 * log10(greatest(list_avg(list_transform(w, lambda x: x * x)), 1e-10)) >= -40 and q.active >= 0.3 and q.snr >= 1.5 and len(list_filter(w, lambda x: abs(x) >= 0.999)) / len(w) <= 0.01""")
+def audio_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Waveforms that are loud, active and clean enough."""
+    e = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    return Fi.prune_audio_quality(e, "w", 320, min_snr=1.5).select("vec_id")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import multimodal, spoken, visual
+from millrace.functions import dates, multimodal, spoken, visual
 from millrace.functions import text as X
 from millrace.functions import urls
 from millrace.operators import lineage as L
@@ -192,7 +192,26 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
 def date_windows(spark: SparkSession, d: str) -> DataFrame:
     """Month windows and stamps of dates."""
     o = read_table(spark, d, "orders")
-    return o.select("o_orderkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.last_day(F.col("o_orderdate").cast("date")).alias("month_end"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
+    first, last = dates.month_window(F.col("o_orderdate"))
+    return o.select("o_orderkey", first.alias("month"), last.alias("month_end"), dates.stamp(F.col("o_orderdate")).alias("stamp"))
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey % 100 when 1 then greatest(0, epoch(o_orderdate)::bigint - epoch(timestamp '1995-06-01')::bigint) end as seconds from orders""")
+def retry_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """Pauses that servers ask for, in seconds or by a date."""
+    o = read_table(spark, d, "orders")
+    kind, at = F.col("o_orderkey") % 3, F.col("o_orderdate").cast("timestamp")
+    header = F.when(kind == 0, (F.col("o_orderkey") % 100).cast("string")).when(kind == 1, F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise("soon")
+    return o.select("o_orderkey", dates.retry_after(header, F.lit("1995-06-01").cast("timestamp")).alias("seconds"))
+
+
+@query("""with c as (select docket, date_argued as a, least(date_argued + 100, date '2030-06-15') as b from argued_cases where date_argued is not null and docket is not null), m as (select docket, a, b, unnest(generate_series(date_trunc('month', a)::timestamp, date_trunc('month', b)::timestamp, interval 1 month))::date as m from c where a <= b)
+    select docket, greatest(m, a) as start, least(last_day(m), b) as "end" from m""")
+def month_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of months between two dates."""
+    c = read_table(spark, d, "argued_cases").where("date_argued is not null and docket is not null")
+    w = dates.windows_of_months(F.col("date_argued"), F.least(F.date_add("date_argued", 100), F.lit("2030-06-15").cast("date")))
+    return c.select("docket", F.explode(w).alias("w")).select("docket", "w.start", "w.end")
 
 
 @query()
