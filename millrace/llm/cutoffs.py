@@ -9,6 +9,7 @@ left, counted by value, the k-th best is exact, with all its ties. Nothing is so
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,8 +73,8 @@ def kth_best(records: DataFrame, wanted: dict, source: str = "source") -> dict:
                 inside[s] = (r["l"], r["h"], below, r["n"])
         if not proved:
             error *= 4
-            if error > 1:  # no sketch helps: what is inside is taken as it is
-                break
+            if error > 1:  # no sketch helps: halve the values instead, which always narrows
+                _halve(inside, wanted, bracketed, open_, source, kind)
     values = bracketed(list(inside)).groupBy(source, "badness").agg(F.count("*").alias("ties"))
     rank = spark.createDataFrame([(s, wanted[s], b[2]) for s, b in inside.items()], f"{source} {kind}, k long, below long")
     before = F.sum("ties").over(W.partitionBy(source).orderBy("badness")) - F.col("ties") + F.col("below")
@@ -81,6 +82,25 @@ def kth_best(records: DataFrame, wanted: dict, source: str = "source") -> dict:
     return {r[source]: (r["badness"], r["better"], r["ties"]) for r in found.collect()}
 
 
+def _halve(inside: dict, wanted: dict, bracketed: Callable[[list], DataFrame], open_: list, source: str, kind: str) -> None:
+    """Narrow each bracket to the half of its values that holds the wanted rank, by one count."""
+    middle = {s: inside[s][0] / 2 + inside[s][1] / 2 for s in open_ if all(map(math.isfinite, inside[s][:2]))}
+    unbounded = [s for s in open_ if s not in middle]
+    if unbounded:
+        for r in bracketed(unbounded).groupBy(source).agg(F.min("badness").alias("lo"), F.max("badness").alias("hi"), F.count("*").alias("n")).collect():
+            inside[r[source]] = (r["lo"], r["hi"], 0, r["n"])
+    middle = {s: min(max(m, inside[s][0]), math.nextafter(inside[s][1], -math.inf)) for s, m in middle.items()}
+    if not middle:
+        return
+    rows = bracketed(list(middle))
+    at = F.broadcast(rows.sparkSession.createDataFrame(list(middle.items()), f"{source} {kind}, middle double"))
+    counted = rows.join(at, source).groupBy(source).agg(F.count_if(F.col("badness") <= F.col("middle")).alias("n"), F.max(F.when(F.col("badness") <= F.col("middle"), F.col("badness"))).alias("top"), F.min(F.when(F.col("badness") > F.col("middle"), F.col("badness"))).alias("least"), F.count("*").alias("all"))
+    for r in counted.collect():
+        s = r[source]
+        lo, hi, below, _ = inside[s]
+        inside[s] = (lo, r["top"], below, r["n"]) if wanted[s] <= below + r["n"] else (r["least"], hi, below + r["n"], r["all"] - r["n"])
+
+
 def cutoffs(records: DataFrame, sources: DataFrame, better: dict[str, str], source: str = "source") -> DataFrame:
     """One row per listed source with records: cutoff, records, the number to keep, really kept, and tied at the cutoff.
 

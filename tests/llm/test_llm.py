@@ -324,6 +324,19 @@ def test_cutoffs_are_exact_with_ties(spark, monkeypatch, look):
     assert beyond == want
 
 
+def test_cutoffs_by_halves(spark, monkeypatch):
+    """Where no sketch narrows a bracket, halving does, down to ties that exceed the look."""
+    monkeypatch.setattr(cutoffs, "LOOK", 3)
+    monkeypatch.setattr(cutoffs, "RANK_ERROR", 2.0)
+    rng = random.Random(8)
+    rows = [(f"{s}{i}", s, float(rng.choice([rng.gauss(0, 1e6), 0.5, 0.5, -7.0, 1e-300]))) for s in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, source int, badness double")
+    got = cutoffs.kth_best(df, {1: 100, 2: 299})
+    for s, k in ((1, 100), (2, 299)):
+        own = sorted(b for _, x, b in rows if x == s)
+        assert got[s] == (own[k - 1], sum(b < own[k - 1] for b in own), own.count(own[k - 1]))
+
+
 def test_cutoffs_at_the_ends(spark):
     df, sources, _ = cutoff_input(spark, 50)
     for pct, kept in ((0, 0), (100, 50), (None, 50), (-5, 0), (300, 50)):
