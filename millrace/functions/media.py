@@ -14,7 +14,9 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import TaskContext
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,20 @@ def kernel(name: str, load: Callable[[], Any], run: Callable[[Any, pd.Series], p
     return apply
 
 
+def device_batches(df: DataFrame, run: Callable[[str | None, pd.DataFrame], pd.DataFrame], schema: str, devices: float = 0.0, resource: str = "gpu") -> DataFrame:
+    """Batches through a function of (device, batch). With `devices` each task asks for that share of a device by a resource profile, and gets the address that Spark gave it; without, tasks run anywhere with no device."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = TaskContext.get().resources().get(resource) if devices else None
+        for frame in frames:
+            yield run(held.addresses[0] if held else None, frame)
+
+    if not devices:
+        return df.mapInPandas(batches, schema)
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource(resource, devices)).build
+    return df.mapInPandas(batches, schema, profile=profile)
+
+
 def _wav_seconds(data: bytes | None) -> float | None:
     if not data:
         return None

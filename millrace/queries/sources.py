@@ -15,6 +15,7 @@ from millrace.operators import aggregates as A
 from millrace.operators import joins as J
 from millrace.operators import lineage as L
 from millrace.operators import records as R
+from millrace.operators import sampling as S
 from millrace.queries import Registry
 from millrace.session import read_table, shared_folder
 from millrace.sources import files, paged, sinks
@@ -253,7 +254,7 @@ def cached_splits(spark: SparkSession, d: str) -> DataFrame:
     return sinks.cached(spark, at, build).select("n_nationkey", "n_name", "split")
 
 
-@query("select text_normalized as text, count(*)::varchar as n from segments where text_normalized <> '' and not regexp_matches(text_normalized, '[\t\r\n]') group by 1".replace("\\", "\\"))
+@query("select text_normalized as text, count(*)::varchar as n from segments where text_normalized <> '' and not regexp_matches(text_normalized, '[\t\r\n]') group by 1")
 def frequency_table(spark: SparkSession, d: str) -> DataFrame:
     """Text counts written with tabs and read back as text."""
     at = _folder(spark)
@@ -315,6 +316,61 @@ def spoken_dates(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", spoken.normalise(written).alias("said"))
 
 
+_ORDINALS = "['ZEROTH', 'FIRST', 'SECOND', 'THIRD', 'FOURTH', 'FIFTH', 'SIXTH', 'SEVENTH', 'EIGHTH', 'NINTH', 'TENTH', 'ELEVENTH', 'TWELFTH', 'THIRTEENTH', 'FOURTEENTH', 'FIFTEENTH', 'SIXTEENTH', 'SEVENTEENTH', 'EIGHTEENTH', 'NINETEENTH']"
+
+
+@query(f"""with d as (select o_orderkey, day(o_orderdate) as n from orders)
+    select o_orderkey, case when n < 20 then {_ORDINALS}[n + 1] when n % 10 = 0 then case n when 20 then 'TWENTIETH' else 'THIRTIETH' end else {_TENS}[n // 10 - 1] || ' ' || {_ORDINALS}[n % 10 + 1] end as said from d""")
+def spoken_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Days as ordinals."""
+    n = F.dayofmonth("o_orderdate")
+    end = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+    return read_table(spark, d, "orders").select("o_orderkey", spoken.normalise(F.concat(n.cast("string"), end)).alias("said"))
+
+
+@query(f"""with k as (select distinct docket, regexp_extract(docket, '^(\\d{{1,2}})-', 1)::int as a, regexp_extract(docket, '-(\\d{{3,4}})$', 1)::int as b from argued_cases where regexp_full_match(docket, '\\d{{1,2}}-\\d{{3,4}}'))
+    select docket, ({_UNDER_100.format('a')}) || ' ' || ({_UNDER_100.format('(b // 100)')}) || ' ' || case when b % 100 = 0 then 'HUNDRED' when b % 100 < 10 then 'OH ' || {_SMALL}[b % 100 + 1] else ({_UNDER_100.format('(b % 100)')}) end as said from k where b >= 100""")
+def spoken_dockets(spark: SparkSession, d: str) -> DataFrame:
+    """Dockets as the court reads them: in pairs."""
+    cases = read_table(spark, d, "argued_cases").where(F.col("docket").rlike("^[0-9]{1,2}-[1-9][0-9]{2,3}$")).select("docket").distinct()
+    return cases.select("docket", spoken.normalise_court(F.col("docket")).alias("said"))
+
+
+@query(f"""with n as (select p_partkey, 100 + p_size as n from part), r as (select p_partkey, n, 'ONE HUNDRED' || case when n = 100 then '' else ' ' || ({_UNDER_100.format('(n - 100)')}) end as usual,
+         'ONE ' || case when n = 100 then 'HUNDRED' when n < 110 then 'OH ' || {_SMALL}[n - 99] else ({_UNDER_100.format('(n - 100)')}) end as pairs, 'ONE ' || {_SMALL}[(n - 100) // 10 + 1] || ' ' || {_SMALL}[n % 10 + 1] as digits from n)
+    select p_partkey, [string_split(usual, ' '), string_split(pairs, ' '), string_split(digits, ' ')] as readings from r""")
+def number_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """All readings of numbers of three digits."""
+    return read_table(spark, d, "part").select("p_partkey", spoken.token_readings((F.col("p_size") + 100).cast("string"), F.lit(None).cast("string")).alias("readings"))
+
+
+@query(r"""with w as (select meta_row, title, regexp_extract_all(title, '([A-Za-z][A-Za-z''\-]*|\d+(?:st|nd|rd|th)?s?)', 1) as w from media_metadata where title <> ''),
+         k as (select *, list_transform(w, lambda x: case when lower(x) in ('bridge', 'lamp', 'portrait', 'vase', 'engraving', 'curved') then 1.0 when lower(x) in ('is', 'are', 'has', 'have', 'sits', 'stands', 'hangs', 'rests', 'covers', 'surrounds', 'unify', 'unifies') then 0.5
+                when regexp_full_match(lower(x), '(?:1[0-9]{3}|20[0-2][0-9])s?') then -1.5 when lower(x) in ('war', 'died', 'historic') then -1.0 when lower(x) in ('he', 'she', 'they', 'who', 'him', 'whom') then -1.0 when lower(x) in ('his', 'her', 'their', 'them', 'whose') then -0.5
+                when ends_with(lower(x), 'ed') and length(x) > 4 then -0.5 end) as k from w)
+    select meta_row, round((coalesce(list_sum(k), 0) - 0.5 * least(3, len(list_filter(w, lambda x, i: i > 1 and regexp_matches(x, '^[A-Z]') and k[i] is null))) - len(regexp_extract_all(title, '(?i)\b\d+(?:st|nd|rd|th)[- ]century\b')))::double, 6) as weight, len(w)::int as words from k""")
+def visual_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Visual less historic weight of titles."""
+    rules = visual.VisualText(["bridge", "lamp", "portrait", "vase", "engraving", "curved"], ["war", "died", "historic"])
+    m = read_table(spark, d, "media_metadata").where("title <> ''").select("meta_row", rules.weighed(F.col("title")).alias("v"))
+    return m.select("meta_row", F.round("v.weight", 6).alias("weight"), F.col("v.words").alias("words"))
+
+
+@query("""select 'image' as kind, meta_row as row, (width // 16) * (height // 16) + 2 + 1 as length from media_metadata where width is not null and height is not null union all select 'voice', vec_id, cast(ceil(len(embedding) / 3) as bigint) + 2 + 1 from embeddings""")
+def media_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of rows with images and with voice units."""
+    m = read_table(spark, d, "media_metadata").where("width is not null and height is not null").select(F.lit("image").alias("kind"), F.col("meta_row").alias("row"), S.estimated_length("image", height=F.col("height"), width=F.col("width"), patch=16).alias("length"))
+    v = read_table(spark, d, "embeddings").select(F.lit("voice").alias("kind"), F.col("vec_id").alias("row"), S.estimated_length("voice", units=F.col("embedding"), stretch=3).alias("length"))
+    return m.union(v)
+
+
+@query("select doc_id, length(text) as n from documents where text is not null")
+def device_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches through a function that is told its device."""
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return media.device_batches(docs, lambda device, b: b.assign(n=b["text"].str.len())[["doc_id", "n"]], "doc_id long, n long")
+
+
 @query(r"""with t as (select distinct unnest(regexp_split_to_array(text, '[ \t\r\n]+')) as token from documents), c as (select token, regexp_replace(token, '["'')]+$', '') as core from t),
          b as (select *, upper(regexp_replace(regexp_replace(core, '^[("'']+', ''), '\.+$', '')) as base from c)
     select token, regexp_matches(core, '[.?!]$') and not (ends_with(core, '.') and (base in ('MR', 'MRS', 'MS', 'DR', 'ST', 'LT', 'JR', 'GEN', 'V', 'VS') or regexp_full_match(base, '\p{L}'))) as ends from b""")
