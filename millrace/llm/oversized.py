@@ -15,16 +15,16 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import bounded_rows
+from millrace.session import bounded_rows, cut, drop
 
-# English abbreviations by what their full stop can mean.
+# English abbreviations by what their full stop can mean; the corpus adds its own (`learn_habits`).
 #: before a name or a word of the same sentence: never an end
 TITLES = "mr mrs ms dr prof st rev hon gen col capt lt sgt gov sen rep messrs mme mlle fr sr. adm cmdr maj pres supt v vs cf viz approx ca e.g i.e al".split()
 #: before a number: no end there
@@ -47,8 +47,43 @@ _LETTERS_BACK = re.compile(r"[^\W\d_]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def sentence_ends(text: str | None) -> list[int]:
-    """Places where one sentence ends and another begins: characters up to and including the last mark, with what closes there. The last sentence's end isn't one."""
+class Habits:
+    """What a corpus shows of its words: those that it mostly writes small inside sentences (with a capital they begin one), those that it doesn't, and those whose full stop often stands inside a sentence."""
+
+    def __init__(self, small: Iterable[str] = (), names: Iterable[str] = (), stopped: Iterable[str] = ()):
+        self.small, self.names, self.stopped = frozenset(small), frozenset(names), frozenset(stopped)
+
+
+#: A word counts from this share of all words and `SEEN` times on, so at most 1 / RARE are kept; share of its full stops inside sentences that makes a word an abbreviation.
+RARE, SEEN, INSIDE = 1e-6, 5, 0.3
+
+
+def learn_habits(texts: DataFrame, text: str = "text") -> Habits:
+    """The habits of all texts, by one pass on the JVM: words between white space, without quote marks and brackets around them."""
+    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[\"'“‘«(\[{]+|[\"'’”»)\]},;:]+$", ""))
+    at = texts.where(F.col(text).isNotNull()).select(F.posexplode(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("w"), F.slice(words, 2, F.size(words)).alias("next")))).select("col.w", "col.next")
+    ended = F.col("w").rlike(r"[.!?…][\"'’”»)\]}]*$")
+    # the word after one that ends nothing stands inside a sentence
+    inside = at.where(~ended & F.col("next").rlike(r"^\p{L}+$")).select(F.lower("next").alias("word"), F.col("next").rlike(r"^\p{Ll}").cast("int").alias("small"), F.lit(1).alias("seen"), F.lit(0).alias("stops"), F.lit(0).alias("stops_inside"))
+    stop = at.where(F.col("w").rlike(r"^\p{L}[\p{L}.]*\.$") & (F.col("next") != "")).select(F.regexp_replace(F.lower("w"), r"\.$", "").alias("word"), F.lit(0).alias("small"), F.lit(0).alias("seen"), F.lit(1).alias("stops"), F.col("next").rlike(r"^\p{Ll}").cast("int").alias("stops_inside"))
+    counts = inside.unionAll(stop).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("small", "seen", "stops", "stops_inside")])
+    kept = cut(counts.where((F.col("seen") >= SEEN) | ((F.col("stops") >= SEEN) & (F.col("stops_inside") >= INSIDE * F.col("stops")))))
+    n = kept.agg(F.sum("seen")).first()[0] or 0
+    rows = kept.where((F.col("seen") >= RARE * n) | (F.col("stops") >= RARE * n)).collect()
+    drop(kept)
+    common = [r for r in rows if r["seen"] >= SEEN]
+    return Habits(
+        (r["word"] for r in common if r["small"] > r["seen"] / 2), (r["word"] for r in common if r["small"] <= r["seen"] / 2),
+        (r["word"] for r in rows if r["stops"] >= SEEN and r["stops_inside"] >= INSIDE * r["stops"]),
+    )
+
+
+def sentence_ends(text: str | None, habits: Habits | None = None) -> list[int]:
+    """Places where one sentence ends and another begins: characters up to and including the last mark, with what closes there. The last sentence's end isn't one.
+
+    Whether a word after an abbreviation begins a sentence is told by the habits of the corpus, and by the fixed list of usual first
+    words where the corpus is silent; abbreviations are the fixed ones and those of the corpus.
+    """
     if not text:
         return []
     out: list[int] = []
@@ -107,10 +142,10 @@ def sentence_ends(text: str | None) -> list[int]:
             if closed == end:
                 if low in TITLES or (after.isdigit() and low in NUMBERED):
                     continue
-                if not dotted and len(part) == 1 and part.isalpha() and part.isupper() and after.isupper() and not _starter(text, at, pronoun=part == "I"):
+                if not dotted and len(part) == 1 and part.isalpha() and part.isupper() and after.isupper() and not _starter(text, at, habits, pronoun=part == "I"):
                     continue
                 lettered = dotted and was_initials and len(part) == 1 and part.isalpha()
-                if (low in EITHER or lettered) and not (after in OPENERS or _starter(text, at)):
+                if (low in EITHER or lettered or (habits is not None and low in habits.stopped)) and not (after in OPENERS or _starter(text, at, habits)):
                     continue
             if start == token:
                 near = start
@@ -124,19 +159,24 @@ def sentence_ends(text: str | None) -> list[int]:
     return out
 
 
-def _starter(text: str, at: int, pronoun: bool = True) -> bool:
-    """Whether a usual first word of a sentence stands here. After an initial it takes more than one: initials stand before names."""
+def _starter(text: str, at: int, habits: Habits | None, pronoun: bool = True) -> bool:
+    """Whether a word stands here that begins a sentence if it has a capital. After an initial it takes more than one: initials stand before names."""
     m = _LETTERS.match(text, at)
-    return bool(m and m.group().lower() in STARTERS and len(m.group()) > 1 and pronoun)
+    if m is None or len(m.group()) == 1 or not pronoun:
+        return False
+    word = m.group().lower()
+    if habits is not None and (word in habits.small or word in habits.names):
+        return word in habits.small
+    return word in STARTERS
 
 
-def boundaries(text: str | None) -> list[tuple[int, int]]:
+def boundaries(text: str | None, habits: Habits | None = None) -> list[tuple[int, int]]:
     """(place, strength) in order: 3 end of a sentence, 2 of a clause, 1 of a word."""
     if not text:
         return []
     found = {m.start(): 1 for m in SPACE.finditer(text)}
     found |= {m.end(): 2 for m in CLAUSE.finditer(text)}
-    found |= dict.fromkeys(sentence_ends(text), 3)
+    found |= dict.fromkeys(sentence_ends(text, habits), 3)
     found.pop(0, None)
     found.pop(len(text), None)
     return sorted(found.items())
@@ -217,14 +257,14 @@ def cuts_of(bounds: list[tuple[int, int]], size: int, length: float, limit: floa
     return weighed if weighed is not None and weak(weighed) < weak(cuts) else cuts
 
 
-def pieces_of(text: str | None, length: float, limit: float, overlap: float) -> list[tuple[str | None, float, float, list[int]]]:
+def pieces_of(text: str | None, length: float, limit: float, overlap: float, habits: Habits | None = None) -> list[tuple[str | None, float, float, list[int]]]:
     """(text, start, end, ends of sentences) of the pieces, in seconds from the item's start; time runs evenly over the characters.
 
     No piece is longer than the limit. The ends of sentences are places in the item's text, each given with the piece it
     lies in, up to and including its last character. An overlap that isn't below half the limit counts as half of it. An
     item within the limit is one piece. Text that is null or empty is cut by time alone and stays as it is.
     """
-    bounds = boundaries(text)
+    bounds = boundaries(text, habits)
     ends = [p for p, s in bounds if s == 3]
     if not length > limit:
         return [(text, 0.0, length, ends)]
@@ -267,22 +307,26 @@ def split_oversized(df: DataFrame, sources: DataFrame, key: str = "id") -> DataF
     it lies in. A record of infinite length comes as one piece per sentence without times.
     """
 
+    records = cut(oversized_records(df, sources, key))
+    shared = df.sparkSession.sparkContext.broadcast(learn_habits(records))
+
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        habits = shared.value
         for batch in batches:
             rows = []
             for k, text, begins, length, limit, overlap in batch.itertuples(index=False):
                 text = None if text is None or text != text else text
                 if math.isinf(length):
-                    at = [0, *sentence_ends(text), len(text or "")]
+                    at = [0, *sentence_ends(text, habits), len(text or "")]
                     parts = [(text[a:b].strip() if text else text, None, None, [b] if b < at[-1] else []) for a, b in zip(at, at[1:], strict=False)]
                 else:
                     base = begins if math.isfinite(begins) else 0.0
-                    parts = [(t, base + a, base + b, e) for t, a, b, e in pieces_of(text, length, limit, overlap)]
+                    parts = [(t, base + a, base + b, e) for t, a, b, e in pieces_of(text, length, limit, overlap, habits)]
                 rows += [(k, i, len(parts), *p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["k", "piece", "n_pieces", "text", "start_s", "end_s", "sentence_ends"]).astype({"start_s": "float64", "end_s": "float64"}).rename(columns={"k": key})
 
     kind = df.schema[key].dataType.simpleString()
-    return oversized_records(df, sources, key).mapInPandas(cut_up, f"{key} {kind}, piece int, n_pieces int, text string, start_s double, end_s double, sentence_ends array<int>")
+    return records.mapInPandas(cut_up, f"{key} {kind}, piece int, n_pieces int, text string, start_s double, end_s double, sentence_ends array<int>")
 
 
 def record_boundaries(df: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:

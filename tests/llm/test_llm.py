@@ -520,6 +520,20 @@ def test_layout_doesnt_count():
     assert reading_level.sentences("") == []
 
 
+def test_habits_of_a_corpus(spark):
+    """An abbreviation that no list holds, and first words that the corpus writes small, decide where the lists are silent."""
+    texts = ["We saw abt. ten ships and glimmering lights."] * 4 + ["They were abt. half done, glimmering lights or not, said Zorro."] * 4 + ["Ships came, and Zorro left. Glimmering lights shone."] * 4 + [None, ""]
+    df = spark.createDataFrame([(t, "x") for t in texts], "text string, word string")
+    habits = oversized.learn_habits(df)
+    assert "abt" in habits.stopped and "glimmering" in habits.small and "zorro" in habits.names
+    text = "It cost abt. Zorro knew. He met Mr. Bo Inc. Glimmering ships. We met Ada Inc. Zorro too."
+    ends = lambda h: [text[:e].split()[-1] for e in oversized.sentence_ends(text, h)]
+    assert ends(None) == ["abt.", "knew.", "ships."]
+    assert ends(habits) == ["knew.", "Inc.", "ships."]
+    none = oversized.learn_habits(df.limit(0))
+    assert not none.small and not none.stopped
+
+
 def test_targets_are_balanced():
     """Ends of sentences stand beside the start and the end alone; the piece is cut at the comma nearest its middle."""
     text = "Yes. " + "the dog ran along the shore, " * 40 + "and home. Ok"
