@@ -522,7 +522,7 @@ def test_layout_doesnt_count():
 
 def test_habits_of_a_corpus(spark):
     """An abbreviation that no list holds, and first words that the corpus writes small, decide where the lists are silent."""
-    texts = ["We saw abt. ten ships and glimmering lights."] * 4 + ["They were abt. half done, glimmering lights or not, said Zorro."] * 4 + ["Ships came, and Zorro left. Glimmering lights shone."] * 4 + [None, ""]
+    texts = ["We saw abt. ten ships and glimmering lights."] * 6 + ["They were abt. half done, glimmering lights or not, said Zorro."] * 4 + ["Ships came, and Zorro left. Glimmering lights shone."] * 6 + [None, ""]
     df = spark.createDataFrame([(t, "x") for t in texts], "text string, word string")
     habits = oversized.learn_habits(df)
     assert "abt" in habits.stopped and "glimmering" in habits.small and "zorro" in habits.names
