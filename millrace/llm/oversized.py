@@ -60,13 +60,22 @@ RARE, SEEN, INSIDE = 1e-6, 5, 0.3
 
 def learn_habits(texts: DataFrame, text: str = "text") -> Habits:
     """The habits of all texts, by one pass on the JVM: words between white space, without quote marks and brackets around them."""
-    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[\"'“‘«(\[{]+|[\"'’”»)\]},;:]+$", ""))
-    at = texts.where(F.col(text).isNotNull()).select(F.posexplode(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("w"), F.slice(words, 2, F.size(words)).alias("next")))).select("col.w", "col.next")
-    ended = F.col("w").rlike(r"[.!?…][\"'’”»)\]}]*$")
+    bare = F.regexp_replace(F.col(text), r"(?<![^\s])[\"'“‘«(\[{]+|[\"'’”»)\]},;:]+(?![^\s])", "")
+    split = texts.where(F.col(text).isNotNull()).select(F.split(bare, r"\s+").alias("ws"))
+    at = split.select(F.explode(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("w"), F.slice("ws", 2, F.size("ws")).alias("next"))).alias("p")).select("p.w", "p.next")
+    last = F.right("w", F.lit(1))
+    ended = last.isin(".", "!", "?", "…")
     # the word after one that ends nothing stands inside a sentence
-    inside = at.where(~ended & F.col("next").rlike(r"^\p{L}+$")).select(F.lower("next").alias("word"), F.col("next").rlike(r"^\p{Ll}").cast("int").alias("small"), F.lit(1).alias("seen"), F.lit(0).alias("stops"), F.lit(0).alias("stops_inside"))
-    stop = at.where(F.col("w").rlike(r"^\p{L}[\p{L}.]*\.$") & (F.col("next") != "")).select(F.regexp_replace(F.lower("w"), r"\.$", "").alias("word"), F.lit(0).alias("small"), F.lit(0).alias("seen"), F.lit(1).alias("stops"), F.col("next").rlike(r"^\p{Ll}").cast("int").alias("stops_inside"))
-    counts = inside.unionAll(stop).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("small", "seen", "stops", "stops_inside")])
+    first = F.left("next", F.lit(1))
+    small = ((first == F.lower(first)) & (first != F.upper(first))).cast("int")
+    none = F.lit(0)
+    # one row for each word that stands inside a sentence or has a full stop, so the texts are read once
+    row = F.when(last == ".", F.struct(F.expr("left(w, length(w) - 1)").alias("word"), none.alias("small"), none.alias("seen"), F.lit(1).alias("stops"), small.alias("stops_inside")))
+    row = row.when(~ended, F.struct(F.col("next").alias("word"), small.alias("small"), F.lit(1).alias("seen"), none.alias("stops"), none.alias("stops_inside")))
+    # words as written are counted first: few of them are left to be looked at by patterns
+    written = at.where("next <> ''").select(row.alias("r")).where("r is not null").groupBy("r.word").agg(*[F.sum(F.col(f"r.{c}")).alias(c) for c in ("small", "seen", "stops", "stops_inside")])
+    listed = written.where(F.col("word").rlike(r"^\p{L}+$") | ((F.col("stops") > 0) & F.col("word").rlike(r"^\p{L}[\p{L}.]*$")))
+    counts = listed.groupBy(F.lower("word").alias("word")).agg(*[F.sum(c).alias(c) for c in ("small", "seen", "stops", "stops_inside")])
     kept = cut(counts.where((F.col("seen") >= SEEN) | ((F.col("stops") >= SEEN) & (F.col("stops_inside") >= INSIDE * F.col("stops")))))
     n = kept.agg(F.sum("seen")).first()[0] or 0
     rows = kept.where((F.col("seen") >= RARE * n) | (F.col("stops") >= RARE * n)).collect()
