@@ -4,7 +4,8 @@ Records and the entities they name form a bipartite graph; its connected compone
 split. Labels run over the graph by minimum: a record takes the least label of its entities, an entity the least label of
 its records, and each round also hooks the label an entity had before and jumps to the label of the label, so a chain of
 n links takes about log n rounds. A record that names one entity joins nothing, so only records with two or more
-entities (links, co-authors) enter the rounds; the large table of records meets the result in a single join.
+entities (links, co-authors) enter the rounds; the large table of records meets the result in a single join. A hub that many links name, and the label
+that a large component shares, are hot keys of the rounds: their rows are joined by broadcast.
 
 Components few enough are broadcast to the rows. Otherwise rows that name nobody are set apart before the join, and as one entity
 may hold a third of the others, they are spread over `SALTS` parts of their entity and the components repeated in each.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from millrace.session import BROADCAST_BYTES, bounded_rows, cut, drop
 
 ITEMS, CELLS, SALTS = 2048, 256, 32
+#: An entity with more links, or a label with more entities, is joined by broadcast; there are at most all / HOT.
+HOT = 1_000_000
 
 
 def entity_key(name: Column) -> Column:
@@ -34,19 +37,36 @@ def entity_key(name: Column) -> Column:
     return F.when((key != "") & ~key.rlike("(^|:)unknown$"), key)
 
 
+def _hot(rows: DataFrame, key: str, n: int) -> DataFrame | None:
+    """The values of `key` with more than `HOT` of the n rows, at most n / HOT of them; None if there can be none."""
+    if n <= HOT:
+        return None
+    return F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(key))
+
+
+def _join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join to a table of unique keys; the rows of hot keys stay where they are and get theirs by broadcast."""
+    if hot is None:
+        return left.join(right, key)
+    few = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return few.unionByName(left.join(hot, key, "left_anti").join(right, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(entity, component) of the bipartite graph with edges (record, entity): component is the least entity reached. Nulls relate nothing; repeated and self-referring records are harmless; no edges give no rows."""
     edges = edges.where("record is not null and entity is not null").select("record", "entity").distinct()
     several = edges.groupBy("record").count().where("count > 1").select("record")
     edges = cut(edges.join(several, "record", "left_semi"))
     labels = state = cut(edges.select("entity", F.col("entity").alias("label")).distinct())
+    n_edges, n_labels = edges.count(), labels.count()
+    hubs = _hot(edges, "entity", n_edges)
     while True:
-        by_record = edges.join(labels, "entity").groupBy("record").agg(F.min("label").alias("label"))
+        by_record = _join_unique(edges, labels, "entity", hubs).groupBy("record").agg(F.min("label").alias("label"))
         by_entity = edges.join(by_record, "record").groupBy("entity").agg(F.min("label").alias("least"))
         met = labels.join(by_entity, "entity").select("entity", "label", "least")
         hooked = met.select("entity", "least").union(met.select(F.col("label").alias("entity"), "least")).groupBy("entity").agg(F.min("least").alias("least"))
         up = hooked.select(F.col("entity").alias("least"), F.col("least").alias("top"))
-        jumped = hooked.join(up, "least").select("entity", F.least("least", "top").alias("new"))
+        jumped = _join_unique(hooked, up, "least", _hot(hooked, "least", n_labels)).select("entity", F.least("least", "top").alias("new"))
         before, state = state, cut(labels.join(jumped, "entity").select("entity", "label", "new"))
         drop(before)
         labels = state.select("entity", F.col("new").alias("label"))

@@ -147,6 +147,15 @@ def test_components_equal_union_find(spark, seed):
     assert all(c == min(s) for c, s in got.items())
 
 
+def test_hubs_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(entity_splits, "HOT", 10)
+    edges = [(i, e) for i in range(60) for e in ("hub", f"s{i:02d}")] + [(100 + i, e) for i in range(30) for e in (f"c{i:02d}", f"c{i + 1:02d}")]
+    got = {}
+    for r in entity_splits.components(spark.createDataFrame(edges, "record int, entity string")).collect():
+        got.setdefault(r["component"], set()).add(r["entity"])
+    assert {k: len(v) for k, v in got.items()} == {"hub": 61, "c00": 31}
+
+
 def test_long_chain_in_few_rounds(spark):
     edges = [(i, f"{j:04d}") for i in range(300) for j in (i, i + 1)]
     random.Random(1).shuffle(edges)
