@@ -223,7 +223,7 @@ def test_hot_entities_are_salted(spark, monkeypatch):
     segments, links = split_input(spark)
     held = lambda: {r["seg_row"]: r["person"] for r in entity_splits.with_groups(segments, "speaker_id", links, "speaker_id", "same_as", "link_id", F.col("id"), "person").collect()}
     small = held()
-    monkeypatch.setattr(entity_splits, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(entity_splits, "BROADCAST_BYTES", -1)
     assert held() == small and len(small) == segments.count()
 
 
