@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tarfile
 from collections.abc import Iterator, Mapping, Sequence
@@ -192,9 +191,3 @@ def parse_ranges(text: str) -> list[int]:
         lo, _, hi = part.strip().partition("-")
         out += range(int(lo), int(hi or lo) + 1)
     return out
-
-
-def read_json(path: str) -> dict:
-    """A small JSON file of the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)

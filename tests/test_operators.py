@@ -649,3 +649,56 @@ def test_task_columns_and_constants(spark):
     assert rows(P.add_constants(df, {"c": "x"})) == [(1, "a", "t", 2, "x")]
     with pytest.raises(ValueError):
         P.add_constants(df, {"z": 1})
+
+
+def test_checks_and_bounds(spark):
+    from millrace.operators import validate as V
+
+    found = spark.createDataFrame([("a", 1)], "check string, k int")
+    with pytest.raises(ValueError, match="some"):
+        V.require_none({"some": found, "none": found.limit(0)})
+    V.require_none({"none": found.limit(0)})
+    rated = spark.createDataFrame([(10, 0.5, 0.0, None)], "n long, tiny double, slow double, fast double")
+    assert rows(V.broken_bounds(rated)) == [("tiny", 0.5, 0.01)] and V.broken_bounds(rated.withColumn("tiny", F.lit(0.0))).count() == 0
+
+
+def test_media_bytes(spark):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(b"\0\0" * 4000)
+    gif = b"GIF89a" + (3).to_bytes(2, "little") + (2).to_bytes(2, "little")
+    df = spark.createDataFrame([(0, bytearray(out.getvalue())), (1, bytearray(gif)), (2, bytearray(b"junk")), (3, None)], "k int, b binary").orderBy("k")
+    assert [r[0] for r in df.select(media.wav_seconds(F.col("b"))).collect()] == [0.5, None, None, None]
+    sizes = df.select(media.image_sizes(F.col("b")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in sizes] == [(None, None), (3, 2), (None, None), (None, None)]
+
+
+def test_small_rules(spark):
+    assert S.resume_at(iter([3, 2, 4]), 0) == (0, 0) and S.resume_at(iter([3, 2, 4]), 4) == (1, 1) and S.resume_at(iter([3]), 3) == (1, 0)
+    texts = spark.createDataFrame([("Café ÑANDÚ",), (None,)], "t string")
+    assert [r[0] for r in texts.select(X.plain_letters(F.col("t"))).collect()] == ["Cafe NANDU", None]
+    f0 = spark.createDataFrame([([0.0, 1.0, 2.718281828459045], 0.5, 0.5), ([1.0], 0.0, 0.0), (None, 1.0, 1.0)], "f array<double>, m double, s double")
+    got = [r[0] for r in A.z_scored_f0(f0, "f", "m", "s").select("f0_z").collect()]
+    assert got[0] == pytest.approx([0.0, -1.0, 1.0]) and got[1] == [None] and got[2] is None
+
+
+def test_checkpoints_are_deleted(spark):
+    from pathlib import Path
+
+    from millrace.session import cut, drop, sweep
+
+    a, b = cut(spark.range(3)), cut(spark.range(4))
+    held = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    n = len(list(held.iterdir()))
+    drop(a)
+    drop(b.select("id"))
+    drop(spark.range(3))
+    assert len(list(held.iterdir())) == n - 1 and b.count() == 4
+    sweep(spark)
+    assert not list(held.iterdir())
