@@ -12,7 +12,7 @@ from millrace.operators import filters as Fi
 from millrace.operators import joins as J
 from millrace.operators import sets as U
 from millrace.operators import windows as Wn
-from millrace.queries import Registry, sql_strip
+from millrace.queries import WHITE, Registry, sql_strip
 from millrace.session import broadcast_if_small, read_table, spread
 
 query = Registry()
@@ -335,7 +335,20 @@ def char_error_counts(spark: SparkSession, d: str) -> DataFrame:
     return low.groupBy("source").agg(F.sum(X.char_edits(F.col("h"), F.col("r"))).alias("char_edits"), F.sum("chars").alias("chars"))
 
 
-@query()
+# word edits in SQL: words as numbers, then the table of the edit distance row by row; a row's running least is a fold as well
+def _words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '{WHITE}+'), lambda x: x <> '')"
+
+
+_WORD_EDITS = f"""w as (select source, text_normalized, upper(text_original) as h, {_words('upper(text_original)')} as hw, {_words('text_normalized')} as rw from segments),
+    d as (select *, list_distinct(list_concat(hw, rw)) as vocabulary from w),
+    n as (select *, list_transform(hw, lambda x: [list_position(vocabulary, x)::int]) as hn, list_transform(rw, lambda x: list_position(vocabulary, x)::int) as rn, len(rw) as m from d),
+    e as (select *, list_reduce(hn, lambda row, x: list_transform(generate_series(0, m), lambda j: cast(j + list_min(list_transform(generate_series(0, j), lambda k: case when k = 0 then row[1] + 1 else least(row[k + 1] + 1, row[k] + case when rn[k] = x[1] then 0 else 1 end) - k end)) as int)), list_transform(generate_series(0, m), lambda j: cast(j as int)))[m + 1] as word_edits from n)"""
+
+
+@query(f"""with {_WORD_EDITS}, c as (select source, coalesce(word_edits, m) as word_edits, m as words, levenshtein({_BYTES.format('h').replace('lower(h)', 'h')}, {_BYTES.format('text_normalized').replace('lower(text_normalized)', 'text_normalized')}) as char_edits, coalesce(length(text_normalized), 0) as chars from e)
+    select source, grouping(source) = 1 as overall, cast(sum(word_edits) as bigint) as word_edits, cast(sum(words) as bigint) as words, cast(sum(char_edits) as bigint) as char_edits, cast(sum(chars) as bigint) as chars,
+           sum(word_edits) / nullif(sum(words), 0) as wer, sum(char_edits) / nullif(sum(chars), 0) as cer from c group by grouping sets ((), (source))""")
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Word and character error rates, overall and by source."""
     seg = spread(read_table(spark, d, "segments").select("source", "text_original", "text_normalized")).select("source", F.upper("text_original").alias("h"), F.col("text_normalized").alias("r"))

@@ -6,6 +6,7 @@ import io
 import tarfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from millrace.operators import joins as J
 from millrace.operators import lineage as L
 from millrace.operators import records as R
 from millrace.operators import sampling as S
+from millrace.operators import speech as Sp
 from millrace.queries import Registry
 from millrace.session import read_table, shared_folder
 from millrace.sources import files, paged, sinks
@@ -395,3 +397,28 @@ def placeholder_rows(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"voice": multimodal.Medium(70, 90, 91, 92, 1), "image": multimodal.Medium(80, 95, 96, 97, 2)}
     o = read_table(spark, d, "orders").select("o_orderkey", F.array(F.lit(1), F.lit(70), F.lit(2), F.lit(80)).alias("ids"), F.array((F.col("o_orderkey") % 4).cast("int")).alias("voice"), F.array(F.lit(2)).alias("image"))
     return multimodal.expand_placeholders(o, "ids", kinds, 99, made=["voice"]).select("o_orderkey", "input_ids", "modality_ids", "loss_mask", "n_positions")
+
+
+@query("select doc_id, lang, unnest(string_split(text, ' ')) as word from documents where text is not null")
+def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows replaced by several, whole batches at a time; only copied columns stay beside them."""
+    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "text")
+
+    def split(batch: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
+        words = batch["text"].str.split(" ")
+        rows = [i for i, w in enumerate(words) for _ in w]
+        return pd.DataFrame({"word": [x for w in words for x in w]}, dtype=object), rows
+
+    return Sp.replace_rows(docs, split, "word string", ["doc_id", "lang"]).select("doc_id", "lang", "word")
+
+
+@query("""select 'p' || n_regionkey || '_' || n_nationkey as id, 'p' || n_regionkey as speaker_id, n_name as text, m.microphone from nation, (select unnest(['mic1', 'mic2']) as microphone) m where m.microphone = 'mic2' or n_nationkey % 2 = 0""")
+def recordings_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of texts and recordings: a row for each recording that exists."""
+    at = _folder(spark)
+    for r in J.bounded_rows(read_table(spark, d, "nation"), 100, "nation"):
+        speaker, name = f"p{r['n_regionkey']}", f"p{r['n_regionkey']}_{r['n_nationkey']}"
+        sinks.write_bytes(spark, f" {r['n_name']}\n".encode(), f"{at}/txt/{speaker}/{name}.txt")
+        for mic in ("mic1", "mic2") if r["n_nationkey"] % 2 == 0 else ("mic2",):
+            sinks.write_bytes(spark, b"x", f"{at}/wav/{speaker}/{name}_{mic}.flac")
+    return files.directory_manifest(spark, at).drop("path")
