@@ -241,7 +241,27 @@ SEEN = "red blue green yellow black white gold silver dark bright wood metal gla
 TOLD = "born died war founded established served worked married donated gift purchased exhibited museum history known famous company century period during years family published award was were had would became began".split()
 
 
-@query()
+def _sql_list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+# a mark after an abbreviation or an initial gets a sign behind it (twice, as neighbours share their space), so no boundary is seen there
+_ABBREVIATED = rf"(?i)(^|\s)({'|'.join(x.replace('.', chr(92) + '.') for x in visual.ABBREVIATIONS)}|[a-z])([.!?])(\s)"
+_MARKED = f"regexp_replace(regexp_replace(para, '{_ABBREVIATED}', '\\1\\2\\3\x01\\4', 'g'), '{_ABBREVIATED}', '\\1\\2\\3\x01\\4', 'g')"
+_VISUAL = rf"""with p as (select meta_row, description, unnest(string_split(description, chr(10) || chr(10))) as para, generate_subscripts(string_split(description, chr(10) || chr(10)), 1) as pi from media_metadata where description <> ''),
+    c as (select meta_row, description, pi, string_split(regexp_replace({_MARKED}, '([.!?]["”’)]?)\s+(["“(]?[A-Z0-9])', '\1\x02\2', 'g'), chr(2)) as parts from p),
+    s as (select meta_row, description, pi, replace(trim(unnest(parts)), chr(1), '') as s, generate_subscripts(parts, 1) as si from c),
+    w as (select *, regexp_extract_all(s, '([A-Za-z][A-Za-z''\-]*|\d+(?:st|nd|rd|th)?s?)', 1) as w from s where s <> ''),
+    k as (select *, list_transform(w, lambda x: case when lower(x) in {_sql_list(SEEN)} then 1.0 when lower(x) in {_sql_list(visual.PRESENT)} then 0.5 when regexp_full_match(lower(x), '(?:1[0-9]{{3}}|20[0-2][0-9])s?') then -1.5 when lower(x) in {_sql_list(TOLD)} then -1.0
+            when lower(x) in {_sql_list(visual.STRONG_PRONOUNS)} then -1.0 when lower(x) in {_sql_list(visual.WEAK_PRONOUNS)} then -0.5 when ends_with(lower(x), 'ed') and length(x) > 4 then -0.5 end) as k from w),
+    t as (select meta_row, description, pi, si, s, len(w) as n, (coalesce(list_sum(k), 0) - 0.5 * least(3, len(list_filter(w, lambda x, i: i > 1 and regexp_matches(x, '^[A-Z]') and k[i] is null))) - len(regexp_extract_all(s, '(?i)\b\d+(?:st|nd|rd|th)[- ]century\b')))::double as x from k),
+    r as (select *, x / greatest(n, 1) as rate, sum(x) over (partition by meta_row, pi) / greatest(sum(n) over (partition by meta_row, pi), 1) as whole from t),
+    g as (select meta_row, pi, string_agg(s, ' ' order by si) as kept from r where case when whole > 0.05 then rate > -0.15 else rate >= 0.15 end group by all),
+    o as (select meta_row, string_agg(kept, chr(10) || chr(10) order by pi) as text from g group by 1)
+    select m.meta_row, o.text, case when m.description <> '' then least(coalesce(length(o.text), 0) / length(m.description), 1.0)::float end as retained from media_metadata m left join o using (meta_row)""".replace("\\x02", "\x02")
+
+
+@query(_VISUAL)
 def visual_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The visual sentences of the descriptions."""
     media = read_table(spark, d, "media_metadata").select("meta_row", visual.visual_text(F.col("description"), visual.VisualText(SEEN, TOLD)).alias("v"))
