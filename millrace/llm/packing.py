@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut
 
+#: Stripes of ranks of a length, by which an item finds its combination.
+STRIPES = 64
 BUCKET_ROWS = 50_000
 
 
@@ -99,10 +101,15 @@ def pack(df: DataFrame, key: str, length: str, capacity: int = 1024) -> DataFram
     sizes = items.groupBy("n", "bucket").count()
     ahead = sizes.select("n", "bucket", (F.sum("count").over(W.partitionBy("n").orderBy("bucket")) - F.col("count")).alias("ahead"))
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("n", "bucket").orderBy("key", "piece")) - 1).join(ahead, ["n", "bucket"])
-    # as many rows as combinations of at most `capacity` lengths: its size doesn't follow the items'
-    plan = spark.createDataFrame(slots, "n int, rank_from long, rank_to long, per_bin int, first_bin long, first_place int")
+    # as many rows as combinations of at most `capacity` lengths, and `STRIPES` more a length: its size doesn't follow the items'
+    widths = {n: -(-count // STRIPES) for n, count in counts.items()}
+    striped = [(s[0], stripe, *s[1:]) for s in slots for stripe in range(s[1] // widths[s[0]], (s[2] - 1) // widths[s[0]] + 1)]
+    plan = spark.createDataFrame(striped, "n int, stripe long, rank_from long, rank_to long, per_bin int, first_bin long, first_place int")
+    width = spark.createDataFrame(list(widths.items()), "n int, width long")
     rank = F.col("rank") + F.col("ahead")
-    placed = ranked.join(F.broadcast(plan), "n").where((rank >= F.col("rank_from")) & (rank < F.col("rank_to")))
+    ranked = ranked.join(F.broadcast(width), "n").withColumn("stripe", F.floor(rank / F.col("width")))
+    # an item meets the combinations of its stripe of ranks alone
+    placed = ranked.join(F.broadcast(plan), ["n", "stripe"]).where((rank >= F.col("rank_from")) & (rank < F.col("rank_to")))
     within = rank - F.col("rank_from")
     return placed.select(
         (F.col("first_bin") + F.floor(within / F.col("per_bin"))).cast("long").alias("bin"),
