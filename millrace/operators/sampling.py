@@ -61,14 +61,15 @@ def draw_weights(df: DataFrame, source: str, weights: Mapping[str, float], lengt
 
 
 def cropped_seconds(duration: Column, crop: float, most: int) -> Column:
-    """The seconds that crops of a clip cover: at most `most` whole crops, a shorter clip all of itself."""
+    """The seconds that crops of a clip cover: at most `most` whole crops, a shorter clip all of itself; null for a duration that isn't finite."""
     crops = F.least(F.greatest(F.floor(duration / crop), F.lit(1)), F.lit(most))
-    return F.when(duration >= crop, crops * crop).otherwise(duration)
+    finite = ~F.isnan(duration) & (F.abs(duration) < float("inf"))
+    return F.when(finite & (duration >= crop), crops * crop).when(finite, duration)
 
 
 def crop_probabilities(df: DataFrame, duration: str, crop: float, most: int, out: str = "probability") -> DataFrame:
-    """How likely a draw takes each clip: its cropped seconds by those of all; clips without a length above 0 have 0."""
-    seconds = F.when(col(duration) > 0, cropped_seconds(col(duration), crop, most)).otherwise(0.0)
+    """How likely a draw takes each clip: its cropped seconds by those of all; clips without a finite length above 0 have 0."""
+    seconds = F.when(col(duration) > 0, F.coalesce(cropped_seconds(col(duration), crop, most), F.lit(0.0))).otherwise(0.0)
     total = df.agg(F.sum(seconds).alias("__total"))
     return df.crossJoin(F.broadcast(total)).withColumn(out, F.coalesce(F.try_divide(seconds, F.col("__total")), F.lit(0.0))).drop("__total")
 

@@ -92,11 +92,10 @@ def bucketed_batch_members(spark: SparkSession, d: str) -> DataFrame:
     return batches.groupBy("chunk", "batch").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("least"), F.sum("doc_id").alias("ids")).select(F.col("chunk").cast("long").alias("chunk"), "n_rows", "least", "ids")
 
 
-@query("select seg_row, case when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as seconds from segments where isfinite(duration_s)")
+@query("select seg_row, case when not isfinite(duration_s) then null when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as seconds from segments")
 def cropped_seconds(spark: SparkSession, d: str) -> DataFrame:
     """Seconds that crops of a clip cover."""
-    seg = read_table(spark, d, "segments").where(F.col("duration_s").isNotNull() & ~F.isnan("duration_s") & (F.abs("duration_s") < float("inf")))
-    return seg.select("seg_row", S.cropped_seconds(F.col("duration_s"), 3.0, 4).alias("seconds"))
+    return read_table(spark, d, "segments").select("seg_row", S.cropped_seconds(F.col("duration_s"), 3.0, 4).alias("seconds"))
 
 
 @query("""with n as (select seg_row, cast(round(duration_s * 16000) as bigint) as n from segments where duration_s between 0 and 1e6),
@@ -108,12 +107,12 @@ def crop_starts(spark: SparkSession, d: str) -> DataFrame:
     return S.crop_starts(seg, "n", 48000, 4, "seg_row", 1)
 
 
-@query("""with c as (select seg_row, case when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as w from segments where isfinite(duration_s) and duration_s > 0),
-         s as (select seg_row, w, sum(w) over (order by seg_row) as upto, sum(w) over () as total from c)
+@query("""with c as (select seg_row, case when not coalesce(isfinite(duration_s) and duration_s > 0, false) then 0 when duration_s >= 3.0 then least(greatest(floor(duration_s / 3.0), 1), 4) * 3.0 else duration_s end as w from segments),
+         s as (select seg_row, w, sum(w) over () as total from c)
     select seg_row, round(w / total, 12) as probability from s""")
 def crop_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """How likely a draw by cropped seconds takes each clip."""
-    seg = read_table(spark, d, "segments").where(F.col("duration_s").isNotNull() & ~F.isnan("duration_s") & (F.abs("duration_s") < float("inf")) & (F.col("duration_s") > 0)).select("seg_row", "duration_s")
+    seg = read_table(spark, d, "segments").select("seg_row", "duration_s")
     return S.crop_probabilities(seg, "duration_s", 3.0, 4).select("seg_row", F.round("probability", 12).alias("probability"))
 
 

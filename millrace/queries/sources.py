@@ -170,10 +170,10 @@ def statement_records(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("id", "license", "creator", "title", "width", "height")
 
 
-@query("""select 'i' || meta_row as id, license, license as license_raw, 'Artist: ' || creator as creator, case when height > 0 then width end as width, case when width > 0 then height end as height, nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') as description from media_metadata where license = 'CC0' and creator <> ''""")
+@query("""select 'i' || meta_row as id, license, license as license_raw, case when creator <> '' then 'Artist: ' || creator end as creator, case when height > 0 then width end as width, case when width > 0 then height end as height, nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') as description from media_metadata where license = 'CC0'""")
 def museum_media(spark: SparkSession, d: str) -> DataFrame:
     """Objects with media; sizes from a resource where the medium has none."""
-    m = read_table(spark, d, "media_metadata").where("creator <> ''")
+    m = read_table(spark, d, "media_metadata")
     even = F.col("meta_row") % 2 == 0
     res = F.array(F.struct(F.lit("about").alias("dimensions")), F.struct(F.when(~even, F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).alias("dimensions")))
     medium = F.struct(F.concat(F.lit("i"), F.col("meta_row").cast("string")).alias("idsId"), F.lit("Images").alias("type"), F.when(even, F.col("width").cast("string")).alias("width"), F.when(even, F.col("height").cast("string")).alias("height"), F.struct(F.col("license").alias("access")).alias("usage"), res.alias("resources"))
@@ -197,7 +197,7 @@ def library_records(spark: SparkSession, d: str) -> DataFrame:
 @query("""select meta_row::varchar as id, license, case when creator <> '' and not regexp_matches(creator, '^https?://') then creator end as creator, coalesce(case when meta_row % 2 = 0 then image_url end, image_url) as image_url, 'nl' as text_language from media_metadata where license in ('CC0', 'PD') and image_url is not null""")
 def aggregated_records(spark: SparkSession, d: str) -> DataFrame:
     """Aggregated records; the image from the preview's query where none is shown."""
-    m = read_table(spark, d, "media_metadata").where("image_url is not null")
+    m = read_table(spark, d, "media_metadata")
     texts = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.array(c).alias("nl"), F.array(F.lit("other")).alias("fr")))
     shown, preview = F.when(F.col("meta_row") % 2 == 0, F.array("image_url")), F.array(F.concat(F.lit("https://t.example.invalid/i?uri="), F.url_encode("image_url"), F.lit("&type=IMAGE")))
     record = F.struct(F.concat(F.lit("/"), F.col("meta_row").cast("string")).alias("id"), F.when(F.col("license").isNotNull(), F.array("license")).alias("rights"), F.array(F.lit("D")).alias("dataProvider"), F.array(F.lit("nl")).alias("language"), shown.alias("edmIsShownBy"), preview.alias("edmPreview"), texts("creator").alias("dcCreatorLangAware"))
@@ -310,12 +310,14 @@ def spelled_numbers(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select("o_orderkey", spoken.spelled(F.col("o_orderkey")).alias("words"))
 
 
-@query(f"select o_orderkey, 'NINETEEN ' || ({_UNDER_100.format('(year(o_orderdate) - 1900)')}) || ' ' || ({_SMALL}[month(o_orderdate) + 1]) || ' POINT ' || ({_SMALL}[day(o_orderdate) % 10 + 1]) as said from orders where year(o_orderdate) between 1911 and 1999")
+_YEAR = f"case when {{0}} >= 2010 then 'TWENTY ' || ({_UNDER_100.format('({0} - 2000)')}) when {{0}} >= 2000 then 'TWO THOUSAND' || case when {{0}} = 2000 then '' else ' ' || {_SMALL}[{{0}} - 1999] end when {{0}} = 1900 then 'NINETEEN HUNDRED' when {{0}} < 1910 then 'NINETEEN OH ' || {_SMALL}[{{0}} - 1899] else 'NINETEEN ' || ({_UNDER_100.format('({0} - 1900)')}) end"
+
+
+@query(f"select o_orderkey, {_YEAR.format('year(o_orderdate)')} || ' ' || ({_SMALL}[month(o_orderdate) + 1]) || ' POINT ' || ({_SMALL}[day(o_orderdate) % 10 + 1]) as said from orders")
 def spoken_dates(spark: SparkSession, d: str) -> DataFrame:
     """Years, numbers and decimals as they are said."""
-    o = read_table(spark, d, "orders").where("year(o_orderdate) between 1911 and 1999")
     written = F.concat_ws(" ", F.year("o_orderdate").cast("string"), F.concat(F.month("o_orderdate").cast("string"), F.lit("."), (F.dayofmonth("o_orderdate") % 10).cast("string")))
-    return o.select("o_orderkey", spoken.normalise(written).alias("said"))
+    return read_table(spark, d, "orders").select("o_orderkey", spoken.normalise(written).alias("said"))
 
 
 _ORDINALS = "['ZEROTH', 'FIRST', 'SECOND', 'THIRD', 'FOURTH', 'FIFTH', 'SIXTH', 'SEVENTH', 'EIGHTH', 'NINTH', 'TENTH', 'ELEVENTH', 'TWELFTH', 'THIRTEENTH', 'FOURTEENTH', 'FIFTEENTH', 'SIXTEENTH', 'SEVENTEENTH', 'EIGHTEENTH', 'NINETEENTH']"
