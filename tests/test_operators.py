@@ -210,7 +210,7 @@ def test_all_readings(token, before, all_readings):
 
 @pytest.mark.parametrize(
     ("text", "last"),
-    [("Schedule I or II drugs", ["ONE", "OR", "TWO", "DRUGS"]), ("Schedule I, II; and IV", ["ONE", "TWO", "AND", "FOUR"]), ("World War I and II", ["ONE", "AND", "TWO"]), ("Henry VIII and IX", ["EIGHT/THE EIGHTH", "AND", "NINE/THE NINTH"]), ("Article III and I think", ["THREE", "AND", "I/ONE", "THINK"]), ("you and I", ["AND", "I"]), ("Title VII, and the", ["SEVEN", "AND", "THE"])],
+    [("Schedule I or II goods", ["ONE", "OR", "TWO", "GOODS"]), ("Schedule I, II; and IV", ["ONE", "TWO", "AND", "FOUR"]), ("World War I and II", ["ONE", "AND", "TWO"]), ("Henry VIII and IX", ["EIGHT/THE EIGHTH", "AND", "NINE/THE NINTH"]), ("Article III and I say", ["THREE", "AND", "I/ONE", "SAY"]), ("they and I", ["AND", "I"]), ("Title VII, and a", ["SEVEN", "AND", "A"])],
 )
 def test_numerals_keep_their_governor(text, last):
     got = ["/".join(" ".join(r) for r in t) for t in spoken.spoken_tokens(text.split())]
@@ -218,9 +218,9 @@ def test_numerals_keep_their_governor(text, last):
 
 
 def test_visual_text(spark):
-    rules = visual.VisualText(["red", "gold", "vase", "pattern", "round", "blue", "porcelain", "painted", "white", "floral", "patterns", "curved", "surface"], ["born", "served", "war", "died", "donated", "museum", "family", "learning", "career", "would", "mastered"])
-    history = "After moving north, Ann Lee mastered crafts. His love of learning would endure in his career."
-    survives = "The round blue porcelain vase is painted with white floral patterns on its curved surface."
+    rules = visual.VisualText(["red", "gold", "vase", "pattern", "square", "green", "glass", "lamp", "stripes", "flat", "base"], ["born", "served", "war", "died", "donated", "museum", "family", "learning", "career", "would", "mastered"])
+    history = "After moving north, Ann Lee mastered trades. Her wish of learning would last in her career."
+    survives = "A square green glass lamp is covered with gold stripes on its flat base."
     cases = [None, "", "A red vase with a gold pattern. He was born in 1820 and served in the war.", "He died in 1820.", f"{history} {survives}", f"{survives}\n\n{history}"]
     df = spark.createDataFrame(list(enumerate(cases)), "k int, t string").select("k", visual.visual_text(F.col("t"), rules).alias("v"))
     got = {r["k"]: (r["v"]["text"], r["v"]["retained"]) for r in df.collect()}
@@ -232,9 +232,9 @@ def test_visual_text(spark):
 
 
 def test_visual_sentences(spark):
-    cases = ["Dr. A. Smith came. He left.", "Made by Mrs. J. H. Allen in the U.S. Army. It is red.", 'He said "It is done." Then he left!', "Dated ca. 1890. Painted blue.", ""]
+    cases = ["Dr. A. Smith came. He left.", "Cut by Mrs. K. L. Orne in the U.S. Mint. It is blue.", 'She wrote "It is late." Then they ran!', "Made ca. 1870. Bound red.", ""]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(cases)), "k int, t string").orderBy("k").select(visual.sentences(F.col("t"))).collect()]
-    assert got == [["Dr. A. Smith came.", "He left."], ["Made by Mrs. J. H. Allen in the U.S. Army.", "It is red."], ['He said "It is done."', "Then he left!"], ["Dated ca. 1890.", "Painted blue."], []]
+    assert got == [["Dr. A. Smith came.", "He left."], ["Cut by Mrs. K. L. Orne in the U.S. Mint.", "It is blue."], ['She wrote "It is late."', "Then they ran!"], ["Made ca. 1870.", "Bound red."], []]
     terms = spark.createDataFrame([("Red",), ("red",), (None,), ("oak",)], "term string")
     assert visual.lexicon(terms) == ["oak", "red"]
     heard = spark.createDataFrame([("The dog ran, the dog!", "a DOG"), (None, "x"), ("b", None)], "r string, h string")
@@ -343,20 +343,20 @@ def script(*turns, gap=0.3):
     return out
 
 
-GOOD, A_LINE = {}, "a long question about the statute and its history"
+GOOD, A_LINE = {}, "a slow answer about the harbour and its keepers"
 
 
 @pytest.mark.parametrize(
     ("turns", "gap", "texts"),
     [
         ([("a", "one two three four five six", 0.3, {2, 3}, GOOD)], 0.3, ["one two", "five six"]),
-        ([("a", "wrong case called", 0.3, {0, 1, 2}, GOOD), ("b", "the right case now", 0.3, set(), GOOD)], 0.3, ["the right case now"]),
-        ([("a", "you don't look like him", 0.3, set(), {"all": -8.0}), ("b", "accepting federal funds for its prisons", 0.3, set(), {0: -5.0})], 0.3, ["you don't look like him", "federal funds for its prisons"]),
-        ([("a", "you don't look like him", 0.3, set(), GOOD), ("b", "accepting federal funds for its prisons", 0.3, set(), {0: -5.0})], 0.3, ["you don't look like him", "accepting federal funds for its prisons"]),
-        ([("a", "oh sorry federal funds for its prisons", 0.3, {0, 1}, {2: -5.0})], 0.3, ["funds for its prisons"]),
-        ([("a", A_LINE, 0.3, set(), GOOD), *((s, t, 0.25, set(), GOOD) for s, t in (("b", "well"), ("a", "okay no"), ("b", "but"), ("a", "right"), ("b", "I think"))), ("a", "and what about the second question here", 0.3, set(), GOOD)], 0.1, [A_LINE, "and what about the second question here"]),
-        ([("a", A_LINE, 0.3, set(), GOOD), ("b", "well", 0.25, set(), GOOD), ("a", "okay", 0.25, set(), GOOD)], 0.1, [A_LINE, "well", "okay"]),
-        ([(s, t, 0.3, set(), GOOD) for s, t in (("a", "yes"), ("b", "no"), ("a", "maybe"), ("b", "fine"))], 4.0, ["yes", "no", "maybe", "fine"]),
+        ([("a", "other name read", 0.3, {0, 1, 2}, GOOD), ("b", "the true name then", 0.3, set(), GOOD)], 0.3, ["the true name then"]),
+        ([("a", "they can't sound like her", 0.3, set(), {"all": -8.0}), ("b", "keeping public money for its harbours", 0.3, set(), {0: -5.0})], 0.3, ["they can't sound like her", "public money for its harbours"]),
+        ([("a", "they can't sound like her", 0.3, set(), GOOD), ("b", "keeping public money for its harbours", 0.3, set(), {0: -5.0})], 0.3, ["they can't sound like her", "keeping public money for its harbours"]),
+        ([("a", "ah pardon public money for its harbours", 0.3, {0, 1}, {2: -5.0})], 0.3, ["money for its harbours"]),
+        ([("a", A_LINE, 0.3, set(), GOOD), *((s, t, 0.25, set(), GOOD) for s, t in (("b", "so"), ("a", "fine no"), ("b", "yet"), ("a", "sure"), ("b", "we did"))), ("a", "and who wrote the other letter then", 0.3, set(), GOOD)], 0.1, [A_LINE, "and who wrote the other letter then"]),
+        ([("a", A_LINE, 0.3, set(), GOOD), ("b", "so", 0.25, set(), GOOD), ("a", "fine", 0.25, set(), GOOD)], 0.1, [A_LINE, "so", "fine"]),
+        ([(s, t, 0.3, set(), GOOD) for s, t in (("a", "sure"), ("b", "never"), ("a", "often"), ("b", "good"))], 4.0, ["sure", "never", "often", "good"]),
     ],
 )
 def test_segmenter(spark, turns, gap, texts):
@@ -367,7 +367,7 @@ def test_segmenter(spark, turns, gap, texts):
     times = {t[2]: (t[5], t[6]) for t in tokens}
     for r in got:
         assert r["start"] <= times[r["first_token"]][0] and r["end"] >= times[r["first_token"] + r["n_tokens"] - 1][1]
-    if texts[-1] == "federal funds for its prisons":
+    if texts[-1] == "public money for its harbours":
         assert got[1]["start"] == times[5][1]  # padding stops at the trimmed word
 
 
