@@ -344,10 +344,9 @@ def turn_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def speech_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of recordings: each record's tokens, timed evenly, cut under a cap, trimmed and padded."""
-    seg = read_table(spark, d, "segments").select("docket", "seg_row", "speaker_id", "text_original", "start_s", "end_s", "avg_word_score").where("docket is not null")
-    timed = Sp.timed_tokens(seg, ["docket", "seg_row"], "text_original", "start_s", "end_s")
-    scores = seg.select("seg_row", F.col("speaker_id").alias("speaker"), F.when(~F.isnan("avg_word_score"), F.col("avg_word_score")).alias("s"))
-    t = timed.join(scores, "seg_row").withColumnsRenamed({"docket": "rec", "seg_row": "turn", "token_no": "place"})
+    seg = read_table(spark, d, "segments").where("docket is not null").select("docket", "seg_row", F.col("speaker_id").alias("speaker"), F.when(~F.isnan("avg_word_score"), F.col("avg_word_score")).alias("s"), "text_original", "start_s", "end_s")
+    timed = Sp.timed_tokens(seg, ["docket", "seg_row", "speaker", "s"], "text_original", "start_s", "end_s")
+    t = timed.withColumnsRenamed({"docket": "rec", "seg_row": "turn", "token_no": "place"})
     t = t.withColumns({"count": F.char_length("token"), "score": F.col("s") * F.char_length("token"), "content": F.lit(True), "ok": F.col("s").isNotNull(), "unspoken": F.col("start").isNull()})
     numbered = t.withColumn("token_no", F.row_number().over(Window.partitionBy("rec").orderBy("start", "turn", "place"))).drop("place", "s")
     return Sp.segments(numbered, ["rec"], F.lit(1e6), Sp.SegmentRules(cap=20.0, max_pause=2.0))
