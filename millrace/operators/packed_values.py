@@ -9,14 +9,15 @@ expected counts: a name that stands only in lists gains its frequency there, fro
 a mark stands inside a value isn't set by hand either: it is counted in the values that can't be cut (alone in their
 field or in quote marks), which teach the first model.
 
-What EM learns has a fixed size whatever the column's: forms whose share of all values is above `RARE` (at most 1 / RARE;
-what a rarer form loses by its symbols' probabilities is below that share), the probability that another value follows,
-and a frequency sketch of `DEPTH` rows of `WIDTH` cells for whole values. A value counts as frequent only if its
-cells lie above `CALM` of all cells in every row, so one in a million passes by chance, however many values there are.
+What EM learns about forms has a fixed size whatever the column's: those whose share of all values is above `RARE` (at
+most 1 / RARE; what a rarer form loses by its symbols' probabilities is below that share) and the probability that another
+value follows. Whole values are counted one by one, by a hash of 64 bits: every value whose expected count is above
+`DISCOUNT` is frequent, however many there are. Up to `HELD` of them are held by each task, behind a sketch of `DEPTH` rows
+of `WIDTH` cells that tells most other values apart; where there are more, spans are joined with the table of their counts.
 
 The fields are parsed once for learning. Values that can't be cut are counted in that pass; each EM round runs over the
-runs of two or more atoms alone, until forms and values stay as they are. Decoding is one pass over the rows without a
-shuffle or join, so a creator that holds a third of the rows costs no more than any other.
+runs of two or more atoms alone, until forms and values stay as they are. While the frequent values are held, decoding is
+one pass over the rows without a shuffle or join, so a creator that holds a third of the rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import gc
 import itertools
 import math
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 from millrace.session import bounded_rows, cut, drop
 
 WIDTH, DEPTH = 1 << 17, 2
-#: A cell counts above this share of its row's cells: a value passes by chance in (1 - CALM) ** DEPTH of all cases.
-CALM = 0.999
+#: So many frequent values are held by each task (about 30 MB); more are joined from their table, with the same result.
+HELD = 1 << 18
 #: Least share of all values of a form that is kept by itself; the mass of other forms, shared out by their symbols.
 RARE, NEW = 1e-5, 0.05
 #: An exact value counts only beyond this many distinct fields, so that no field proves itself; share of values drawn as wholes.
@@ -161,6 +163,11 @@ class Run:
         """The text of the atoms i to j."""
         return self.text[self.bounds[2 * i] : self.bounds[2 * j + 1]].strip()
 
+    def hashes(self, spans: list) -> list[int]:
+        """The hash of each span's text."""
+        text, bounds, digest = self.text, self.bounds, xxhash.xxh3_64_intdigest
+        return [digest(text[bounds[2 * i] : bounds[2 * j + 1]].strip()) for i, j, _ in spans]
+
 
 _FIRST = re.compile(r"\w+|\S")
 _ENCLOSING = re.compile("[" + re.escape("".join({*QUOTES, *"".join(QUOTES.values()), *BRACKETS, *BRACKETS.values()})) + "]")
@@ -291,11 +298,16 @@ def lattice_of(names: list[str]) -> Lattice:
     return Lattice(names)
 
 
-def _cells(h: int) -> tuple[int, int]:
-    """The cell of a value's hash in each row of the sketch; 17 bits of it each."""
+def _cells(h):
+    """The cell of a value's hash (or of an array of them) in each row of the sketch; 17 bits of it each."""
     return h % WIDTH, WIDTH + (h >> 32) % WIDTH
 
 
+def marks_of(form: str) -> int:
+    """The marks in a form that may separate values."""
+    return sum([c in MARKS for c in form])
+
+
 def new_form(form: str, symbols: dict[str, float], log_total: float) -> float:
     """Log probability of a form that isn't kept: each symbol by how often it stands in values that can't be cut; a value without a word hardly stands alone (a suffix, years, a note)."""
     rare = math.log(PRIOR * PRIOR_SIZE)
@@ -303,9 +315,14 @@ def new_form(form: str, symbols: dict[str, float], log_total: float) -> float:
 
 
 class Model:
-    """What EM has learnt: forms, symbols, whole values (`sketch`, a flat array of all rows), how often another value follows."""
+    """What EM has learnt: forms, symbols, how often another value follows, and the frequent values.
+
+    `counts` are the hashes and counts of the frequent values, if they are held, and `longest` is the number of separators
+    in the longest one. `sketch`, a flat array of all rows, is the most that any value of a cell can have been counted (made
+    from `counts` by default): it only spares looking values up.
+    """
 
-    def __init__(self, forms: dict[str, float], follows: float, sketch: np.ndarray | None = None, symbols: dict[str, float] | None = None, total: float | None = None):
+    def __init__(self, forms: dict[str, float], follows: float, sketch: np.ndarray | None = None, symbols: dict[str, float] | None = None, total: float | None = None, counts: tuple[np.ndarray, np.ndarray] | None = None, longest: int = 0):
         self.total = max(sum(forms.values()) if total is None else total, 1.0)
         short = max(SPARSE * self.total, 1.0)
         self.forms = {f: n - short if any(c in MARKS for c in f) else n for f, n in forms.items() if n >= RARE * self.total}
@@ -314,17 +331,28 @@ class Model:
         self.log_symbols = math.log(sum(counted.values()) + PRIOR_SIZE)
         #: log P(another value follows a separator); the same for all kinds, as a field mostly keeps to one kind
         self.follows = math.log(min(max(follows, 1e-3), 1 - 1e-3))
-        #: separators in a value: one more than in any form that is kept, so longer forms can be learnt round by round
-        self.reach = 1 + max((sum(c in MARKS for c in f) for f, n in self.forms.items() if n > 0), default=1)
-        rows = np.zeros((DEPTH, WIDTH)) if sketch is None else np.asarray(sketch, dtype=float).reshape(DEPTH, WIDTH)
-        self.values = max(rows[0].sum(), 1.0)
-        self.sketch = np.maximum(rows - np.median(rows, axis=1, keepdims=True) - DISCOUNT, 0.0).astype(np.float32).ravel()
-        self.hot = (rows > np.maximum(np.quantile(rows, CALM, axis=1, keepdims=True), DISCOUNT)).tobytes()
+        #: separators in a value: one more than in any form that is kept, so longer forms can be learnt round by round, and as many as in any frequent value
+        self.reach = max(longest, 1 + max((marks_of(f) for f, n in self.forms.items() if n > 0), default=1))
+        self.counts = (np.zeros(0, "uint64"), np.zeros(0)) if counts is None else counts
+        if sketch is None:
+            sketch = np.zeros(DEPTH * WIDTH)
+            for cells in _cells(self.counts[0]):
+                np.add.at(sketch, cells.astype("int64"), self.counts[1])
+        self.hot = (np.asarray(sketch, dtype=float).ravel() > DISCOUNT).tobytes()
+        self.word = math.log(max(WORD, 1 / self.total))
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.held: dict[int, float] = dict(zip(self.counts[0].tolist(), self.counts[1].tolist(), strict=True))
         self.shapes: dict[str, list] = {}
         self.scores: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shapes": {}, "scores": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("held", "shapes", "scores")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fresh()
 
     def form(self, form: str) -> float:
         """log P(form)."""
@@ -338,14 +366,15 @@ class Model:
             self.scores[form] = got
         return got
 
+    def frequent(self, value: str, n: float) -> float:
+        """log P(value as a whole) against that of its words, of a value that was counted n times, or -inf if it isn't frequent."""
+        return math.log(WHOLE * (n - DISCOUNT) / self.total) - form_of(value)[1] * self.word if n > DISCOUNT else -math.inf
+
     def whole(self, value: str) -> float:
-        """log P(value as a whole) against that of its words, or -inf if it isn't frequent."""
-        a, b = _cells(xxhash.xxh3_64_intdigest(value))
-        if self.hot[a] and self.hot[b]:
-            seen = float(min(self.sketch[a], self.sketch[b]))
-            if seen > 0:
-                return math.log(WHOLE * seen / self.values) - form_of(value)[1] * math.log(max(WORD, 1 / self.values))
-        return -math.inf
+        """`frequent` by the count that is held of the value."""
+        h = xxhash.xxh3_64_intdigest(value)
+        a, b = _cells(h)
+        return self.frequent(value, self.held.get(h, 0.0)) if self.hot[a] and self.hot[b] else -math.inf
 
     def value(self, value: str) -> float:
         """log P(value) without what each of its words costs, which is the same for all splits."""
@@ -362,16 +391,18 @@ class Model:
                 self.shapes[shape] = got
         return got
 
-    def evidence(self, run: Run, spans: list) -> tuple[list[int], list | None]:
-        """The hash of each span's text, and the spans with the scores of frequent values where these are higher (None if none is)."""
-        hashes, out = [], None
-        text, bounds, hot = run.text, run.bounds, self.hot
-        for i, j, score in spans:
-            h = xxhash.xxh3_64_intdigest(text[bounds[2 * i] : bounds[2 * j + 1]].strip())
-            if hot[h % WIDTH] and hot[WIDTH + (h >> 32) % WIDTH] and (w := self.whole(run.span(i, j))) > score:
+    def evidence(self, run: Run, spans: list, given: dict[int, float] | None = None) -> tuple[list[int], list | None]:
+        """The hash of each span's text, and the spans with the scores of frequent values where these are higher (None if none is). Counts by the span's number (`given`) take the place of those held."""
+        hashes = run.hashes(spans)
+        if given is None:
+            hot, held = self.hot, self.held
+            given = {k: held[h] for k, h in enumerate(hashes) if hot[h % WIDTH] and hot[WIDTH + (h >> 32) % WIDTH] and h in held}
+        out = None
+        for k, n in given.items():
+            i, j, score = spans[k]
+            if (w := self.frequent(run.span(i, j), n)) > score:
                 out = out or list(spans)
-                out[len(hashes)] = (i, j, w)
-            hashes.append(h)
+                out[k] = (i, j, w)
         return hashes, out
 
 
@@ -407,15 +438,15 @@ def chances(n: int, spans: list, follows: float) -> list[tuple[int, int, int, fl
     return [x for x in all_ if x[3] > 1e-6]
 
 
-def split_run(run: Run, model: Model) -> list[str]:
-    """The values of a run."""
+def split_run(run: Run, model: Model, given: dict[int, float] | None = None) -> list[str]:
+    """The values of a run; `given` as in `Model.evidence`."""
     n = len(run.bounds) // 2
     if n == 0:
         return [run.text]
     if n == 1:
         return [run.span(0, 0)]
     spans = model.spans(run.shape)
-    known = model.evidence(run, spans)[1]
+    known = model.evidence(run, spans, given)[1]
     return [run.span(i, j) for i, j in best_split(n, known or spans, model.follows)]
 
 
@@ -424,50 +455,58 @@ def split_field(field: str, lattice: Lattice, model: Model) -> list[str]:
     return [v for run in lattice.runs(field) for v in split_run(run, model) if v]
 
 
-COUNTS = "kind string, key string, cell int, n double"
+COUNTS = "kind string, key string, hash long, n double, marks int"
+RUNS = "text string, bounds array<int>, shape string"
 
 
 class Counts:
-    """Sums of one task: forms, symbols, values in the sketch, values that stand first or follow."""
+    """Sums of one task: forms, symbols, values by their hash (with the separators in them), values that stand first or follow."""
 
     def __init__(self) -> None:
+        self.begin()
+
+    def begin(self) -> None:
         self.sums: dict[tuple[str, str], float] = defaultdict(float)
-        self.sketch = np.zeros(DEPTH * WIDTH)
-        self.cells: list[int] = []
-        self.weights: list[float] = []
+        self.hashes, self.weights, self.marks = array("Q"), array("d"), array("i")
 
-    def value(self, h: int, p: float) -> None:
+    def value(self, h: int, p: float, marks: int) -> None:
         """A value by its hash."""
-        self.cells += _cells(h)
+        self.hashes.append(h)
         self.weights.append(p)
-        if len(self.weights) > 100_000:
-            self.flush()
+        self.marks.append(marks)
 
-    def flush(self) -> None:
-        np.add.at(self.sketch, self.cells, np.repeat(self.weights, DEPTH))
-        self.cells, self.weights = [], []
+    def full(self) -> bool:
+        return len(self.weights) > 500_000
 
     def batch(self) -> pa.RecordBatch:
-        """The sums as rows of `COUNTS`."""
-        self.flush()
-        at = np.flatnonzero(self.sketch).astype("int32")
+        """The sums as rows of `COUNTS`; they begin anew after it."""
+        hashes, at = np.unique(np.array(self.hashes, "uint64"), return_inverse=True)
+        weights = np.bincount(at, weights=np.array(self.weights, float), minlength=len(hashes))
+        marks = np.zeros(len(hashes), "int32")
+        np.maximum.at(marks, at, np.array(self.marks, "int32"))
         keys = list(self.sums)
         columns = {
-            "kind": pa.array([k for k, _ in keys] + ["cell"] * len(at), pa.string()),
-            "key": pa.array([x for _, x in keys] + [""] * len(at), pa.string()),
-            "cell": pa.array(np.concatenate([np.full(len(keys), -1, "int32"), at])),
-            "n": pa.array(np.concatenate([np.array(list(self.sums.values()), dtype=float), self.sketch[at]])),
+            "kind": pa.array([k for k, _ in keys] + ["v"] * len(hashes), pa.string()),
+            "key": pa.array([x for _, x in keys] + [""] * len(hashes), pa.string()),
+            "hash": pa.array(np.concatenate([np.zeros(len(keys), "int64"), hashes.view("int64")])),
+            "n": pa.array(np.concatenate([np.array(list(self.sums.values()), dtype=float), weights])),
+            "marks": pa.array(np.concatenate([np.zeros(len(keys), "int32"), marks])),
         }
+        self.begin()
         return pa.RecordBatch.from_pydict(columns)
 
 
 def _parse(lattice: Lattice) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Fields to runs of two or more atoms, and the counts of all values that can't be cut (Arrow)."""
-    schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("cell", pa.int32()), ("n", pa.float64()), ("text", pa.string()), ("bounds", pa.list_(pa.int32())), ("shape", pa.string())])
+    schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("hash", pa.int64()), ("n", pa.float64()), ("marks", pa.int32()), ("text", pa.string()), ("bounds", pa.list_(pa.int32())), ("shape", pa.string())])
 
     def filled(size: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if isinstance(columns.get(f.name), list) else columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
+    def counted(counts: Counts) -> pa.RecordBatch:
+        last = counts.batch()
+        return filled(last.num_rows, **dict(zip(last.schema.names, last.columns, strict=True)))
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         counts = Counts()
@@ -482,18 +521,34 @@ def _parse(lattice: Lattice) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                         shapes.append(run.shape)
                     elif n or run.text not in lattice.names:
                         value = run.span(0, 0) if n else run.text
-                        counts.value(xxhash.xxh3_64_intdigest(value), 1.0)
                         form = form_of(value)[0]
+                        counts.value(xxhash.xxh3_64_intdigest(value), 1.0, marks_of(form))
                         counts.sums["f", form] += 1.0
                         for c in form:
                             counts.sums["s", c] += 1.0
             yield filled(len(texts), kind=["run"] * len(texts), text=texts, bounds=bounds, shape=shapes)
-        last = counts.batch()
-        yield filled(last.num_rows, **dict(zip(last.schema.names, last.columns, strict=True)))
+            if counts.full():
+                yield counted(counts)
+        yield counted(counts)
 
     return step
 
 
+def _runs_of(batch: pa.RecordBatch) -> Iterator[Run]:
+    """The runs of a batch of `RUNS`."""
+    column = batch.column("bounds")
+    at, flat = column.offsets.to_pylist(), column.values.to_numpy().tolist()
+    for text, lo, hi, shape in zip(batch.column("text").to_pylist(), at, at[1:], batch.column("shape").to_pylist(), strict=False):
+        yield Run(text, flat[lo:hi], shape)
+
+
+def _given(batch: pa.RecordBatch) -> list[dict[int, float] | None]:
+    """The joined counts of each row by the number of the span; None where counts are held and not joined."""
+    if "known" not in batch.schema.names:
+        return [None] * batch.num_rows
+    return [{x["span"]: x["n"] for x in own or ()} for own in batch.column("known").to_pylist()]
+
+
 def _expect(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The E step: expected counts of the values of all splits of the runs (Arrow)."""
 
@@ -514,74 +569,121 @@ def _expect(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             seen.clear()
 
         for batch in batches:
-            column = batch.column("bounds")
-            at, flat = column.offsets.to_pylist(), column.values.to_numpy().tolist()
-            for text, lo, hi, shape in zip(batch.column("text").to_pylist(), at, at[1:], batch.column("shape").to_pylist(), strict=False):
-                run = Run(text, flat[lo:hi], shape)
-                spans = model.spans(shape)
-                hashes, known = model.evidence(run, spans)
+            for run, given in zip(_runs_of(batch), _given(batch), strict=True):
+                n, spans = len(run.bounds) // 2, model.spans(run.shape)
+                hashes, known = model.evidence(run, spans, given)
                 if known is not None:
-                    likely = chances((hi - lo) // 2, known, model.follows)
-                    add(shape, likely, 1.0)
+                    likely = chances(n, known, model.follows)
+                    add(run.shape, likely, 1.0)
                 else:
-                    own = seen.get(shape)
+                    own = seen.get(run.shape)
                     if own is None:
-                        own = seen[shape] = [chances((hi - lo) // 2, spans, model.follows), 0]
+                        own = seen[run.shape] = [chances(n, spans, model.follows), 0]
                     own[1] += 1
                     likely = own[0]
                     if len(seen) > 100_000:
                         flush()
-                for k, _, _, p in likely:
-                    if p > 1e-3:
-                        counts.value(hashes[k], p)
+                for k, i, j, p in likely:
+                    counts.value(hashes[k], p, j - i)
+            if counts.full():
+                yield counts.batch()
         flush()
         yield counts.batch()
 
     return step
 
 
-def _summed(counts: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float], np.ndarray, float]:
-    """(forms, symbols, firsts and followers, sketch, values) of counts. What comes to the driver is bounded: 1 / RARE forms, the sketch's cells, the symbols."""
-    sums = cut(counts.select("kind", "key", "cell", "n").groupBy("kind", "key", "cell").agg(F.sum("n").alias("n")))
-    total = sums.where("kind = 'f'").agg(F.sum("n")).first()[0] or 0.0
-    rows = sums.where((F.col("kind") != "cell") & ((F.col("kind") != "f") | (F.col("n") >= RARE * total))).toPandas()
-    cells = sums.where("kind = 'cell'").select("cell", "n").toPandas()
-    drop(sums)
-    sketch = np.zeros(DEPTH * WIDTH)
-    sketch[cells["cell"].to_numpy(dtype=int)] = cells["n"]
-    of = {kind: {k: float(n) for k, n in zip(own["key"], own["n"], strict=True)} for kind, own in rows.groupby("kind")}
-    return of.get("f", {}), of.get("s", {}), of.get("n", {}), sketch, float(total)
+def _asked(model: Model, runs_of: Callable[[pa.RecordBatch], Iterator[list[Run]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The hashes of all spans of each row's runs, which are numbered from run to run (Arrow)."""
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans, hashes = array("q"), array("i"), array("Q")
+            for row, runs in zip(batch.column("row").to_pylist(), runs_of(batch), strict=True):
+                n = 0
+                for run in runs:
+                    own = run.hashes(model.spans(run.shape)) if len(run.bounds) > 2 else []
+                    rows.extend([row] * len(own))
+                    spans.extend(range(n, n + len(own)))
+                    hashes.extend(own)
+                    n += len(own)
+            yield pa.RecordBatch.from_pydict({"row": np.array(rows, "int64"), "span": np.array(spans, "int32"), "hash": np.array(hashes, "uint64").view("int64")})
 
-def learn(fields: DataFrame, lattice: Lattice, rounds: int = 12) -> Model:
-    """EM over the distinct fields (column `field`), until it settles or for so many rounds."""
-    parsed = cut(fields.mapInArrow(_parse(lattice), COUNTS + ", text string, bounds array<int>, shape string"))
-    certain, symbols, _, sketch, total = _summed(parsed.where("kind <> 'run'"))
-    # each task gives its own sketch: no more tasks than run at once
-    runs = parsed.where("kind = 'run'").select("text", "bounds", "shape").coalesce(fields.sparkSession.sparkContext.defaultParallelism)
-    model = Model(certain, 0.5, sketch, symbols, total)
-    shares: dict[str, float] = {}
+    return step
+
+
+def _recalled(df: DataFrame, model: Model, frequent: DataFrame, runs_of: Callable[[pa.RecordBatch], Iterator[list[Run]]]) -> DataFrame:
+    """Rows (numbered by `row`) with the counts of their frequent spans, for tables of these that no task can hold."""
+    found = df.mapInArrow(_asked(model, runs_of), "row long, span int, hash long").join(frequent, "hash").groupBy("row").agg(F.collect_list(F.struct("span", "n")).alias("known"))
+    return df.join(found, "row", "left")
+
+
+class Learnt:
+    """The sums of one round. What comes to the driver is bounded: 1 / RARE forms, the symbols, `HELD` values."""
+
+    def __init__(self, counts: DataFrame, held: int):
+        sums = counts.groupBy("kind", "key", "hash").agg(F.sum("n").alias("n"), F.max("marks").alias("marks"))
+        self.sums = cut(sums.where((F.col("kind") != "v") | (F.col("n") > DISCOUNT)))
+        sizes = {r["kind"]: r for r in self.sums.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max("marks").alias("marks")).collect()}
+        self.total = sizes["f"]["n"] if "f" in sizes else 0.0
+        self.table = self.sums.where("kind = 'v'").select("hash", "n")
+        self.counts = None
+        wanted = (F.col("kind") != "f") | (F.col("n") >= RARE * self.total)
+        if "v" not in sizes or sizes["v"]["rows"] <= held:
+            rows = self.sums.where(wanted).toPandas()
+            values = rows[rows["kind"] == "v"].sort_values("hash")
+            self.counts = values["hash"].to_numpy("int64").view("uint64"), values["n"].to_numpy(float)
+        else:
+            rows = self.sums.where(wanted & (F.col("kind") != "v")).toPandas()
+        of = {kind: {k: float(n) for k, n in zip(own["key"], own["n"], strict=True)} for kind, own in rows.groupby("kind") if kind != "v"}
+        self.forms, self.symbols = of.get("f", {}), of.get("s", {})
+        first, after = (of.get("n", {}).get(k, 0.0) for k in ("first", "after"))
+        self.model = Model(self.forms, after / max(1.0, first + after) if first else 0.5, None, self.symbols, self.total, self.counts, sizes["v"]["marks"] if "v" in sizes else 0)
+
+    def moved(self, before: Learnt) -> float:
+        """The larger one of the shares of all values that changed their form and that changed as frequent values."""
+        a, b = max(self.total, 1.0), max(before.total, 1.0)
+        forms = sum(abs(self.forms.get(f, 0.0) / a - before.forms.get(f, 0.0) / b) for f in {*self.forms, *before.forms})
+        if forms >= SETTLED:
+            return forms
+        both = self.table.select("hash", (F.col("n") - DISCOUNT) / a).union(before.table.select("hash", (DISCOUNT - F.col("n")) / b)).toDF("hash", "n")
+        return max(forms, both.groupBy("hash").agg(F.abs(F.sum("n")).alias("n")).agg(F.sum("n")).first()[0] or 0.0)
+
+
+def learnt(fields: DataFrame, lattice: Lattice, rounds: int = 12, held: int = HELD) -> Learnt:
+    """EM over the distinct fields (column `field`), until it settles or for so many rounds. Frequent values beyond `held` stay in their table."""
+    parsed = cut(fields.mapInArrow(_parse(lattice), f"{COUNTS}, {RUNS}"))
+    certain = cut(parsed.where("kind <> 'run'").groupBy("kind", "key", "hash").agg(F.sum("n").alias("n"), F.max("marks").alias("marks")))
+    # each task gives its own counts: no more tasks than run at once
+    runs = parsed.where("kind = 'run'").select(F.monotonically_increasing_id().alias("row"), "text", "bounds", "shape").coalesce(fields.sparkSession.sparkContext.defaultParallelism)
+    now = Learnt(certain, held)
     for _ in range(rounds):
-        forms, _, order, listed, more = _summed(runs.mapInArrow(_expect(model), COUNTS))
-        whole = max(total + more, 1.0)
-        both = {f: certain.get(f, 0.0) + forms.get(f, 0.0) for f in {*certain, *forms}}
-        follows = order.get("after", 0.0) / max(1.0, order.get("after", 0.0) + order.get("first", 0.0))
-        before, model = model, Model(both, follows if order else 0.5, sketch + listed, symbols, whole)
-        change = sum(abs(n / whole - shares.get(f, 0.0)) for f, n in both.items())
-        hits = np.abs(model.sketch / model.values - before.sketch / before.values).sum() / DEPTH
-        shares = {f: n / whole for f, n in both.items()}
-        if change < SETTLED and hits < SETTLED:
+        known = runs if now.counts is not None else _recalled(runs, now.model, now.table, lambda batch: ([run] for run in _runs_of(batch)))
+        before, now = now, Learnt(known.mapInArrow(_expect(now.model), COUNTS).union(certain), held)
+        settled = now.moved(before) < SETTLED
+        drop(before.sums)
+        if settled:
             break
     drop(parsed)
-    return model
+    drop(certain)
+    return now
+
+
+def learn(fields: DataFrame, lattice: Lattice, rounds: int = 12) -> Model:
+    """The model of `learnt`, for columns whose frequent values can be held."""
+    last = learnt(fields, lattice, rounds)
+    drop(last.sums)
+    if last.counts is None:
+        raise ValueError(f"the column has more than {HELD} frequent values; they must be joined (split_values)")
+    return last.model
 
 
-def split_values(df: DataFrame, column: str, authority: DataFrame | None = None, authority_column: str = "creator_name", out: str = "value", pos: str = "pos", rounds: int = 12, keep: list[str] | None = None) -> DataFrame:
+def split_values(df: DataFrame, column: str, authority: DataFrame | None = None, authority_column: str = "creator_name", out: str = "value", pos: str = "pos", rounds: int = 12, keep: list[str] | None = None, held: int = HELD) -> DataFrame:
     """One row per value of `column`: the kept columns of the row (`keep`, all others by default), `pos` from 0 and the value.
 
     Null and blank fields give no row; empty values aren't counted; a value that occurs twice comes twice. An authority
     table may hold 100,000 names at most (nulls and repeats in it are ignored). Existing columns named as `out` or `pos`
-    are replaced. An empty table gives an empty one.
+    are replaced. An empty table gives an empty one. More than `held` frequent values are joined, which changes no row.
     """
     names = [r[0] for r in bounded_rows(authority.select(authority_column), 100_000, "the authority list")] if authority is not None else []
     lattice = lattice_of(names)
@@ -589,8 +691,16 @@ def split_values(df: DataFrame, column: str, authority: DataFrame | None = None,
     full = df.where(field.isNotNull() & field.rlike(r"(?U)\S"))
     # few bytes, much computing: as many parts as the session shuffles into, whatever the size
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = learn(full.select(field.alias("field")).distinct().repartition(parts), lattice, rounds)
+    fields = full.select(field.alias("field")).distinct().repartition(parts)
+    last = learnt(fields, lattice, rounds, held)
+    model = last.model
     kept = [c for c in (keep if keep is not None else df.columns) if c not in (out, pos)]
+    if last.counts is None:
+        own = cut(fields).select(F.monotonically_increasing_id().alias("row"), "field")
+        known = _recalled(own, model, last.table, lambda batch: (lattice.runs(f) for f in batch.column("field").to_pylist()))
+        split_of = known.mapInArrow(_decoded(lattice, model), "__field string, __values array<string>")
+        return full.join(split_of, field == F.col("__field")).select(*[F.col(f"`{c}`") for c in kept], F.posexplode("__values").alias(pos, out))
+    drop(last.sums)
     shared = df.sparkSession.sparkContext.broadcast((lattice, model))
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -610,3 +720,23 @@ def split_values(df: DataFrame, column: str, authority: DataFrame | None = None,
 
     split = F.pandas_udf(decode, "array<string>")
     return full.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(split(field)).alias(pos, out))
+
+
+def _decoded(lattice: Lattice, model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fields with the joined counts of their spans to their values (Arrow)."""
+
+    def values(field: str, given: dict[int, float]) -> list[str]:
+        out, n = [], 0
+        for run in lattice.runs(field):
+            size = len(model.spans(run.shape)) if len(run.bounds) > 2 else 0
+            out += [v for v in split_run(run, model, {k: given[n + k] for k in range(size) if n + k in given}) if v]
+            n += size
+        return out
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column("field").to_pylist()
+            split = [values(f, g) for f, g in zip(fields, _given(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.string()), pa.array(split, pa.list_(pa.string()))], names=["__field", "__values"])
+
+    return step

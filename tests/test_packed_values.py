@@ -95,6 +95,31 @@ def test_many_values_do_not_look_frequent_by_chance():
     assert sum(crowded.whole(f"Name {i}") > -1e9 for i in range(20_000)) <= 2
 
 
+@pytest.mark.parametrize("held", [1 << 18, 100])
+def test_all_frequent_values_stay_whole_however_many(spark, held):
+    """400 names, each in quote marks in four fields, among so many single words that their form alone would be split."""
+    letter = [chr(97 + i) for i in range(26)]
+    names = [f"Kite{letter[i % 26]} & Loom{letter[i // 26]}" for i in range(400)]
+    plain = [f"Giv{letter[i % 26]} Sur{letter[i // 26]}" for i in range(400)]
+    lists = [f"{plain[i]} & {names[i]}" for i in range(400)]
+    rows = lists + [f'"{names[i]}"; {plain[(i * 4 + k) % 400]}' for i in range(400) for k in range(4)]
+    rows += [f"One{letter[i % 26]}{letter[i // 26 % 26]}{letter[i // 676]}" for i in range(8000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "meta_row long, creator string")
+    got = {}
+    for r in P.split_values(df, "creator", keep=["meta_row"], held=held).where("meta_row < 400").collect():
+        got.setdefault(r["meta_row"], {})[r["pos"]] = r["value"]
+    assert got == {i: {0: plain[i], 1: names[i]} for i in range(400)}
+
+
+def test_a_long_value_is_whole_however_rare_its_form(spark):
+    long = "Parta, Partb, Partc, Partd, Parte, Partf"
+    letter = [chr(97 + i) for i in range(26)]
+    rows = [f'"{long}"; Giv Sur{c}' for c in letter[:4]] + [f"Giv{a} Sur{b}{c}" for a in letter for b in letter for c in letter[:5]]
+    lattice = P.lattice_of([])
+    model = P.learn(spark.createDataFrame([(r,) for r in rows], "field string"), lattice)
+    assert P.split_field(f"Giv Sura; {long}", lattice, model) == ["Giv Sura", long]
+
+
 def test_listed_names_by_first_word():
     lattice = P.lattice_of(["Hale", "Hale, Morrow", "Hale, Morrow & Finch", "½ Co"])
     texts = lambda f: [v for r in lattice.runs(f) for v in P.split_run(r, MODEL)]
